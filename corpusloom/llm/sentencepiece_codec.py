@@ -23,7 +23,7 @@ from corpusloom.llm.common import id_text, worker_cache
 
 #: Entries of a worker's chunk table; a full table starts anew, which changes no result.
 TABLE_ENTRIES = 400_000
-#: Longer chunks are segmented each time and not kept.
+#: Longer chunks are not kept beyond the texts at hand.
 LONGEST_KEPT = 64
 #: Texts in an output batch.
 OUT_ROWS = 512
@@ -46,17 +46,22 @@ class ChunkTable(dict):
         self.odd: dict[str, str] = {}  # chunks that do not decode to themselves
         self.size = 0
 
-    def __missing__(self, chunk: str) -> bytes:
+    def learn(self, chunks: set[str]) -> None:
+        """Segment chunks that the table lacks, each once."""
         import array
 
-        ids = self.sp.encode(chunk) if chunk else [self.sp.piece_to_id(MARK)]
-        back = self.sp.decode(ids) if chunk else ""
-        if back != chunk:
-            self.odd[chunk] = back
-        out = array.array("i", ids).tobytes()
-        if len(chunk) <= LONGEST_KEPT:
-            self[chunk] = out
-        return out
+        if len(self) > TABLE_ENTRIES or len(self.odd) > TABLE_ENTRIES:
+            self.clear()
+            self.odd.clear()
+        new = [x for x in chunks if x not in self]
+        full = [x for x in new if x]
+        ids = self.sp.encode(full, num_threads=1) if full else []
+        for chunk, found, back in zip(full, ids, self.sp.decode(ids, num_threads=1) if ids else []):
+            self[chunk] = array.array("i", found).tobytes()
+            if back != chunk:
+                self.odd[chunk] = back
+        if len(full) < len(new):
+            self[""] = array.array("i", [self.sp.piece_to_id(MARK)]).tobytes()  # a marker alone
 
     def chunks(self, text: str) -> list[str]:
         """The marked chunks of a text, each without its first marker."""
@@ -68,15 +73,18 @@ class ChunkTable(dict):
             return [x[1:] for x in _RUNS.findall(" " + text)]
         return text.split(" ")
 
-    def encode_decode(self, text: str) -> tuple[bytes, str]:
-        parts = self.chunks(text)
-        ids = b"".join(map(self.__getitem__, parts))
-        if self.odd and not self.odd.keys().isdisjoint(parts):
-            parts = [self.odd.get(x, x) for x in parts]
-        if len(self) > TABLE_ENTRIES or len(self.odd) > TABLE_ENTRIES:
-            self.clear()
-            self.odd.clear()
-        return ids, " ".join(parts)
+    def encode_decode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """The ids, as the bytes of int32 values, and the decoded text of each text."""
+        parts = [self.chunks(t) for t in texts]
+        self.learn({x for p in parts for x in p if x not in self} if len(self) <= TABLE_ENTRIES else {x for p in parts for x in p})
+        ids = [b"".join(map(self.__getitem__, p)) for p in parts]
+        if self.odd:
+            odd = self.odd
+            parts = [p if odd.keys().isdisjoint(p) else [odd.get(x, x) for x in p] for p in parts]
+        for x in [x for p in parts for x in p if len(x) > LONGEST_KEPT]:
+            self.pop(x, None)
+            self.odd.pop(x, None)
+        return list(zip(ids, map(" ".join, parts)))
 
 
 def chunk_table(model: bytes) -> ChunkTable:
@@ -101,7 +109,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(at, OUT_ROWS)
-                pairs = [table.encode_decode(t) for t in part.column(1).to_pylist()]
+                pairs = table.encode_decode(part.column(1).to_pylist())
                 data = [p[0] + end for p in pairs]
                 offsets = np.zeros(len(data) + 1, "<i4")
                 np.cumsum([len(x) // 4 for x in data], out=offsets[1:])
