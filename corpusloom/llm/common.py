@@ -10,11 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator reads, under fixed names; a null text is empty."""
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """Only the two columns an operator reads, under fixed names; a null text is empty.
+    keep_row: also row, a struct of all columns, so that clashing names stay apart."""
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
+        *[F.struct(*[docs[c] for c in docs.columns]).alias("row")] * keep_row,
     )
 
 

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import sentencepiece_codec, token_counts
+from corpusloom.llm import oracles, secret_scan, sentencepiece_codec, token_counts
 from corpusloom.llm.common import table
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepiece_codec.digests(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model))
@@ -20,5 +24,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op4_sentencepiece, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_sentencepiece, op8_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql()}
