@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.llm import license_scan
 from corpusloom.llm.secret_scan import BASE_RULES, RULES
 
 
@@ -32,3 +33,24 @@ def secret_scan_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, list_sort(flatten([{every}])) AS spans FROM d)
 SELECT doc_id, {counts}, sha256({listed.format(only)}) AS base_sha256, {listed.format("spans")} AS spans FROM s"""
+
+
+def license_scan_sql() -> str:
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(license_scan.known().items()))
+    left, cases = ["'|' || array_to_string(ids, '|') || '|' AS l0"], []
+    steps = "SELECT doc_id, ids, " + left[0] + " FROM i"
+    for n, (name, seq) in enumerate(license_scan.RULES):
+        steps = f"SELECT *, replace(l{n}, '|{'|'.join(seq)}|', '|') AS l{n + 1} FROM ({steps})"
+        cases.append(f"CASE WHEN contains(l{n}, '|{'|'.join(seq)}|') THEN '{name}' END")
+    first = ", ".join(f"({n}, '{name}')" for n, name in enumerate(dict.fromkeys(x for x, _ in license_scan.RULES)))
+    return f"""
+WITH k(s, id) AS (VALUES {known}), o(n, name) AS (VALUES {first}),
+d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rn FROM documents),
+p AS (SELECT rn, generate_subscripts(x, 1) AS pos, unnest(x) AS s FROM
+      (SELECT rn, list_transform(string_split_regex(lower(t), '[\\n\\r]+|[.!?;][\\x20\\t]+'), lambda y: trim(regexp_replace(y, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS x FROM d)),
+m AS (SELECT rn, list(id ORDER BY pos) AS ids FROM p JOIN k USING (s) GROUP BY rn),
+i AS (SELECT doc_id, coalesce(ids, []) AS ids FROM d LEFT JOIN m USING (rn)),
+r AS ({steps})
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+       coalesce((SELECT string_agg(name, ',' ORDER BY n) FROM o WHERE list_contains([{", ".join(cases)}], name)), '') AS licenses
+FROM r"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import oracles, secret_scan, sentencepiece_codec, token_counts
+from corpusloom.llm import license_scan, oracles, secret_scan, sentencepiece_codec, token_counts
 from corpusloom.llm.common import table
 
 
@@ -24,5 +24,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_sentencepiece, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql()}
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_sentencepiece, op8_token_counts, op9_licenses)}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql(), "op9_licenses": oracles.license_scan_sql()}
