@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import license_scan, oracles, secret_scan, sentencepiece_codec, token_counts
+from corpusloom.llm import language_id, license_scan, oracles, secret_scan, sentencepiece_codec, token_counts
 from corpusloom.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.classify(docs, language_id.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -29,5 +34,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_sentencepiece, op8_token_counts, op9_licenses)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_sentencepiece, op7_language_id, op8_token_counts, op9_licenses)}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql(), "op9_licenses": oracles.license_scan_sql()}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import id_text, worker_cache
 from corpusloom.sources.storage import path_exists, scratch_path
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 1_000_000
 LONGEST_KEPT = 64
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -67,10 +67,12 @@ class ChunkCounts(dict):
         tok.no_padding()
         self.cut = _chunkable(spec)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.pre, self.model = tok.pre_tokenizer, tok.model
         return lambda text: len(tok.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, chunk: str) -> int:
-        n = self.whole(chunk)
+        # a chunk holds no added token: the library's own two steps, without its bookkeeping
+        n = sum(len(self.model.tokenize(x)) for x, _ in self.pre.pre_tokenize_str(chunk))
         if len(chunk) <= LONGEST_KEPT:
             self[chunk] = n
         return n
