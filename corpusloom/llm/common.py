@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,14 @@ def worker_cache() -> dict:
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
     return sys.modules[name].__dict__.setdefault("entries", {})
+
+
+def sum_vectors(parts: DataFrame) -> dict[int, np.ndarray]:
+    """parts: key int, counts binary (int64 values, of one length for a key). The sums by key,
+    for statistics whose keys and lengths are fixed, so that they may reach the driver."""
+
+    def add(key, rows):
+        total = sum(np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist())
+        return pa.table({"key": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    return {r.key: np.frombuffer(bytes(r.counts), np.int64) for r in parts.groupBy("key").applyInArrow(add, "key int, counts binary").collect()}

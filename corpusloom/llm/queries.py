@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, license_scan, oracles, secret_scan, sentencepiece_codec, token_counts
+from corpusloom.llm import language_id, license_scan, oracles, secret_scan, sentencepiece_codec, simhash, token_counts
 from corpusloom.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -34,5 +38,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_sentencepiece, op7_language_id, op8_token_counts, op9_licenses)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_secrets, op4_sentencepiece, op7_language_id, op8_token_counts, op9_licenses)}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql(), "op9_licenses": oracles.license_scan_sql()}
