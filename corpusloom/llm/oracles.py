@@ -54,3 +54,16 @@ r AS ({steps})
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
        coalesce((SELECT string_agg(name, ',' ORDER BY n) FROM o WHERE list_contains([{", ".join(cases)}], name)), '') AS licenses
 FROM r"""
+
+
+def chat_format_sql() -> str:
+    marks = lambda x, chars: f"(length({x}) + length(regexp_replace({x}, '[^{chars}]', '', 'g')))"
+    return f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok'))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + {marks("role", "\\\\#<:")} + 2 + {marks("text", "\\\\#<")} + 8)::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import language_id, license_scan, oracles, secret_scan, sentencepiece_codec, simhash, token_counts
+from corpusloom.llm import chat_format, language_id, license_scan, oracles, secret_scan, sentencepiece_codec, simhash, token_counts
 from corpusloom.llm.common import table
 
 
@@ -38,5 +38,16 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_secrets, op4_sentencepiece, op7_language_id, op8_token_counts, op9_licenses)}
-ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql(), "op9_licenses": oracles.license_scan_sql()}
+
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(CONTROL_TEXT).alias("text")) for n, role in enumerate(("user", "assistant"))])
+    return chat_format.read_back(chat_format.layout(rows.unionByName(spark.range(1).select(F.inline(turns)))))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_secrets, op4_sentencepiece, op7_language_id, op8_token_counts, op9_licenses, op10_chat_format)}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql(), "op9_licenses": oracles.license_scan_sql(), "op10_chat_format": oracles.chat_format_sql()}
