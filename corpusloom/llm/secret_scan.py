@@ -54,9 +54,10 @@ _SEPARATOR = "\u0001"
 
 def build_index(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings: doc_id, text_hash, trigram; one row for each trigram that a row's text holds."""
-    lower = F.lower("text")
-    held = F.concat_ws(_SEPARATOR, *[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in trigrams])
-    return keyed.select("doc_id", "text_hash", held.alias("held")).where("held <> ''").select("doc_id", "text_hash", F.explode(F.split("held", _SEPARATOR)).alias("trigram"))
+    # generated, so that the optimizer cannot write the expression into each of its uses
+    lower = keyed.select("doc_id", "text_hash", F.explode(F.array(F.lower("text"))).alias("lower"))
+    held = F.concat_ws(_SEPARATOR, *[F.when(F.contains("lower", F.lit(t)), F.lit(t)) for t in trigrams])
+    return lower.select("doc_id", "text_hash", F.explode(F.split(held, _SEPARATOR)).alias("trigram")).where("trigram <> ''")
 
 
 def candidates(index: DataFrame, queries: dict[str, frozenset]) -> DataFrame:
