@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, language_id, license_scan, oracles, secret_scan, sentencepiece_codec, simhash, token_counts
+from corpusloom.llm import chat_format, decontaminate, language_id, license_scan, oracles, secret_scan, sentencepiece_codec, simhash, token_counts
 from corpusloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -49,5 +53,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.layout(rows.unionByName(spark.range(1).select(F.inline(turns)))))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_secrets, op4_sentencepiece, op7_language_id, op8_token_counts, op9_licenses, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_secrets, op4_sentencepiece, op7_language_id, op8_token_counts, op9_licenses, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql(), "op9_licenses": oracles.license_scan_sql(), "op10_chat_format": oracles.chat_format_sql()}

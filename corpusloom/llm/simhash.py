@@ -232,9 +232,7 @@ def allot(nodes: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> Allotment:
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """nodes: distinct fp. Returns a, b: links that join every pair within TAU bits into one
     component; every link returned is such a pair."""
-    spark = nodes.sparkSession
-    plan = allot(nodes)
-    shipped = spark.sparkContext.broadcast(plan)  # partitions and a few thousand shares
+    plan = allot(nodes)  # partitions and a few thousand shares
     index = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(p))) for p in plan.parts])).alias("part", "value"))
     heavy = materialize(index.groupBy("part", "value").count().where(F.col("count") > bucket).select("part", "value"), "simhash-heavy")
     crowded = heavy.limit(1).count() > 0
@@ -247,7 +245,7 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                part, value, fp = shipped.value.probes(batch.column(0).slice(at, 2048).to_numpy().view("<u8"))
+                part, value, fp = plan.probes(batch.column(0).slice(at, 2048).to_numpy().view("<u8"))
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(value.view("<i8")), pa.array(fp.view("<i8"))], ["part", "value", "probe"])
 
     probes = nodes.select("fp").mapInArrow(run, "part int, value long, probe long")
