@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import id_text, worker_cache
 from corpusloom.sources.storage import path_exists, scratch_path
 
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
 LONGEST_KEPT = 64
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
