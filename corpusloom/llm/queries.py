@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, decontaminate, language_id, license_scan, lm_scoring, oracles, secret_scan, sentencepiece_codec, simhash, token_counts
+from corpusloom.llm import chat_format, decontaminate, language_id, license_scan, lm_scoring, oracles, secret_scan, sentencepiece_codec, simhash, token_counts, vector_dedup
 from corpusloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.layout(rows.unionByName(spark.range(1).select(F.inline(turns)))))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_secrets, op4_sentencepiece, op6_lm_scores, op7_language_id, op8_token_counts, op9_licenses, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_secrets, op4_sentencepiece, op5_vector_dedup, op6_lm_scores, op7_language_id, op8_token_counts, op9_licenses, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql(), "op9_licenses": oracles.license_scan_sql(), "op10_chat_format": oracles.chat_format_sql()}
