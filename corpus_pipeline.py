@@ -1,11 +1,70 @@
-"""Five stages over documents."""
+"""A corpus pipeline over documents in five stages.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has left;
+all but the last return the columns of documents. A row is judged by its own content or
+its doc_id: rows that share a doc_id are one document and stay or go together, and a row
+without a doc_id goes only by its content.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import decontaminate, language_id, secret_scan, sentencepiece_codec, simhash
+from corpusloom.sources.storage import materialize
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """docs without the rows of these ids. The ids are stored first, so that the join strategy
+    follows their measured size."""
+    gone = materialize(ids.where("doc_id is not null").distinct(), name)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those that language identification cannot place go."""
+    found = language_id.classify(docs, language_id.learn(docs), keep_row=True)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component of near-equal fingerprints."""
+    found = simhash.near_duplicates(docs)
+    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "pipeline-copies")
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, leaks.select("doc_id"), "pipeline-leaks")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by their kind, n_chars counted anew."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, decoded, n_tokens and the digests of ids and decoded text."""
+    tokens = sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_codec.digests(tokens, keep=("ids", "decoded"))
+
+
+STAGES = [
+    ("language", keep_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("secrets", redact_secrets),
+    ("sentencepiece", encode),
+]
+ORACLE_SQL = None  # no stage but the fourth can be stated in SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is stored before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -134,10 +134,11 @@ def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     return tokens.select(tokens[id_col].alias("doc_id"), tokens[ids_col].alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """Counts and digests of what encode() gives."""
+def digests(tokens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and digests of what encode() gives, and the columns to keep of it."""
     return tokens.select(
         "doc_id",
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
