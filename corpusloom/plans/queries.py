@@ -1,6 +1,529 @@
-"""Named queries over the reference's own operators, and their DuckDB counterparts."""
+"""Named queries over the reference's own operators, and their DuckDB counterparts.
+
+Each callable takes (spark, sf_dir). The tables hold no Japanese text, so the script class of
+the queries is Latin; the Japanese rules are covered by the unit tests.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import chat, corpus, leak, pii, runs, tokens
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq"), "text", "source")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("line_no"), "text")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of the conversations, seq = 1000000 conv_id + turn."""
+    return chat.adjacent_pairs(_turns(spark, sf_dir)).withColumn("seq", F.col("conv_id") * 1_000_000 + F.col("turn"))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that begins anew every 400 lines: line, step, value."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.col("event_id").alias("line"), (F.col("event_id") % 400).alias("step"), "value")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("seq", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+# --- SQL parts -----------------------------------------------------------------------
+
+
+def _sql_string(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_CONTROLS = r"[\x{0}-\x{8}\x{b}-\x{1f}\x{7f}-\x{9f}\p{Cf}\p{Co}]"
+_LINE_ENDS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def _collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_SPACES}', ' ', 'g'))"
+
+
+def _norm(x: str) -> str:
+    return _collapse(f"regexp_replace({x}, '{_CONTROLS}', '', 'g')")
+
+
+def _clean(x: str) -> str:
+    kept = f"list_filter(list_transform(string_split_regex({x}, '{_LINE_ENDS}'), lambda l: regexp_replace(l, '^{_SPACES}|{_SPACES}$', '', 'g')), lambda l: l <> '' AND NOT regexp_matches(l, {_sql_string(T.BOILERPLATE)}))"
+    return _norm(f"array_to_string({kept}, ' ')")
+
+
+def _ratio(x: str) -> str:
+    return f"CASE WHEN length({x}) > 0 THEN length(regexp_replace({x}, '[^A-Za-zÀ-ÿ]', '', 'g')) / length({x})::DOUBLE ELSE 0.0 END"
+
+
+def _repeated(rows: str, key: str, text: str, gram: int, times: int, least: int, last: int, step: str) -> str:
+    """Keys of rows whose text repeats a gram; last: how many of the final places count not."""
+    return f"SELECT DISTINCT {key} FROM (SELECT {key}, substr(t, i::INT + 1, {gram}) AS g, count(*) AS c FROM (SELECT {key}, t, unnest(range(0, length(t) - {gram} + 1 - {last}, {step})) AS i FROM (SELECT {key}, {text} AS t FROM {rows}) WHERE length(t) >= {least}) GROUP BY ALL) WHERE c >= {times}"
+
+
+_STEP = "greatest(1, length(t) // 2000)"
+_SCREEN = f"""
+raw AS (SELECT doc_id, source, coalesce(text, '') AS raw, {_clean("coalesce(text, '')")} AS clean FROM documents),
+cut AS (SELECT doc_id, source, raw, length(clean) AS full_length, left(clean, 20000) AS text FROM raw),
+rep AS ({_repeated("cut", "doc_id", "text", 20, 4, 80, 1, _STEP)}),
+scr AS (SELECT doc_id, source, text, CASE WHEN regexp_matches(raw, {_sql_string(T.REJECTED)}) THEN 'unsuitable' WHEN full_length < 200 THEN 'short'
+        WHEN {_ratio("text")} < 0.7 THEN 'low_ratio' WHEN doc_id IN (SELECT doc_id FROM rep) THEN 'repetitive' END AS early FROM cut),
+judged AS (SELECT *, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY early, left(text, 200) ORDER BY doc_id) > 1 THEN 'duplicate' END) AS reason FROM scr)"""
+_PAIRS = f"""
+turns AS (SELECT conv_id, turn, role, {_collapse("coalesce(text, '')")} AS text FROM conversations),
+heard AS (SELECT *, lag(role) OVER w AS r, lag(text) OVER w AS q FROM turns WHERE role IN ('user', 'assistant') OR text = '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+pairs AS (SELECT conv_id, turn, conv_id * 1000000 + turn AS seq, q, text AS a FROM heard WHERE role = 'assistant' AND text <> '' AND r = 'user' AND q <> '')"""
+_POINTS = "points AS (SELECT event_id AS line, event_id % 400 AS step, value FROM events)"
+
+
+# --- cleaning and filters --------------------------------------------------------------
+
+
+@query(f"WITH {_SCREEN} SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM judged WHERE reason IS NULL")
+def corpus_clean(spark, sf_dir):
+    screened = corpus.reject_duplicates(corpus.screen(_docs(spark, sf_dir), script=T.LATIN))
+    return screened.where("reason is null").select(F.col("seq").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_norm('text')} AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n_chars, strlen(t)::BIGINT AS n_bytes, md5(t) AS digest FROM d")
+def normalize_text(spark, sf_dir):
+    t = F.col("t")
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), T.normalize(F.col("text")).alias("t")).select("doc_id", F.length(t).cast("long").alias("n_chars"), F.octet_length(t).cast("long").alias("n_bytes"), F.md5(t).alias("digest"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_clean('text')} AS t FROM documents) SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM d")
+def line_filter(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), T.clean_document(F.col("text")).alias("t")).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
+
+
+@query(f"SELECT doc_id, round({_ratio('text')}, 6) AS ratio FROM documents")
+def script_ratio(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.round(T.script_ratio(F.col("text"), T.LATIN), 6).alias("ratio"))
+
+
+@query("SELECT doc_id, length(left(text, 20000))::BIGINT AS n_chars, md5(left(text, 200)) AS prefix_digest, length(text) >= 200 AS long_enough FROM documents")
+def length_rules(spark, sf_dir):
+    t = F.col("text")
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.length(F.substring(t, 1, 20_000)).cast("long").alias("n_chars"), F.md5(T.prefix_key(t)).alias("prefix_digest"), (F.length(t) >= 200).alias("long_enough"))
+
+
+@query(f"WITH rep AS ({_repeated('documents', 'doc_id', 'text', 20, 4, 80, 1, _STEP)}) SELECT doc_id, doc_id IN (SELECT doc_id FROM rep) AS repetitive FROM documents")
+def repetition_flag(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), T.is_repetitive(F.col("text")).alias("repetitive"))
+
+
+@query(f"WITH {_SCREEN} SELECT coalesce(reason, 'kept') AS reason, count(*)::BIGINT AS n FROM judged GROUP BY 1")
+def reject_reasons(spark, sf_dir):
+    screened = corpus.reject_duplicates(corpus.screen(_docs(spark, sf_dir), script=T.LATIN))
+    return screened.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY left(text, 200) ORDER BY doc_id) = 1")
+def prefix_dedup(spark, sf_dir):
+    return corpus.first_of(_docs(spark, sf_dir), [T.prefix_key(F.col("text"))]).select(F.col("seq").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def exact_dedup(spark, sf_dir):
+    return corpus.first_of(_docs(spark, sf_dir), [F.sha2("text", 256)]).select(F.col("seq").alias("doc_id"))
+
+
+# --- budgets, samples, splits, mixes -----------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents QUALIFY coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000000")
+def char_budget(spark, sf_dir):
+    return corpus.within_budget(_sized(spark, sf_dir), 1_000_000).select(F.col("seq").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents QUALIFY (row_number() OVER (ORDER BY doc_id) - 1) % 7 = 0")
+def every_nth(spark, sf_dir):
+    return corpus.every(_sized(spark, sf_dir), 7).select(F.col("seq").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents QUALIFY coalesce(sum(length(text)) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 40000")
+def tail_holdout(spark, sf_dir):
+    return corpus.tail(_sized(spark, sf_dir), 40_000).select(F.col("seq").alias("doc_id"))
+
+
+@query("""WITH n AS (SELECT doc_id, length(text) AS c, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents),
+v AS (SELECT doc_id FROM n WHERE k % 20 = 0 QUALIFY coalesce(sum(c) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 100000)
+SELECT doc_id, doc_id IN (SELECT doc_id FROM v) AS validation FROM n""")
+def val_split(spark, sf_dir):
+    return corpus.split_validation(_sized(spark, sf_dir), 20, 100_000).select(F.col("seq").alias("doc_id"), "validation")
+
+
+@query("""WITH n AS (SELECT doc_id, length(text) // 2 AS c, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents),
+v AS (SELECT doc_id FROM n WHERE k % 10 = 0 QUALIFY coalesce(sum(c) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 20000),
+e AS (SELECT *, CASE WHEN doc_id IN (SELECT doc_id FROM v) THEN 'val' ELSE 'train' END AS part FROM n JOIN (SELECT doc_id, length(text) AS chars FROM documents) USING (doc_id))
+SELECT part, count(*)::BIGINT AS docs, sum(c)::BIGINT AS tokens, round_even(sum(chars) / greatest(sum(c), 1), 4) AS chars_per_token FROM e GROUP BY part""")
+def encode_split(spark, sf_dir):
+    sized = _sized(spark, sf_dir).withColumn("n_tokens", F.floor(F.col("n_chars") / 2))
+    return tokens.encode_summary(tokens.encode_split(sized, 10, 20_000))
+
+
+@query("SELECT source, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars, round_even(sum(length(text)) / greatest(sum(sum(length(text))) OVER (), 1), 4) AS share FROM documents GROUP BY source")
+def source_share(spark, sf_dir):
+    return corpus.source_share(_sized(spark, sf_dir))
+
+
+@query()
+def mix_corpus(spark, sf_dir):
+    rows = _sized(spark, sf_dir)
+    return corpus.mix([(rows, 1.5), (rows.where("source = 'src0'"), 2.25)], 7).groupBy("part", "copy").agg(F.count("*").alias("n"))
+
+
+@query()
+def seeded_shuffle(spark, sf_dir):
+    return corpus.shuffled(_sized(spark, sf_dir), 11).select("seq", "position")
+
+
+@query("SELECT greatest(1, (count(*) * 0.01)::INT)::BIGINT AS validation_rows, count(*)::BIGINT AS all_rows FROM documents")
+def fraction_split(spark, sf_dir):
+    split = corpus.fraction_split(_sized(spark, sf_dir), 0.01, 3)
+    return split.agg(F.count_if("validation").alias("validation_rows"), F.count("*").alias("all_rows"))
+
+
+@query(f"""WITH {_SCREEN}, kept AS (SELECT *, length(text) AS n FROM judged WHERE reason IS NULL QUALIFY coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 500000)
+SELECT count(*)::BIGINT AS total_documents, sum(n)::BIGINT AS total_chars, (SELECT count(*)::BIGINT FROM judged WHERE reason = 'duplicate' AND doc_id <= (SELECT max(doc_id) FROM kept)) AS duplicates FROM kept""")
+def corpus_manifest(spark, sf_dir):
+    built = corpus.build([("documents", _docs(spark, sf_dir), 500_000)], script=T.LATIN)
+    row = corpus.manifest(*built)
+    return row.select("total_documents", "total_chars", F.coalesce(F.try_element_at("rejected", F.lit("duplicate")), F.lit(0)).alias("duplicates"))
+
+
+# --- conversations -----------------------------------------------------------------------
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, md5(q) AS q, md5(a) AS a FROM pairs")
+def chat_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.md5("q").alias("q"), F.md5("a").alias("a"))
+
+
+@query("SELECT c.conv_id, c.turn, md5(p.text) AS q, md5(c.text) AS a FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role = 'user' WHERE c.role = 'assistant'")
+def parent_child_join(spark, sf_dir):
+    name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    m = _turns(spark, sf_dir).select(name(F.col("turn")).alias("message_id"), name(F.col("turn") - 1).alias("parent_id"), "role", "text", F.lit(False).alias("flagged"), F.col("turn").alias("seq"))
+    part = lambda n: F.split("message_id", ":")[n].cast("long")
+    return chat.pairs_of_tree(m).select(part(0).alias("conv_id"), part(1).alias("turn"), F.md5("q").alias("q"), F.md5("a").alias("a"))
+
+
+@query(f"WITH {_PAIRS} SELECT seq FROM pairs WHERE length(q) <= 300 AND length(a) BETWEEN 4 AND 600")
+def pair_length(spark, sf_dir):
+    return chat.fitting(_pairs(spark, sf_dir), 300, 4, 600).select("seq")
+
+
+@query(f"WITH {_PAIRS}, rep AS ({_repeated('pairs', 'seq', 'a', 6, 4, 12, 0, '1')}) SELECT seq, q = a OR seq IN (SELECT seq FROM rep) AS broken FROM pairs")
+def broken_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("seq", T.looks_broken(F.col("q"), F.col("a")).alias("broken"))
+
+
+@query(f"WITH {_PAIRS} SELECT seq FROM pairs QUALIFY row_number() OVER (PARTITION BY q, a ORDER BY seq) = 1")
+def pair_dedup(spark, sf_dir):
+    return chat.distinct_pairs(_pairs(spark, sf_dir)).select("seq")
+
+
+@query(f"WITH {_PAIRS} SELECT seq, md5('<|user|>' || q || '<|assistant|>' || a || '<|end|>') AS line, md5(q) AS q, md5(a) AS a FROM pairs")
+def chat_lines(spark, sf_dir):
+    lines = _pairs(spark, sf_dir).select("seq", T.chat_line(F.col("q"), F.col("a")).alias("line"))
+    back = lines.select("seq", "line", F.inline(T.chat_pairs_of_line(F.col("line"))))
+    return back.select("seq", F.md5("line").alias("line"), F.md5("q").alias("q"), F.md5("a").alias("a"))
+
+
+@query(f"WITH {_PAIRS} SELECT count(*)::BIGINT AS pairs, sum(length(q) + length(a))::BIGINT AS chars, (SELECT count(DISTINCT c)::BIGINT FROM (SELECT unnest(string_split(q || a, '')) AS c FROM pairs)) AS distinct_chars, round_even(avg(length(q)), 1) AS avg_q, round_even(avg(length(a)), 1) AS avg_a FROM pairs")
+def sft_summary(spark, sf_dir):
+    return chat.summary(_pairs(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS}, rare AS (SELECT c FROM (SELECT unnest(string_split(q || a, '')) AS c FROM pairs) GROUP BY c HAVING count(*) < 300) SELECT seq FROM pairs WHERE NOT EXISTS (SELECT 1 FROM rare WHERE contains(q || a, c))")
+def rare_chars(spark, sf_dir):
+    return chat.without_rare(_pairs(spark, sf_dir), 300).select("seq")
+
+
+@query(f"WITH {_PAIRS} SELECT seq FROM pairs WHERE (q, a) NOT IN (SELECT (q, a) FROM pairs WHERE conv_id % 10 = 0)")
+def holdout_exact(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return chat.without_exact(p, p.where("conv_id % 10 = 0")).select("seq")
+
+
+@query("""WITH h AS (SELECT DISTINCT substr(text, i::INT + 1, 40) AS g FROM (SELECT text, unnest(range(0, length(text) - 39)) AS i FROM benchmark WHERE length(text) >= 40)),
+w AS (SELECT doc_id, substr(text, i::INT + 1, 40) AS g FROM (SELECT doc_id, text, unnest(range(0, length(text) - 39)) AS i FROM documents WHERE length(text) >= 40))
+SELECT DISTINCT doc_id FROM w SEMI JOIN h USING (g)""")
+def holdout_fragment(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("seq", "text")
+    return chat.seeds_shared(docs, _lines(spark, sf_dir), 40).select(F.col("seq").alias("doc_id"))
+
+
+# --- leaks and contacts ------------------------------------------------------------------
+
+_PROBES = f"""
+t AS (SELECT item_id, {_collapse("regexp_replace(text, '<[|](user|assistant|end|endoftext)[|]>', '', 'g')")} AS t FROM benchmark),
+s AS (SELECT item_id, substr(t, round_even((length(t) - 48) * i / 2.0, 0)::INT + 1, 96) AS r FROM t, range(0, 3) x(i) WHERE length(t) >= 48),
+g AS (SELECT item_id, (SELECT min(n) FROM range(48, greatest(48, length(r)) + 1) y(n) WHERE strlen(left(r, n::INT)) >= 96) AS n, r FROM s),
+probes AS (SELECT left(r, n::INT) AS probe, min(item_id) AS line_no FROM g WHERE n IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"WITH {_PROBES} SELECT * FROM probes")
+def leak_probes(spark, sf_dir):
+    return leak.probes(_lines(spark, sf_dir))
+
+
+@query(f"WITH {_PROBES} SELECT doc_id, line_no, md5(probe) AS probe, ((length(text) - length(replace(text, probe, ''))) / length(probe))::BIGINT AS n FROM documents, probes WHERE contains(text, probe)")
+def leak_hits(spark, sf_dir):
+    wanted = leak.probes(_lines(spark, sf_dir))
+    docs = _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), "text")
+    hits = leak.occurrences(docs, wanted).groupBy("doc_id", "probe").agg(F.count("*").alias("n"))
+    return hits.join(wanted, "probe").select("doc_id", "line_no", F.md5("probe").alias("probe"), "n")
+
+
+@query(f"WITH {_PROBES}, hit AS (SELECT DISTINCT line_no FROM probes SEMI JOIN documents ON contains(text, probe)) SELECT item_id AS line_no FROM benchmark WHERE item_id NOT IN (SELECT line_no FROM hit)")
+def clean_holdout(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), "text")
+    return leak.clean_lines(_lines(spark, sf_dir), leak.report(docs, _lines(spark, sf_dir))).select("line_no")
+
+
+def _contacts(column: str = "text") -> str:
+    one = "SELECT doc_id, '{0}' AS kind, unnest(regexp_extract_all({2}, {1})) AS secret, generate_subscripts(regexp_extract_all({2}, {1}), 1) - 1 AS pos, {2} AS text FROM documents"
+    return " UNION ALL ".join(one.format(kind, _sql_string(regex), column) for kind, regex in pii.KINDS)
+
+
+#: The tables hold no number of the phone rule's form, so two spellings of theirs are rewritten.
+_PHONES = (r"\+1 \((\d{3})\) (\d{3})-(\d{4})", r"0\1-\2-\3")
+
+
+def _contact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.regexp_replace("text", _PHONES[0], "0$1-$2-$3").alias("text"))
+
+
+_CONTACTS = f"m AS (SELECT doc_id, kind, secret, pos, text, regexp_matches(lower(secret), {_sql_string(pii.PLACEHOLDER)}) AS placeholder FROM ({_contacts(f'''regexp_replace(text, '{_PHONES[0]}', '{_PHONES[1]}', 'g')''')}))"
+
+
+@query(f"WITH {_CONTACTS} SELECT doc_id, kind, pos::INT AS position, secret, placeholder FROM m")
+def pii_matches(spark, sf_dir):
+    return pii.matches(_contact_docs(spark, sf_dir)).select("doc_id", "kind", "position", "secret", "placeholder")
+
+
+@query(f"WITH {_CONTACTS}, u AS (SELECT DISTINCT secret, strpos(secret, '@') AS p FROM m) SELECT secret, CASE WHEN p > 0 THEN left(left(secret, p - 1), 2) || repeat('*', greatest(0, p - 3)) || substr(secret, p) ELSE left(secret, 3) || repeat('*', greatest(0, length(secret) - 3)) END AS masked FROM u")
+def pii_mask(spark, sf_dir):
+    return pii.matches(_contact_docs(spark, sf_dir)).select("secret").distinct().withColumn("masked", T.mask_contact(F.col("secret")))
+
+
+@query(f"WITH {_CONTACTS} SELECT kind, count(*)::BIGINT AS n, count(DISTINCT secret)::BIGINT AS distinct_n, count(*) FILTER (placeholder)::BIGINT AS placeholders, count(*) FILTER (NOT placeholder)::BIGINT AS others, count(DISTINCT secret) FILTER (NOT placeholder)::BIGINT AS distinct_others FROM m GROUP BY kind")
+def pii_summary(spark, sf_dir):
+    return pii.summary(pii.matches(_contact_docs(spark, sf_dir)))
+
+
+# --- tokens --------------------------------------------------------------------------------
+
+
+def _chat_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select(F.col("seq").alias("doc_id"), T.chat_line(F.col("q"), F.col("a")).alias("text"))
+
+
+_PIECES = f"""{_PAIRS}, pieces AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS piece FROM
+ (SELECT seq AS doc_id, ['<|user|>'] || string_split(q, '') || ['<|assistant|>'] || string_split(a, '') || ['<|end|>'] AS p FROM pairs))"""
+_VOCAB = """vocab AS (SELECT c AS token, row_number() OVER (ORDER BY c) + 3 AS id FROM (SELECT DISTINCT piece AS c FROM pieces WHERE piece NOT IN ('<|user|>', '<|assistant|>', '<|end|>'))
+ UNION ALL VALUES ('<|unk|>', 0), ('<|user|>', 1), ('<|assistant|>', 2), ('<|end|>', 3))"""
+
+
+@query(f"WITH {_PIECES}, {_VOCAB} SELECT token, id::BIGINT AS id FROM vocab")
+def char_vocab(spark, sf_dir):
+    return tokens.vocabulary(_chat_docs(spark, sf_dir))
+
+
+@query(f"WITH {_PIECES}, {_VOCAB} SELECT doc_id, count(*)::BIGINT AS n, md5(string_agg(id::VARCHAR, ' ' ORDER BY pos)) AS digest FROM pieces JOIN vocab ON piece = token GROUP BY doc_id")
+def char_encode(spark, sf_dir):
+    docs = _chat_docs(spark, sf_dir)
+    rows = tokens.char_tokens(docs, tokens.vocabulary(docs)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join(F.transform("t", lambda x: x["token"].cast("string")), " ")).alias("digest"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN ends_with(text, '<|end|>') THEN text ELSE text || '<|end|>' END) AS digest FROM documents")
+def end_append(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.md5(T.with_end(F.col("text"))).alias("digest"))
+
+
+_MASK = f"{_PIECES}, marked AS (SELECT doc_id, pos, piece, last_value(CASE WHEN piece IN ('<|user|>', '<|assistant|>', '<|end|>') THEN piece END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM pieces), masked AS (SELECT *, (coalesce(m = '<|assistant|>', false) AND piece NOT IN ('<|user|>', '<|assistant|>'))::INT AS weight FROM marked)"
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chat_docs(spark, sf_dir).select("doc_id", F.posexplode(tokens.pieces(F.col("text"))).alias("pos", "piece"))
+    return tokens.loss_mask(rows)
+
+
+@query(f"WITH {_MASK} SELECT doc_id, sum(weight)::BIGINT AS targets, min(pos) FILTER (weight = 1)::INT AS first_target, max(pos) FILTER (weight = 1)::INT AS last_target FROM masked GROUP BY doc_id")
+def loss_mask(spark, sf_dir):
+    on = F.when(F.col("weight") == 1, F.col("pos"))
+    return _masked(spark, sf_dir).groupBy("doc_id").agg(F.sum("weight").alias("targets"), F.min(on).alias("first_target"), F.max(on).alias("last_target"))
+
+
+@query(f"WITH {_MASK} SELECT count(*)::BIGINT AS tokens, sum(weight)::BIGINT AS targets, sum(weight) / count(*) AS ratio FROM masked")
+def mask_ratio(spark, sf_dir):
+    return tokens.mask_ratio(_masked(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(text, '') AS c, length(text) AS n FROM documents)
+SELECT doc_id, w::INT AS "window", md5(array_to_string(c[w * 256 + 1 : w * 256 + 257], '')) AS digest FROM (SELECT *, unnest(range(0, (n - 1) // 256)) AS w FROM d)""")
+def token_windows(spark, sf_dir):
+    arrays = _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("tokens"))
+    return tokens.token_windows(arrays).select("doc_id", "window", F.md5(F.array_join("tokens", "")).alias("digest"))
+
+
+@query()
+def batch_sample(spark, sf_dir):
+    return tokens.batch_offsets(spark, 1_000_000, 256, 32, 1234, 20)
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    parts = _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.posexplode(T.split_sentences(F.col("text"), 60, 600)).alias("n", "sentence"))
+    return parts.select("doc_id", "n", F.length("sentence").alias("n_chars"), F.md5("sentence").alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, CASE WHEN strlen(text) <= 600 THEN [text] ELSE list_transform(range(0, length(text), 200), lambda i: substr(text, i::INT + 1, 200)) END AS parts FROM documents)
+SELECT doc_id, len(k)::BIGINT AS n, md5(array_to_string(k, '|')) AS digest FROM (SELECT doc_id, CASE WHEN strlen(text) <= 600 THEN parts ELSE list_filter(parts, lambda p: trim(regexp_replace(p, '\\s', ' ', 'g')) <> '') END AS k FROM d)""")
+def hard_split(spark, sf_dir):
+    parts = T.hard_split(F.col("text"), 600)
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.size(parts).cast("long").alias("n"), F.md5(F.array_join(parts, "|")).alias("digest"))
+
+
+@query()
+def subword_encode(spark, sf_dir):
+    import public_tokenizers
+
+    rows = tokens.subword_encode(_docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"))
+
+
+# --- run logs and evaluation -----------------------------------------------------------------
+
+
+@query(f"WITH {_POINTS} SELECT line, step, value FROM points QUALIFY coalesce(step < min(step) OVER (ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true)")
+def keep_last_run(spark, sf_dir):
+    return runs.keep_last_run(_points(spark, sf_dir))
+
+
+@query(f"WITH {_POINTS} SELECT line, step, value FROM points QUALIFY row_number() OVER (PARTITION BY step ORDER BY line DESC) = 1")
+def last_by_step(spark, sf_dir):
+    return runs.last_by_step(_points(spark, sf_dir))
+
+
+def _gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 4000").select(F.col("event_id").alias("step"), "value")
+    return runs.gaps(events.where("step % 3 <> 0"), events.where("step % 7 = 0"))
+
+
+_GAP = """e AS (SELECT event_id AS step, value FROM events WHERE event_id < 4000), tr AS (SELECT * FROM e WHERE step % 3 <> 0), va AS (SELECT * FROM e WHERE step % 7 = 0),
+lo AS (SELECT va.step, va.value AS v, tr.step AS ls, tr.value AS lv FROM va ASOF LEFT JOIN tr ON va.step >= tr.step),
+b AS (SELECT lo.*, tr.step AS hs, tr.value AS hv FROM lo ASOF LEFT JOIN tr ON lo.step <= tr.step),
+gap AS (SELECT step, v AS val, CASE WHEN ls IS NULL THEN hv WHEN hs IS NULL OR hs = ls THEN lv ELSE lv + (hv - lv) * ((step - ls) / (hs - ls)) END AS train FROM b)"""
+
+
+@query(f"WITH {_GAP} SELECT step, round(val, 6) AS val, round(train, 6) AS train, round(val - train, 6) AS gap FROM gap")
+def asof_gap(spark, sf_dir):
+    return _gap(spark, sf_dir).select("step", *[F.round(c, 6).alias(c) for c in ("val", "train", "gap")])
+
+
+@query(f"WITH {_GAP} SELECT coalesce(min(step) FILTER (val > train), 0)::BIGINT AS divergence_step FROM gap")
+def divergence_step(spark, sf_dir):
+    return runs.divergence_step(_gap(spark, sf_dir))
+
+
+@query(f"WITH {_POINTS} SELECT line // 400 AS run, arg_min(step, (value, step)) AS best_step, min(value) AS best_value FROM points GROUP BY 1")
+def best_point(spark, sf_dir):
+    return runs.best_point(_points(spark, sf_dir).withColumn("run", F.floor(F.col("line") / 400)), "run")
+
+
+@query(f"WITH {_POINTS}, r AS (SELECT line // 400 AS run, * FROM points) SELECT run, arg_max(value, step) AS final_train, arg_min(step, (value, step)) AS best_step, min(value) AS best_value FROM r GROUP BY run")
+def run_comparison(spark, sf_dir):
+    p = _points(spark, sf_dir).withColumn("run", F.floor(F.col("line") / 400))
+    return runs.run_table(p, p)
+
+
+@query(f"WITH {_POINTS} SELECT (step - 1) // 50 AS \"interval\", round(avg(value), 6) AS loss, round(sum(value) / count(*), 6) AS tok_per_sec FROM points WHERE step > 0 GROUP BY 1")
+def interval_means(spark, sf_dir):
+    log = _points(spark, sf_dir).where("step > 0").select("step", F.col("value").alias("loss"), F.col("value").alias("tokens"), F.lit(1).alias("seconds"))
+    return runs.interval_means(log, 50).select("interval", F.round("loss", 6).alias("loss"), F.round("tok_per_sec", 6).alias("tok_per_sec"))
+
+
+@query("SELECT 'user ' || (user_id % 5) AS model, round(avg(value) FILTER (event_type = 'click'), 6) AS click, round(avg(value) FILTER (event_type = 'view'), 6) AS \"view\" FROM events GROUP BY 1")
+def pivot_scores(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    scores = events.groupBy(F.concat(F.lit("user "), (F.col("user_id") % 5).cast("string")).alias("model"), F.col("event_type").alias("domain")).agg(F.round(F.avg("value"), 6).alias("bits_per_char"))
+    return runs.pivot_scores(scores, ["click", "view"])
+
+
+@query("WITH s AS (SELECT event_id * 10 AS step FROM events WHERE event_id < 300), m AS (SELECT event_id * 7 AS mark FROM events WHERE event_id < 300 AND event_id % 11 = 0) SELECT step FROM s WHERE NOT EXISTS (SELECT 1 FROM m WHERE mark > step - 10 AND mark < step)")
+def usable_steps(spark, sf_dir):
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 300").select("event_id")
+    return runs.usable_steps(ids.select((F.col("event_id") * 10).alias("step")), ids.where("event_id % 11 = 0").select((F.col("event_id") * 7).alias("mark")), 10)
+
+
+@query("WITH x AS (SELECT event_id AS step, value FROM events WHERE event_id % 2 = 0), y AS (SELECT event_id + 4 AS step, value FROM events) SELECT step, round(abs(x.value - y.value), 6) AS diff FROM x JOIN y USING (step)")
+def curve_difference(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    a, b = e.where("event_id % 2 = 0").select(F.col("event_id").alias("step"), "value"), e.select((F.col("event_id") + 4).alias("step"), "value")
+    return runs.curve_difference(a, b).select("step", F.round("diff", 6).alias("diff"))
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'), k AS (SELECT conv_id * 1000000 + turn AS id, text FROM r), rep AS ({_repeated('k', 'id', 'text', 3, 3, 9, 0, '1')})
+SELECT avg((id IN (SELECT id FROM rep))::INT) AS repetition_rate, avg((length(trim(text)) < 4)::INT) AS broken_rate, avg((contains(text, 'the') OR contains(text, 'die'))::INT) AS topic_rate, avg(length(text)) AS avg_reply_len FROM k""")
+def reply_metrics(spark, sf_dir):
+    replies = _turns(spark, sf_dir).where("role = 'assistant'").select(F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("truncated"), F.array(F.lit("the"), F.lit("die")).alias("keywords"))
+    return runs.reply_rates(runs.reply_flags(replies))
+
+
+@query("""WITH m(metric, lower_is_better) AS (VALUES ('bits_per_char', true), ('repetition_rate', true), ('topic_rate', false), ('broken_rate', true)),
+v AS (SELECT m.*, (SELECT round(avg(value), 4) FROM events WHERE event_id % 4 = i) AS now, (SELECT round(avg(value), 4) FROM events WHERE event_id % 5 = i) AS before FROM (SELECT *, row_number() OVER () - 1 AS i FROM m) m)
+SELECT metric, now, before, round(now - before, 6) AS delta, CASE WHEN abs(now - before) < 1e-9 THEN 'unchanged' WHEN (now < before) = lower_is_better THEN 'improved' ELSE 'worsened' END AS verdict, round(CASE WHEN lower_is_better THEN now - before ELSE before - now END, 6) AS cost FROM v""")
+def metric_comparison(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    names = F.array(*map(F.lit, runs.METRICS))
+    side = lambda n: events.where(F.col("event_id") % n < len(runs.METRICS)).groupBy(F.get(names, (F.col("event_id") % n).cast("int")).alias("metric")).agg(F.round(F.avg("value"), 4).alias("value"))
+    return runs.comparison(side(4), side(5)).select("metric", "now", "before", F.round("delta", 6).alias("delta"), "verdict", F.round("cost", 6).alias("cost"))
+
+
+@query("SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN 0.00002 + event_id * 0.00098 / 100 ELSE 0.0001 + 0.00045 * (1 + cos(pi() * least((event_id - 100) / 900.0, 1.0))) END, 9) AS rate FROM events WHERE event_id <= 1000")
+def learning_rate(spark, sf_dir):
+    steps = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id <= 1000").select(F.col("event_id").alias("step"))
+    return steps.withColumn("rate", F.round(T.learning_rate(F.col("step"), 0.001, 1000, 100, 0.1), 9))
+
+
+@query("SELECT event_type, min(event_id)::BIGINT AS first_seq FROM events GROUP BY 1")
+def distinct_in_order(spark, sf_dir):
+    return runs.distinct_in_order(spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_id", "seq"), "event_type")
+
+
+@query("SELECT user_id, (value * 3240)::DOUBLE AS tokens, floor(value * 3240)::BIGINT AS tokens_in_budget, floor(floor(value * 3240) / 512)::BIGINT AS steps_in_budget, floor(value * 3240) / 1000.0 AS d_over_n FROM events WHERE event_id < 50")
+def time_budget(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 50")
+    return e.select("user_id", (F.col("value") * 3240).alias("tokens"), *[c.alias(n) for n, c in runs.budget(F.col("value"), 3240, F.lit(512), F.lit(1000.0)).items()])
