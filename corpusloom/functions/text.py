@@ -78,20 +78,33 @@ def strided_windows(text: Column, size: int, stride: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(.{{{size}}}).{{0,{stride - size}}}"), F.lit(1))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, also where f uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _repeats(grams: Column, times: int) -> Column:
     """True if a value occurs the given number of times: then it stands at both ends of a run
     of the sorted values."""
-    s, n = F.sort_array(grams), F.size(grams) - (times - 1)
-    ends = F.arrays_zip(F.slice(s, F.lit(1), n).alias("a"), F.slice(s, F.lit(times), n).alias("b"))
-    return F.when(n > 0, F.exists(ends, lambda x: x["a"] == x["b"])).otherwise(F.lit(False))
+
+    def ends(s):
+        n = F.size(s) - (times - 1)
+        pairs = F.arrays_zip(F.slice(s, F.lit(1), n).alias("a"), F.slice(s, F.lit(times), n).alias("b"))
+        return F.when(n > 0, F.exists(pairs, lambda x: x["a"] == x["b"])).otherwise(F.lit(False))
+
+    return let(F.sort_array(grams), ends)
 
 
 def is_repetitive(text: Column, gram: int = 20, times: int = 4) -> Column:
     """Some gram occurs `times` times among those at every step-th place, the last place left
     out; step is length // 2000, at least 1. Texts under gram * times characters are not."""
+
+    def chosen(s):
+        return F.filter(s["w"], lambda x, i: (i % s["step"] == 0) & (i < s["n"] - gram))
+
     size = F.length(text)
     step = F.greatest(F.lit(1), F.floor(size / 2000)).cast("int")
-    grams = F.filter(windows(text, gram), lambda x, i: (i % step == 0) & (i < size - gram))
+    grams = let(F.struct(windows(text, gram).alias("w"), step.alias("step"), size.alias("n")), chosen)
     return F.when(size >= gram * times, _repeats(grams, times)).otherwise(F.lit(False))
 
 
