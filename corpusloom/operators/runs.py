@@ -12,10 +12,10 @@ from corpusloom.operators.corpus import last_of
 METRICS = {"bits_per_char": True, "repetition_rate": True, "topic_rate": False, "broken_rate": True}
 
 
-def keep_last_run(points: DataFrame) -> DataFrame:
-    """points (line, step, ...) whose step is below every later one: a log that began anew
-    keeps its last run. A log is a curve of one run, so one window holds it."""
-    later = Window.orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+def keep_last_run(points: DataFrame, *by: str) -> DataFrame:
+    """points (line, step, ...) whose step is below every later one of their log (by): a log
+    that began anew keeps its last run. One log is one window."""
+    later = Window.partitionBy(*by).orderBy("line").rowsBetween(1, Window.unboundedFollowing)
     return points.withColumn("_m", F.min("step").over(later)).where(F.col("_m").isNull() | (F.col("step") < F.col("_m"))).drop("_m")
 
 
@@ -23,22 +23,22 @@ def last_by_step(points: DataFrame) -> DataFrame:
     return last_of(points, [F.col("step")], "line")
 
 
-def gaps(train: DataFrame, val: DataFrame) -> DataFrame:
-    """step, val, train (the train curve interpolated at the step, its ends held), gap = val -
-    train, for each point of val (step, value)."""
-    both = train.select("step", F.col("value").alias("t"), F.lit(None).cast("double").alias("v")).union(val.select("step", F.lit(None).cast("double"), "value"))
-    point = F.when(F.col("t").isNotNull(), F.struct("step", "t"))
-    lo = F.last(point, True).over(Window.orderBy("step").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    hi = F.first(point, True).over(Window.orderBy("step").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+def gaps(train: DataFrame, val: DataFrame, *by: str) -> DataFrame:
+    """step, val, train (the train curve of the same run (by) interpolated at the step, its ends
+    held), gap = val - train, for each point of val (step, value); null without a curve."""
+    both = train.select(*by, "step", F.col("value").alias("t"), F.lit(None).cast("double").alias("v")).union(val.select(*by, "step", F.lit(None).cast("double"), "value"))
+    point, run = F.when(F.col("t").isNotNull(), F.struct("step", "t")), Window.partitionBy(*by).orderBy("step")
+    lo = F.last(point, True).over(run.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    hi = F.first(point, True).over(run.rangeBetween(Window.currentRow, Window.unboundedFollowing))
     at = both.withColumn("lo", lo).withColumn("hi", hi).where("v is not null")
     part = (F.col("step") - F.col("lo.step")) / F.nullif(F.col("hi.step") - F.col("lo.step"), F.lit(0))
     line = F.when(F.col("lo").isNull(), F.col("hi.t")).when(F.col("hi").isNull() | (F.col("hi.step") == F.col("lo.step")), F.col("lo.t")).otherwise(F.col("lo.t") + (F.col("hi.t") - F.col("lo.t")) * part)
-    return at.select("step", F.col("v").alias("val"), line.alias("train"), (F.col("v") - line).alias("gap"))
+    return at.select(*by, "step", F.col("v").alias("val"), line.alias("train"), (F.col("v") - line).alias("gap"))
 
 
-def divergence_step(gap: DataFrame) -> DataFrame:
-    """The first step from which validation is above training; 0 if none is."""
-    return gap.agg(F.coalesce(F.min(F.when(F.col("gap") > 0, F.col("step"))), F.lit(0)).alias("divergence_step"))
+def divergence_step(gap: DataFrame, *by: str) -> DataFrame:
+    """The first step at which validation is above training; 0 if there is none."""
+    return gap.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("gap") > 0, F.col("step"))), F.lit(0)).alias("divergence_step"))
 
 
 def best_point(points: DataFrame, *by: str) -> DataFrame:
@@ -51,10 +51,15 @@ def closest(rows: DataFrame, ratio: str = "d_over_n", to: float = 20.0) -> DataF
     return rows.orderBy(F.abs(F.col(ratio) - to), "label").limit(1)
 
 
-def usable_steps(shared: DataFrame, marks: DataFrame, interval: int) -> DataFrame:
-    """The steps with no mark m such that step - interval < m < step."""
+def usable_steps(shared: DataFrame, marks: DataFrame, interval: int, *by: str) -> DataFrame:
+    """The steps with no mark m of their run (by) such that step - interval < m < step. Steps and
+    marks meet by the interval they lie in, so it is an equi-join."""
     s, m = F.col("step"), F.col("mark")
-    return shared.join(marks, (m > s - interval) & (m < s), "left_anti")
+    near = marks.select(*[F.col(x).alias(f"_{x}") for x in by], "mark", F.explode(F.array(F.floor(m / interval), F.floor(m / interval) + 1)).alias("_bin"))
+    same = F.floor(s / interval) == F.col("_bin")
+    for x in by:
+        same = same & (F.col(x) == F.col(f"_{x}"))
+    return shared.join(near, same & (m > s - interval) & (m < s), "left_anti")
 
 
 def curve_difference(a: DataFrame, b: DataFrame) -> DataFrame:

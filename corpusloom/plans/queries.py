@@ -269,10 +269,10 @@ def rare_chars(spark, sf_dir):
     return chat.without_rare(_pairs(spark, sf_dir), 300).select("seq")
 
 
-@query(f"WITH {_PAIRS} SELECT seq FROM pairs WHERE (q, a) NOT IN (SELECT (q, a) FROM pairs WHERE conv_id % 10 = 0)")
+@query(f"WITH {_PAIRS} SELECT seq FROM pairs WHERE (q, a) NOT IN (SELECT (q, a) FROM pairs WHERE turn = 1)")
 def holdout_exact(spark, sf_dir):
     p = _pairs(spark, sf_dir)
-    return chat.without_exact(p, p.where("conv_id % 10 = 0")).select("seq")
+    return chat.without_exact(p, p.where("turn = 1")).select("seq")
 
 
 @query("""WITH h AS (SELECT DISTINCT substr(text, i::INT + 1, 40) AS g FROM (SELECT text, unnest(range(0, length(text) - 39)) AS i FROM benchmark WHERE length(text) >= 40)),
@@ -427,9 +427,10 @@ def subword_encode(spark, sf_dir):
 # --- run logs and evaluation -----------------------------------------------------------------
 
 
-@query(f"WITH {_POINTS} SELECT line, step, value FROM points QUALIFY coalesce(step < min(step) OVER (ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true)")
+@query("SELECT user_id, event_id AS line, event_id % 400 AS step FROM events QUALIFY coalesce(step < min(step) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true)")
 def keep_last_run(spark, sf_dir):
-    return runs.keep_last_run(_points(spark, sf_dir))
+    logs = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("line"), (F.col("event_id") % 400).alias("step"))
+    return runs.keep_last_run(logs, "user_id")
 
 
 @query(f"WITH {_POINTS} SELECT line, step, value FROM points QUALIFY row_number() OVER (PARTITION BY step ORDER BY line DESC) = 1")
@@ -438,24 +439,25 @@ def last_by_step(spark, sf_dir):
 
 
 def _gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 4000").select(F.col("event_id").alias("step"), "value")
-    return runs.gaps(events.where("step % 3 <> 0"), events.where("step % 7 = 0"))
+    """Each user's events as a run: the clicks are the validation curve."""
+    points = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("step"), "value", "event_type")
+    return runs.gaps(points.where("event_type <> 'click'"), points.where("event_type = 'click'"), "user_id")
 
 
-_GAP = """e AS (SELECT event_id AS step, value FROM events WHERE event_id < 4000), tr AS (SELECT * FROM e WHERE step % 3 <> 0), va AS (SELECT * FROM e WHERE step % 7 = 0),
-lo AS (SELECT va.step, va.value AS v, tr.step AS ls, tr.value AS lv FROM va ASOF LEFT JOIN tr ON va.step >= tr.step),
-b AS (SELECT lo.*, tr.step AS hs, tr.value AS hv FROM lo ASOF LEFT JOIN tr ON lo.step <= tr.step),
-gap AS (SELECT step, v AS val, CASE WHEN ls IS NULL THEN hv WHEN hs IS NULL OR hs = ls THEN lv ELSE lv + (hv - lv) * ((step - ls) / (hs - ls)) END AS train FROM b)"""
+_GAP = """e AS (SELECT user_id, event_id AS step, value, event_type FROM events), tr AS (SELECT * FROM e WHERE event_type <> 'click'), va AS (SELECT * FROM e WHERE event_type = 'click'),
+lo AS (SELECT va.user_id, va.step, va.value AS v, tr.step AS ls, tr.value AS lv FROM va ASOF LEFT JOIN tr ON va.user_id = tr.user_id AND va.step >= tr.step),
+b AS (SELECT lo.*, tr.step AS hs, tr.value AS hv FROM lo ASOF LEFT JOIN tr ON lo.user_id = tr.user_id AND lo.step <= tr.step),
+gap AS (SELECT user_id, step, v AS val, CASE WHEN ls IS NULL THEN hv WHEN hs IS NULL OR hs = ls THEN lv ELSE lv + (hv - lv) * ((step - ls) / (hs - ls)) END AS train FROM b)"""
 
 
-@query(f"WITH {_GAP} SELECT step, round(val, 6) AS val, round(train, 6) AS train, round(val - train, 6) AS gap FROM gap")
+@query(f"WITH {_GAP} SELECT user_id, step, round(val, 6) AS val, round(train, 6) AS train, round(val - train, 6) AS gap FROM gap")
 def asof_gap(spark, sf_dir):
-    return _gap(spark, sf_dir).select("step", *[F.round(c, 6).alias(c) for c in ("val", "train", "gap")])
+    return _gap(spark, sf_dir).select("user_id", "step", *[F.round(c, 6).alias(c) for c in ("val", "train", "gap")])
 
 
-@query(f"WITH {_GAP} SELECT coalesce(min(step) FILTER (val > train), 0)::BIGINT AS divergence_step FROM gap")
+@query(f"WITH {_GAP} SELECT user_id, coalesce(min(step) FILTER (val > train), 0)::BIGINT AS divergence_step FROM gap GROUP BY user_id")
 def divergence_step(spark, sf_dir):
-    return runs.divergence_step(_gap(spark, sf_dir))
+    return runs.divergence_step(_gap(spark, sf_dir), "user_id")
 
 
 @query(f"WITH {_POINTS} SELECT line // 400 AS run, arg_min(step, (value, step)) AS best_step, min(value) AS best_value FROM points GROUP BY 1")
@@ -482,16 +484,17 @@ def pivot_scores(spark, sf_dir):
     return runs.pivot_scores(scores, ["click", "view"])
 
 
-@query("WITH s AS (SELECT event_id * 10 AS step FROM events WHERE event_id < 300), m AS (SELECT event_id * 7 AS mark FROM events WHERE event_id < 300 AND event_id % 11 = 0) SELECT step FROM s WHERE NOT EXISTS (SELECT 1 FROM m WHERE mark > step - 10 AND mark < step)")
+@query("WITH s AS (SELECT user_id, event_id AS step FROM events WHERE event_type <> 'click'), m AS (SELECT user_id, event_id AS mark FROM events WHERE event_type = 'click') SELECT user_id, step FROM s WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.user_id = s.user_id AND mark > step - 200 AND mark < step)")
 def usable_steps(spark, sf_dir):
-    ids = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 300").select("event_id")
-    return runs.usable_steps(ids.select((F.col("event_id") * 10).alias("step")), ids.where("event_id % 11 = 0").select((F.col("event_id") * 7).alias("mark")), 10)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    steps = e.where("event_type <> 'click'").select("user_id", F.col("event_id").alias("step"))
+    return runs.usable_steps(steps, e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("mark")), 200, "user_id")
 
 
-@query("WITH x AS (SELECT event_id AS step, value FROM events WHERE event_id % 2 = 0), y AS (SELECT event_id + 4 AS step, value FROM events) SELECT step, round(abs(x.value - y.value), 6) AS diff FROM x JOIN y USING (step)")
+@query("WITH x AS (SELECT event_id AS step, value FROM events WHERE event_type <> 'click'), y AS (SELECT event_id + 4 AS step, value FROM events) SELECT step, round(abs(x.value - y.value), 6) AS diff FROM x JOIN y USING (step)")
 def curve_difference(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    a, b = e.where("event_id % 2 = 0").select(F.col("event_id").alias("step"), "value"), e.select((F.col("event_id") + 4).alias("step"), "value")
+    a, b = e.where("event_type <> 'click'").select(F.col("event_id").alias("step"), "value"), e.select((F.col("event_id") + 4).alias("step"), "value")
     return runs.curve_difference(a, b).select("step", F.round("diff", 6).alias("diff"))
 
 
@@ -503,18 +506,18 @@ def reply_metrics(spark, sf_dir):
 
 
 @query("""WITH m(metric, lower_is_better) AS (VALUES ('bits_per_char', true), ('repetition_rate', true), ('topic_rate', false), ('broken_rate', true)),
-v AS (SELECT m.*, (SELECT round(avg(value), 4) FROM events WHERE event_id % 4 = i) AS now, (SELECT round(avg(value), 4) FROM events WHERE event_id % 5 = i) AS before FROM (SELECT *, row_number() OVER () - 1 AS i FROM m) m)
+v AS (SELECT m.*, (SELECT round(avg(value), 4) FROM events WHERE event_id % 4 = i) AS now, (SELECT round(avg(value), 4) FROM events WHERE (event_id + 1) % 4 = i) AS before FROM (SELECT *, row_number() OVER () - 1 AS i FROM m) m)
 SELECT metric, now, before, round(now - before, 6) AS delta, CASE WHEN abs(now - before) < 1e-9 THEN 'unchanged' WHEN (now < before) = lower_is_better THEN 'improved' ELSE 'worsened' END AS verdict, round(CASE WHEN lower_is_better THEN now - before ELSE before - now END, 6) AS cost FROM v""")
 def metric_comparison(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     names = F.array(*map(F.lit, runs.METRICS))
-    side = lambda n: events.where(F.col("event_id") % n < len(runs.METRICS)).groupBy(F.get(names, (F.col("event_id") % n).cast("int")).alias("metric")).agg(F.round(F.avg("value"), 4).alias("value"))
-    return runs.comparison(side(4), side(5)).select("metric", "now", "before", F.round("delta", 6).alias("delta"), "verdict", F.round("cost", 6).alias("cost"))
+    side = lambda k: events.groupBy(F.get(names, ((F.col("event_id") + k) % 4).cast("int")).alias("metric")).agg(F.round(F.avg("value"), 4).alias("value"))
+    return runs.comparison(side(0), side(1)).select("metric", "now", "before", F.round("delta", 6).alias("delta"), "verdict", F.round("cost", 6).alias("cost"))
 
 
-@query("SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN 0.00002 + event_id * 0.00098 / 100 ELSE 0.0001 + 0.00045 * (1 + cos(pi() * least((event_id - 100) / 900.0, 1.0))) END, 9) AS rate FROM events WHERE event_id <= 1000")
+@query("SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN 0.00002 + event_id * 0.00098 / 100 ELSE 0.0001 + 0.00045 * (1 + cos(pi() * least((event_id - 100) / 900.0, 1.0))) END, 9) AS rate FROM events")
 def learning_rate(spark, sf_dir):
-    steps = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id <= 1000").select(F.col("event_id").alias("step"))
+    steps = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("step"))
     return steps.withColumn("rate", F.round(T.learning_rate(F.col("step"), 0.001, 1000, 100, 0.1), 9))
 
 
@@ -523,7 +526,7 @@ def distinct_in_order(spark, sf_dir):
     return runs.distinct_in_order(spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_id", "seq"), "event_type")
 
 
-@query("SELECT user_id, (value * 3240)::DOUBLE AS tokens, floor(value * 3240)::BIGINT AS tokens_in_budget, floor(floor(value * 3240) / 512)::BIGINT AS steps_in_budget, floor(value * 3240) / 1000.0 AS d_over_n FROM events WHERE event_id < 50")
+@query("SELECT user_id, (value * 3240)::DOUBLE AS tokens, floor(value * 3240)::BIGINT AS tokens_in_budget, floor(floor(value * 3240) / 512)::BIGINT AS steps_in_budget, floor(value * 3240) / 1000.0 AS d_over_n FROM events")
 def time_budget(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 50")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select("user_id", (F.col("value") * 3240).alias("tokens"), *[c.alias(n) for n, c in runs.budget(F.col("value"), 3240, F.lit(512), F.lit(1000.0)).items()])
