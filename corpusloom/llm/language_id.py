@@ -50,6 +50,8 @@ def gram_counts(text: str):
         full = np.bincount(codes, minlength=1 << GRAM_BITS)
         grams = np.flatnonzero(full)
         return grams, full[grams]
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes = np.sort(codes, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     return codes[first].astype(np.int64), np.diff(np.append(first, len(codes)))
