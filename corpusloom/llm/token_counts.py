@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_text, worker_cache
-from corpusloom.sources.storage import path_exists, scratch_path
+from corpusloom.sources.storage import materialize, path_exists, scratch_path
 
 MEMO_ENTRIES = 300_000
 LONGEST_KEPT = 64
@@ -120,4 +120,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     todo.dropDuplicates(["content_digest"]).mapInArrow(run, schema).write.mode("append").parquet(cache_path)
     # a lost race between two writers may store a digest twice, with the same count
     stored = spark.read.schema(schema).parquet(cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = materialize(stored, "token-counts")  # so that the join's sides are plain exchanges, and a digest of many copies can be split
     return keyed.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")).join(stored, "content_digest").select("doc_id", "content_digest", "n_bytes", "n_tokens")
