@@ -1,9 +1,9 @@
 """A corpus pipeline over documents in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has left;
-all but the last return the columns of documents. A row is judged by its own content or
-its doc_id: rows that share a doc_id are one document and stay or go together, and a row
-without a doc_id goes only by its content.
+all but the last return the columns of documents. A row is judged by its own content: the
+stages that drop rows give each a key of its own, so that rows without a doc_id, and rows
+that share one, stay or go each by itself.
 """
 
 from __future__ import annotations
@@ -16,11 +16,16 @@ from corpusloom.llm import decontaminate, language_id, secret_scan, sentencepiec
 from corpusloom.sources.storage import materialize
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs without the rows of these ids. The ids are stored first, so that the join strategy
-    follows their measured size."""
-    gone = materialize(ids.where("doc_id is not null").distinct(), name)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """key, digest (of all columns) and row, stored, so that a row's key stays its own."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("key"), F.xxhash64(*docs.columns).alias("digest"), F.struct(*docs.columns).alias("row")), name)
+
+
+def _without(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The documents of the rows without these keys. The keys are stored first, so that the
+    join strategy follows their measured size."""
+    gone = materialize(keys.distinct(), name)
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +35,22 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near-equal fingerprints."""
-    found = simhash.near_duplicates(docs)
-    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "pipeline-copies")
+    """One row of each component of near-equal fingerprints: that of the smallest id."""
+    rows = _keyed(docs, "pipeline-rows")
+    found = simhash.near_duplicates(rows.select("key", "row.text"), "key", "text").select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
+    found = materialize(found, "pipeline-components")
+    several = materialize(found.groupBy("component").count().where(F.col("count") > 1).select("component"), "pipeline-several")
+    members = materialize(found.join(several, "component").join(rows.select("key", "digest", "row.doc_id"), "key"), "pipeline-members")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "key")
+    kept = materialize(members.groupBy("component").agg(F.min_by("key", order).alias("kept")), "pipeline-kept")
+    return _without(rows, members.join(kept, "component").where("key <> kept").select("key"), "pipeline-copies")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, leaks.select("doc_id"), "pipeline-leaks")
+    rows = _keyed(docs, "pipeline-rows")
+    leaks = decontaminate.find_leaks(rows.select("key", "row.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key", "text")
+    return _without(rows, leaks.select(F.col("doc_id").alias("key")), "pipeline-leaks")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

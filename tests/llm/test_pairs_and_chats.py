@@ -111,3 +111,19 @@ def test_pipeline(spark, tmp_path):
     schema = docs.schema
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_rows_of_no_or_one_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice(["th", "an", "ing", "or", "es", "on"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    item, copy, other, clean, twin = (prose(n) for n in (40, 60, 60, 60, 60))
+    leak = prose(20) + " " + item + " " + prose(20)
+    docs = spark.createDataFrame([(1, copy), (None, copy), (2, other), (2, other), (3, clean), (3, copy), (4, twin), (4, leak), (None, leak)], "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()))
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert rows(once) == sorted([(1, copy), (2, other), (3, clean), (4, twin), (4, leak)])
+    left = corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert rows(left) == sorted([(1, copy), (0, copy), (2, other), (2, other), (3, clean), (3, copy), (4, twin)])
