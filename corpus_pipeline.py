@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language_id, secret_scan, sentencepiece_codec, simhash
+from corpusloom.llm import decontaminate, language_id, secret_scan, sentencepiece_codec, shingle_dedup
 from corpusloom.sources.storage import materialize
 
 
@@ -35,9 +35,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-equal fingerprints: that of the smallest id."""
+    """One row of each component of texts at a 5-word similarity of 0.8 or more: that of the
+    smallest id."""
     rows = _keyed(docs, "pipeline-rows")
-    found = simhash.near_duplicates(rows.select("key", "row.text"), "key", "text").select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
+    found = shingle_dedup.near_copies(rows.select("key", "row.text"), "key", "text").select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
     found = materialize(found, "pipeline-components")
     several = materialize(found.groupBy("component").count().where(F.col("count") > 1).select("component"), "pipeline-several")
     members = materialize(found.join(several, "component").join(rows.select("key", "digest", "row.doc_id"), "key"), "pipeline-members")

@@ -1,0 +1,187 @@
+"""Near-copies by the Jaccard similarity of word shingles, an exact set similarity join.
+
+A text is the set of its shingles of SHINGLE words (as 64-bit hashes; words as in simhash).
+Equal sets are one node. Two nodes link at a Jaccard similarity of NUM / DEN or more:
+
+1. Shingles have a fixed order: by a count of how often their slot of a small table occurs,
+   the rare first, then by hash. Any order gives the same links; this one keeps common
+   shingles out of the prefixes.
+2. A set of n shingles has n - ceil(n NUM / DEN) + 1 first ones as its prefix. Sets of the
+   similarity share at least ceil(n NUM / DEN) shingles, so their prefixes meet.
+3. Nodes that share a prefix shingle are compared by their whole sets if their sizes allow the
+   similarity and enough shingles follow in both; this holds at the first they share.
+
+A prefix shingle that more than BUCKET nodes share would give all pairs of a group. Its
+nodes are first compared with one of them, in REPRESENTATIVES rounds; then each node outside
+the largest component of the shingle is compared with all nodes there of other components.
+Pairs left out lie in one component already, so components are exact.
+
+Defined cases: null and empty texts, and those without a word, are the empty set and copies
+of one another; a text of fewer than SHINGLE words is one shingle. Ids are keys: none is null
+or there twice. Empty tables give empty tables; extra columns are not read.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.llm.common import id_text
+from corpusloom.llm.components import connected_components
+from corpusloom.sources.storage import materialize
+
+SHINGLE, SEED = 5, 42
+NUM, DEN = 4, 5
+BUCKET, REPRESENTATIVES = 32, 3
+#: So many ids of texts are broadcast; for more, the texts are dealt out by id.
+FEW_IDS = 1 << 20
+SLOT_BITS = 18
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """The distinct hashes of the text's shingles, ascending. known: words' hashes, a memo."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - SHINGLE + 1)
+    out = np.full(n, min(len(words), SHINGLE), np.uint64)
+    for k in range(min(len(words), SHINGLE)):
+        out = (out ^ h[k : k + n]) * _MIX
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _sets(batch):
+    """(row number, set) of the texts of a batch, the memo of words bounded."""
+    known: dict[bytes, int] = {}
+    for i, t in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+        if len(known) > 1 << 18:
+            known = {}
+        yield i, shingles(t, known)
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """How many shingles of the texts fall into each slot; a table of fixed size."""
+
+    def run(batches):
+        sums = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for _, own in _sets(batch):
+                np.add.at(sums, _slots(own), 1)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # 1 << SLOT_BITS rows at most
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """doc_id, node (digest of the set), n (its size) and prefix."""
+    shipped = texts.sparkSession.sparkContext.broadcast(frequencies(texts).tobytes())
+
+    def run(batches):
+        import xxhash
+
+        often = np.frombuffer(shipped.value, np.int64)
+        for batch in batches:
+            nodes, sizes, first = [], [], []
+            for _, own in _sets(batch):
+                n = len(own)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(n)
+                # a set of fewer than NUM reaches the similarity with equal sets only
+                size = n - -(-n * NUM // DEN) + 1 if n >= NUM else 0
+                first.append(own[np.lexsort((own, often[_slots(own)]))[:size]].view(np.int64))
+            starts = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in first]))), pa.int32())
+            prefix = pa.ListArray.from_arrays(starts, pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), prefix], ["doc_id", "node", "n", "prefix"])
+
+    return texts.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
+
+
+def _whole(texts: DataFrame) -> DataFrame:
+    """node, shingles: the whole sets of texts, whose nodes are given."""
+
+    def run(batches):
+        for batch in batches:
+            own = [x for _, x in _sets(batch)]
+            starts = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(starts, pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def _may(a: str, b: str):
+    """The sizes, and the shared shingle's places from the ends of the sets, allow the similarity."""
+    (na, la), (nb, lb) = ((F.col(x)["n"], F.col(x)["left"]) for x in (a, b))
+    return (na * DEN >= nb * NUM) & (nb * DEN >= na * NUM) & (F.least(la, lb) * (NUM + DEN) >= (na + nb) * NUM)
+
+
+def links(texts: DataFrame, found: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links that join every pair of nodes of the similarity into one component; every
+    link returned is such a pair. found: as of prefixes; a node is its least doc_id."""
+    nodes = found.where(F.size("prefix") > 0).groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = materialize(nodes.select(F.col("id").alias("node"), F.col("n").cast("int").alias("n"), "prefix"), "shingles-prefixes")
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h")).select("h", "node", F.struct("n", (F.col("n") - F.col("at")).alias("left")).alias("s"))
+    shared = materialize(entries.groupBy("h").count().where(F.col("count") > 1), "shingles-shared")
+    entries = materialize(entries.join(shared, "h"), "shingles-met")
+    light, heavy = (entries.where(c).drop("count") for c in (F.col("count") <= bucket, F.col("count") > bucket))
+    left, right = light.toDF("h", "a", "sa"), light.toDF("h", "b", "sb")
+    pairs = materialize(left.join(right, "h").where((F.col("a") < F.col("b")) & _may("sa", "sb")).select("a", "b").distinct(), "shingles-pairs")
+    needed = materialize(pairs.select("a").union(pairs.select("b")).union(heavy.select("node")).toDF("node").distinct(), "shingles-needed")
+    own = texts.select(F.col("doc_id").alias("node"), "text")
+    sets = materialize(_whole(own.join(F.broadcast(needed) if needed.count() <= FEW_IDS else needed, "node", "left_semi")), "shingles-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return materialize(both.where(common * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM).select("a", "b"), "shingles-links")
+
+    out = verified(pairs)
+    if not heavy.limit(1).count():
+        return out
+    heavy = materialize(heavy, "shingles-heavy")
+
+    def labelled() -> DataFrame:
+        """heavy with each node's component, without the shingles of one component."""
+        comp = connected_components(out)
+        all_of = materialize(heavy.join(comp, "node", "left").select("h", "node", "s", F.coalesce("root", "node").alias("root")), "shingles-labelled")
+        mixed = materialize(all_of.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h"), "shingles-mixed")
+        return materialize(all_of.join(mixed, "h", "left_semi"), "shingles-open")
+
+    for turn in range(REPRESENTATIVES):
+        rest = labelled()
+        one = materialize(rest.groupBy("h").agg(F.min_by(F.struct("node", "s", "root"), F.xxhash64("node", F.lit(turn))).alias("r")), "shingles-one")
+        met = rest.join(one, "h").where(F.col("root") != F.col("r.root")).select(F.col("node").alias("a"), F.col("r.node").alias("b"), F.col("s").alias("sa"), F.col("r.s").alias("sb"))
+        out = out.union(verified(materialize(met.where(_may("sa", "sb")).select("a", "b").distinct(), "shingles-pairs")))
+    rest = labelled()
+    most = materialize(rest.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("most")), "shingles-most")
+    minor = materialize(rest.join(most, "h").where("root <> most").select("h", F.col("node").alias("a"), F.col("s").alias("sa"), F.col("root").alias("ra")), "shingles-minor")
+    met = minor.join(rest.toDF("h", "b", "sb", "rb"), "h").where((F.col("ra") != F.col("rb")) & _may("sa", "sb"))
+    return out.union(verified(materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingles-pairs")))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links reach."""
+    texts = id_text(docs, id_col, text_col)
+    found = materialize(prefixes(texts), "shingles-rows")
+    rows = found.select("doc_id", "node")
+    firsts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first")), "shingles-nodes")
+    members = connected_components(links(texts, found, bucket))  # of least ids, so a root is the least of all
+    labels = materialize(firsts.join(members.toDF("first", "root"), "first", "left").select("node", F.coalesce("root", "first").alias("component_id")), "shingles-labels")
+    return rows.join(labels, "node").select("doc_id", "component_id")

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.llm import chat_format, components, vector_dedup
+from corpusloom.llm import chat_format, components, shingle_dedup, vector_dedup
 
 
 def brute_roots(nodes, edges):
@@ -127,3 +127,43 @@ def test_pipeline_rows_of_no_or_one_id(spark, tmp_path):
     assert rows(once) == sorted([(1, copy), (2, other), (3, clean), (4, twin), (4, leak)])
     left = corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
     assert rows(left) == sorted([(1, copy), (0, copy), (2, other), (2, other), (3, clean), (3, copy), (4, twin)])
+
+
+def edited_copies():
+    """Groups of near-copies about the similarity of 0.8, chains, a passage that many share, and
+    short texts; with the set of 5-word shingles of each."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts, passage = [], [word() for _ in range(30)]
+    for size in (40, 120, 300):
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            for edits in (0, 1, 2, 3, 4, 5, size // 40, size // 30, size // 20):
+                own = list(base)
+                for _ in range(edits):
+                    own[rng.randrange(len(own))] = word()
+                texts.append(own)
+                base = own if rng.random() < 0.3 else base  # a chain
+    texts += [[word() for _ in range(20)] + passage + [word() for _ in range(30)] for _ in range(25)]
+    texts += [[word() for _ in range(k % 9)] for k in range(18)] + [list("abcdefgh"), list("abcdefghi"), list("abcdefg")]
+    return [" ".join(t) for t in texts], [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+
+
+@pytest.mark.parametrize("bucket", [32, 3])
+def test_near_copies(spark, bucket):
+    texts, sets = edited_copies()
+    edges = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(1000, None, 1), (1001, " ", 1)], "doc_id long, text string, node int")
+    found = {r.doc_id: r.component_id for r in shingle_dedup.near_copies(docs, bucket=bucket).collect()}
+    empty = texts.index("")
+    assert found == brute_roots(range(len(texts)), edges) | {1000: empty, 1001: empty}
+    assert shingle_dedup.near_copies(docs.where("false")).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[:100] + ["x"] + base[101:150] + ["y", "z"] + base[150:])), (3, " ".join(base[:120]))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()} == {1, 3}
