@@ -1,15 +1,17 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences (at line ends, and after . ! ? ; before white space), each is
-normalised (lower case, one space for each run of other characters than letters and digits)
-and mapped to the identifier of a known licence sentence. The identifiers of a text, in
+A text is normalised (lower case, one space for each run of other characters than letters and
+digits, so that comment prefixes go) with marks at sentence ends (. ! ? ; before white space)
+and at line ends. What lies between two marks and is a known licence sentence gives its
+identifier; a line end within it counts as a space, so that a wrapped sentence is found, but a
+sentence end or an empty line does not. The identifiers of a text, in
 order, are matched against ordered rules: a rule that finds its sequence takes it, so that
 a later, more general rule does not see it again.
 
 A null or empty text, or one without a known sentence, has no identifiers and no licences;
 repeated rows give repeated results; a null id stays null; an empty table gives an empty
 table; extra columns are not read. A text in which none of ANCHORS occurs can hold no known
-sentence (each holds one) and is not cut.
+sentence (each holds one, all of its words) and is not cut.
 """
 
 from __future__ import annotations
@@ -73,12 +75,12 @@ RULES = (
 )
 #: Each known sentence holds one of these, in lower case and within a word.
 ANCHORS = ("licen", "permission", "copyright", "warrant", "free software", "redistribut", "cc by", "public domain", "rights reserved")
-CUT = r"[\n\r]+|[.!?;][\x20\t]+"
+SENTENCE_END, LINE_END = r"[.!?;](?:[\x20\t]+|(?=[\r\n]))", r"\r\n|[\r\n]"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
 def normalise(sentence: str) -> str:
-    """The rule for one sentence, as Python states it (the data goes through _sentences)."""
+    """The rule for one sentence, as Python states it (the data goes through _found)."""
     return re.sub(r"[\W_]+", " ", sentence.lower()).strip()
 
 
@@ -92,11 +94,14 @@ def known() -> dict[str, str]:
     return found
 
 
-def _sentences(text: Column) -> Column:
-    """The normalised sentences in order."""
-    marked = F.regexp_replace(F.lower(text), CUT, "\u0001")
-    plain = F.regexp_replace(marked, r"[^\p{L}\p{N}\u0001]+", " ")
-    return F.transform(F.split(plain, "\u0001"), lambda s: F.trim(s))
+def _found(text: Column) -> Column:
+    """The known sentences in order, normalised. Marks: 1 a sentence end, 2 a line end."""
+    marked = F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), "\u0001\u0002", "  "), SENTENCE_END, "\u0001"), LINE_END, "\u0002")
+    plain = F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{N}\u0001\u0002]+", " "), r" ?([\u0001\u0002]) ?", "$1")
+    whole = F.concat(F.lit("\u0001"), F.trim(plain), F.lit("\u0001"))
+    some = "|".join(k.replace(" ", "[ \u0002]") for k in sorted(known(), key=len, reverse=True))
+    hits = F.regexp_extract_all(whole, F.lit(f"(?<=[\u0001\u0002])(?:{some})(?=[\u0001\u0002])"), F.lit(0))
+    return F.transform(hits, lambda s: F.translate(s, "\u0002", " "))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
@@ -104,10 +109,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_r
     array<string> (distinct, in rule order)."""
     text, lower = F.col("text"), F.lower("text")
     table = F.create_map(*[F.lit(x) for pair in sorted(known().items()) for x in pair])
-    may = F.contains(lower, F.lit(ANCHORS[0]))
-    for a in ANCHORS[1:]:
-        may = may | F.contains(lower, F.lit(a))
-    ids = F.when(may, F.array_compact(F.transform(_sentences(text), lambda s: F.try_element_at(table, s)))).otherwise(F.array().cast("array<string>"))
+    may = F.lit(False)
+    for a in ANCHORS:
+        first, *more = (F.contains(lower, F.lit(w)) for w in a.split())
+        for m in more:
+            first = first & m
+        may = may | first
+    ids = F.when(may, F.array_compact(F.transform(_found(text), lambda s: F.try_element_at(table, s)))).otherwise(F.array().cast("array<string>"))
     out = id_text(docs, id_col, text_col, keep_row).select("doc_id", *["row"] * keep_row, ids.alias("sentence_ids"))
     # one pass over a short string for each rule: what is left, and the licences found so far
     out = out.withColumn("_left", F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))).withColumn("_found", F.array().cast("array<string>"))

@@ -137,6 +137,25 @@ def brute_components(fps):
     return {f: find(f) for f in fps}
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    keys = lambda *names: [license_scan.SENTENCES[k][0] for k in names]
+    wrap = lambda texts, prefix, end="\n": end.join(textwrap.fill(t, 60, initial_indent=prefix, subsequent_indent=prefix) for t in texts)
+    mit, isc = keys("mit-grant", "mit-notice", "as-is"), keys("isc-grant", "as-is")
+    gpl, bsd = keys("gpl-free", "gpl-warranty", "gpl-copy"), keys("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 A\n\n" + wrap([mit[0], mit[1] + ".", mit[2] + ". IN NO EVENT"], "", "\n\n")),
+        (2, "# Copyright B\n" + wrap([t + "." for t in gpl], "# ", "\n#\n") + "  If not, see\n# there."),
+        (3, ("/*\n" + wrap(["Copyright C.", *[t + "." for t in isc]], " * ", "\n *\n") + "\n */\nint x;").replace("\n", "\r\n")),
+        (4, wrap([bsd[0], "1. " + bsd[1] + ".", "2. " + bsd[2] + ".", "3. " + bsd[3] + "."], "   ", "\n\n")),
+        (5, mit[0].replace("to permit", "to permit\n\n")),
+        (6, mit[1].replace(" shall", ".\nshall") + "\nAll rights\nreserved"),
+    ]
+    found = {r.doc_id: r.licenses for r in license_scan.report(license_scan.scan(frame(spark, rows))).collect()}
+    assert found == {1: "MIT", 2: "GPL-3.0", 3: "ISC", 4: "BSD-3-Clause", 5: "", 6: "Proprietary"}
+
+
 @pytest.mark.parametrize("bucket", [64, 1])
 def test_simhash_links(spark, bucket):
     rng = random.Random(3)
