@@ -22,6 +22,21 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     )
 
 
+def portions(batch: pa.RecordBatch, text_col: str, size: int = 2 << 20):
+    """Slices of a batch, in order, of about so many bytes of the texts, so that the Python
+    objects made from them at one time are bounded; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, for models and memo tables."""
     import sys

@@ -58,6 +58,50 @@ def test_vectors(spark, monkeypatch, block):
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def check_tree(nodes):
+    """Depth-first, each node once; its ancestors' intervals are those of the path that its digest names."""
+    assert nodes[0].stream_start == 0 and all(a.stream_end == b.stream_start for a, b in zip(nodes, nodes[1:]))
+    assert len({n.node for n in nodes}) == len(nodes)
+    path = []
+    for n in nodes:
+        del path[n.depth :]
+        assert len(path) == n.depth and n.position == sum(len(x.formatted) for x in path)
+        starts, stops = (np.array([getattr(x, k) for x in path], np.int64) for k in ("stream_start", "stream_end"))
+        assert chat_format.merged(*(np.array([getattr(a, k) for a in n.ancestors], np.int64) for k in ("start", "end"))) == chat_format.merged(starts, stops)
+        path.append(n)
+
+
+@pytest.mark.parametrize("range_chars", [64 << 20, 300])
+def test_chat_trees(spark, range_chars):
+    """Random trees of few distinct turns, a hot first turn, equal conversations, prefixes of others,
+    and one conversation of many turns; one range and many."""
+    rng = random.Random(5)
+    rows = []
+    for c in range(120):
+        n = rng.randint(1, 6)
+        texts = ["start" if c % 3 else f"s{c % 5}"] + [rng.choice("ab") for _ in range(n - 1)]
+        rows += [(c, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(texts)]
+    rows += [(1000 + c, k, ("user", "assistant")[k % 2], "start" if not k else "a") for c in range(40) for k in range(4)]
+    rows += [(2000, k, ("user", "assistant")[k % 2], f"<{k}#") for k in range(3000)] + [(2001, 0, "user", "y" * 300_000), (2001, 1, "assistant", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    out = chat_format.layout(df, range_chars=range_chars)
+    found = {r.conv_id: r for r in chat_format.read_back(out).collect()}
+    by = {}
+    for c, k, r, t in rows:
+        by.setdefault(c, []).append((r, t))
+    assert set(found) == set(by)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for c, turns in by.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        r = found[c]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), sha(loss))
+    nodes = sorted(out.nodes.collect(), key=lambda n: n.stream_start)
+    assert len(nodes) == len({tuple(t[: k + 1]) for c, t in by.items() if c < 2000 for k in range(len(t))}) + 3002
+    if range_chars < 1000:
+        assert len({n.range for n in nodes}) > 20
+    check_tree(nodes)
+
+
 def test_chat_round_trip(spark):
     odd = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", odd), (-7, 1, "assistant", odd), (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "more"), (2, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "else"), (4, 0, "user", "hi"), (4, 1, "assistant", "yo"), (5, None, None, None), (5, 0, "ro:le\n", ""), (5, 0, "assistant", ""), (6, 0, "user", "x" * 20_000 + "\\"), (None, 0, "assistant", "é漢")]
@@ -73,19 +117,8 @@ def test_chat_round_trip(spark):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(turns), sha("".join(f"{a}\n{b}\n" for _, a, b in turns)), len(loss), sha(loss), len(whole))
     nodes = sorted(out.nodes.collect(), key=lambda n: n.stream_start)
     shared = [n for n in nodes if chat_format.parse(n.formatted) == [("user", "hi")]]
-    assert len(shared) == 1 and all(a.stream_end == b.stream_start for a, b in zip(nodes, nodes[1:]))
-    # depth-first: a node's parent is the last node before it of one depth less
-    by = {n.node: n for n in nodes}
-    paths = {}
-    for p in out.paths.collect():
-        paths.setdefault(p.leaf, {})[p.depth] = by[p.node]
-    for path in paths.values():
-        for d in range(1, len(path)):
-            before = [n for n in nodes if n.stream_start < path[d].stream_start and n.depth == d - 1]
-            assert before[-1] == path[d - 1] and path[d].position == path[d - 1].position + len(path[d - 1].formatted)
-    for s in out.sequences.collect():
-        covered = sorted((n.stream_start, n.stream_end) for n in paths[s.leaf].values())
-        assert sum(e - b for b, e in covered) == sum(i.end - i.start for i in s.intervals)
+    assert len(shared) == 1
+    check_tree(nodes)
     assert chat_format.read_back(chat_format.layout(df.where("false"))).count() == 0
 
 
