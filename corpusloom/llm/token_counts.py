@@ -3,7 +3,8 @@
 Contents are keyed by the SHA-256 of their UTF-8 text (a null is normalised to the empty
 text; nothing else may be normalised, or counts would change) and of the tokenizer's file.
 Texts are joined to the stored counts, the distinct misses alone are encoded, and their
-counts are appended to the cache, a Parquet table in a folder that all executors share.
+counts are appended to the cache, a Parquet table in a folder that all executors share (made
+empty where there is none).
 
 A miss is counted chunk by chunk with a bounded memo: the byte-level pre-tokenizer never
 joins a non-space character to a space after it, so a text can be cut before any single
@@ -12,7 +13,8 @@ once. A text that holds an added token's string, or whose tokenizer is of anothe
 given to the library whole.
 
 Defined cases: a null or empty text has 0 bytes and the count of the empty text; repeated
-rows give repeated results from one encoding; a null id stays null; an empty table gives an
+rows give repeated results from one encoding; a null id stays null; texts of any length are
+counted whole, a worker holding a few megabytes of them at a time; an empty table gives an
 empty table; extra columns are not read.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_text, worker_cache
+from corpusloom.llm.common import id_text, portions, worker_cache
 from corpusloom.sources.storage import materialize, path_exists, scratch_path
 
 MEMO_ENTRIES = 300_000
@@ -106,16 +108,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     schema = "content_digest string, tokenizer_digest string, n_tokens long"
 
     keyed = id_text(docs, id_col, text_col).withColumn("content_digest", F.sha2("text", 256))
-    todo = keyed.select("content_digest", "text")
-    if path_exists(spark, cache_path):
-        stored = spark.read.schema(schema).parquet(cache_path).where(F.col("tokenizer_digest") == version)
-        todo = todo.join(stored.select("content_digest"), "content_digest", "left_anti")
+    if not path_exists(spark, cache_path):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(cache_path)
+    stored = spark.read.schema(schema).parquet(cache_path).where(F.col("tokenizer_digest") == version)
+    todo = keyed.select("content_digest", "text").join(stored.select("content_digest"), "content_digest", "left_anti")
 
     def run(batches):
         counts = chunk_counts(shipped.value, kind)
         for batch in batches:
-            found = pa.array([counts.count(t) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * batch.num_rows, pa.string()), found], ["content_digest", "tokenizer_digest", "n_tokens"])
+            for part in portions(batch, "text"):
+                found = pa.array([counts.count(t) for t in part.column(1).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * part.num_rows, pa.string()), found], ["content_digest", "tokenizer_digest", "n_tokens"])
 
     todo.dropDuplicates(["content_digest"]).mapInArrow(run, schema).write.mode("append").parquet(cache_path)
     # a lost race between two writers may store a digest twice, with the same count
