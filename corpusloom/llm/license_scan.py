@@ -4,18 +4,21 @@ A text is normalised (lower case, one space for each run of other characters tha
 digits, so that comment prefixes go) with marks at sentence ends (. ! ? ; before white space)
 and at line ends. What lies between two marks and is a known licence sentence gives its
 identifier; a line end within it counts as a space, so that a wrapped sentence is found, but a
-sentence end or an empty line does not. The identifiers of a text, in
-order, are matched against ordered rules: a rule that finds its sequence takes it, so that
-a later, more general rule does not see it again.
+sentence end or an empty line does not. The identifiers of a text, in order, are matched
+against ordered rules: a rule that finds its sequence takes it, so that a later, more general
+rule does not see it again. More than GAP other sentences or lines between two identifiers
+break a sequence, so that parts of unrelated notices do not make one. Proprietary is reported
+only where no licence is.
 
 A null or empty text, or one without a known sentence, has no identifiers and no licences;
-repeated rows give repeated results; a null id stays null; an empty table gives an empty
-table; extra columns are not read. A text in which none of ANCHORS occurs can hold no known
+repeated rows give repeated results; a null id stays null; texts of any length are read whole;
+an empty table gives an empty table; extra columns are not read. A text in which none of ANCHORS occurs can hold no known
 sentence (each holds one, all of its words) and is not cut.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -36,12 +39,30 @@ SENTENCES = {
     "apache-basis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
     "gpl3-short": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License v3.0"],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License"],
+    "gpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "version-2": ["either version 2 of the License, or (at your option) any later version", "version 2 of the License"],
+    "version-2.1": ["either version 2.1 of the License, or (at your option) any later version", "version 2.1 of the License"],
+    "lgpl3-free": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl2-short": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License v2.0"],
+    "lgpl-warranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "gpl-copy": ["You should have received a copy of the GNU General Public License along with this program"],
     "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd3-short": ["Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License"],
+    "bsd2-short": ["Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License"],
+    "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "boost-short": ["Distributed under the Boost Software License, Version 1.0"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "epl-short": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"],
+    "cc0-dedication": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
+    "cc0-short": ["This work is licensed under CC0 1.0", "This work is marked with CC0 1.0 Universal license"],
+    "cc-by-nd-short": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
     "mpl-header": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "cc-by-nc-short": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "This work is licensed under CC BY-NC 4.0"],
     "cc-by-sa-short": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -49,6 +70,7 @@ SENTENCES = {
     "unlicense": ["This is free and unencumbered software released into the public domain"],
     "reserved": ["All rights reserved"],
 }
+PROPRIETARY = "Proprietary"  # a text with nothing but a reservation of rights
 #: (licence, sequence of identifiers), in the order of application: longer forms first.
 RULES = (
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
@@ -60,23 +82,42 @@ RULES = (
     ("Apache-2.0", ("apache-short", "apache-use", "apache-copy", "apache-basis")),
     ("Apache-2.0", ("apache-short", "apache-use", "apache-copy")),
     ("Apache-2.0", ("apache-short",)),
+    ("AGPL-3.0", ("agpl-free",)),
+    ("LGPL-3.0", ("lgpl3-free",)),
+    ("LGPL-2.1", ("lgpl-terms", "version-2.1")),
+    ("GPL-2.0", ("gpl-terms", "version-2", "gpl-warranty", "gpl-copy")),
+    ("GPL-2.0", ("gpl-terms", "version-2", "gpl-warranty")),
+    ("GPL-2.0", ("gpl-terms", "version-2")),
+    ("GPL-2.0", ("gpl2-short",)),
     ("GPL-3.0", ("gpl-free", "gpl-warranty", "gpl-copy")),
     ("GPL-3.0", ("gpl-free", "gpl-warranty")),
     ("GPL-3.0", ("gpl-free",)),
     ("GPL-3.0", ("gpl3-short",)),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
+    ("BSD-3-Clause", ("bsd3-short",)),
+    ("BSD-2-Clause", ("bsd2-short",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-short",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("EPL-2.0", ("epl-short",)),
     ("MPL-2.0", ("mpl-header",)),
+    ("CC0-1.0", ("cc0-dedication",)),
+    ("CC0-1.0", ("cc0-short",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-short",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-short",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-short",)),
     ("CC-BY-4.0", ("cc-by-short",)),
     ("Unlicense", ("unlicense",)),
-    ("Proprietary", ("reserved",)),
+    (PROPRIETARY, ("reserved",)),
 )
+#: So many other sentences or lines may lie between the identifiers of a sequence.
+GAP, BREAK = 12, "-"
 #: Each known sentence holds one of these, in lower case and within a word.
 ANCHORS = ("licen", "permission", "copyright", "warrant", "free software", "redistribut", "cc by", "public domain", "rights reserved")
+#: An abbreviated version is no sentence end.
+VERSION = r"\bv\.[\x20\t]+([0-9])", "v $1"
 SENTENCE_END, LINE_END = r"[.!?;](?:[\x20\t]+|(?=[\r\n]))", r"\r\n|[\r\n]"
-OTHER = r"[^\p{L}\p{N}]+"
 
 
 def normalise(sentence: str) -> str:
@@ -84,31 +125,31 @@ def normalise(sentence: str) -> str:
     return re.sub(r"[\W_]+", " ", sentence.lower()).strip()
 
 
+@functools.lru_cache
 def known() -> dict[str, str]:
-    """Normalised sentence (or the part of it up to a cut) -> identifier. A known text that
-    the cut would split is known by its first part."""
-    found: dict[str, str] = {}
-    for name, texts in SENTENCES.items():
-        for t in texts:
-            found.setdefault(normalise(re.split(r"[.!?;][\x20\t]+", t)[0]), name)
-    return found
+    """Normalised sentence -> identifier."""
+    return {normalise(t): name for name, texts in reversed(SENTENCES.items()) for t in texts}
 
 
 def _found(text: Column) -> Column:
-    """The known sentences in order, normalised. Marks: 1 a sentence end, 2 a line end."""
-    marked = F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), "\u0001\u0002", "  "), SENTENCE_END, "\u0001"), LINE_END, "\u0002")
+    """The known sentences in order, normalised, and BREAK for more than GAP others in a row.
+    Marks: 1 a sentence end or an empty line, 2 a line end."""
+    clean = F.regexp_replace(F.translate(F.lower(text), "\u0001\u0002", "  "), *map(F.lit, VERSION))
+    marked = F.regexp_replace(F.regexp_replace(clean, SENTENCE_END, "\u0001"), LINE_END, "\u0002")
     plain = F.regexp_replace(F.regexp_replace(marked, r"[^\p{L}\p{N}\u0001\u0002]+", " "), r" ?([\u0001\u0002]) ?", "$1")
-    whole = F.concat(F.lit("\u0001"), F.trim(plain), F.lit("\u0001"))
+    whole = F.regexp_replace(F.concat(F.lit("\u0001"), F.trim(plain), F.lit("\u0001")), "[\u0001\u0002]{2,}", "\u0001")
     some = "|".join(k.replace(" ", "[ \u0002]") for k in sorted(known(), key=len, reverse=True))
-    hits = F.regexp_extract_all(whole, F.lit(f"(?<=[\u0001\u0002])(?:{some})(?=[\u0001\u0002])"), F.lit(0))
-    return F.transform(hits, lambda s: F.translate(s, "\u0002", " "))
+    mark, inside = "[\u0001\u0002]", "[^\u0001\u0002]"
+    others = f"(?:{mark}(?!(?:{some}){mark}){inside}++){{{GAP + 1}}}"
+    hits = F.regexp_extract_all(whole, F.lit(f"(?<={mark})(?:{some})(?={mark})|{others}"), F.lit(0))
+    return F.transform(hits, lambda s: F.when(s.rlike(f"^{mark}"), F.lit(BREAK)).otherwise(F.translate(s, "\u0002", " ")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
     """doc_id, sentence_ids array<string> (known sentences in order) and licenses
     array<string> (distinct, in rule order)."""
     text, lower = F.col("text"), F.lower("text")
-    table = F.create_map(*[F.lit(x) for pair in sorted(known().items()) for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in sorted({**known(), BREAK: BREAK}.items()) for x in pair])
     may = F.lit(False)
     for a in ANCHORS:
         first, *more = (F.contains(lower, F.lit(w)) for w in a.split())
@@ -116,9 +157,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_r
             first = first & m
         may = may | first
     ids = F.when(may, F.array_compact(F.transform(_found(text), lambda s: F.try_element_at(table, s)))).otherwise(F.array().cast("array<string>"))
-    out = id_text(docs, id_col, text_col, keep_row).select("doc_id", *["row"] * keep_row, ids.alias("sentence_ids"))
+    out = id_text(docs, id_col, text_col, keep_row).select("doc_id", *["row"] * keep_row, ids.alias("_ids"))
+    out = out.withColumn("sentence_ids", F.array_remove("_ids", BREAK))
     # one pass over a short string for each rule: what is left, and the licences found so far
-    out = out.withColumn("_left", F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))).withColumn("_found", F.array().cast("array<string>"))
+    out = out.withColumn("_left", F.concat(F.lit("|"), F.array_join("_ids", "|"), F.lit("|"))).withColumn("_found", F.array().cast("array<string>"))
     start = F.struct(F.col("_left").alias("left"), F.col("_found").alias("found"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f"|{'|'.join(seq)}|").alias("seq")) for name, seq in RULES])
 
@@ -126,7 +168,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_r
         hit = F.contains(acc["left"], rule["seq"])
         return F.struct(
             F.when(hit, F.replace(acc["left"], rule["seq"], F.lit("|"))).otherwise(acc["left"]).alias("left"),
-            F.when(hit & ~F.array_contains(acc["found"], rule["name"]), F.concat(acc["found"], F.array(rule["name"]))).otherwise(acc["found"]).alias("found"),
+            F.when(hit & ~F.array_contains(acc["found"], rule["name"]) & ((rule["name"] != PROPRIETARY) | (F.size(acc["found"]) == 0)), F.concat(acc["found"], F.array(rule["name"]))).otherwise(acc["found"]).alias("found"),
         )
 
     licenses = F.when(F.size("sentence_ids") > 0, F.aggregate(rules, start, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<string>"))

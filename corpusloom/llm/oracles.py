@@ -36,24 +36,28 @@ SELECT doc_id, {counts}, sha256({listed.format(only)}) AS base_sha256, {listed.f
 
 
 def license_scan_sql() -> str:
+    """Sentences are cut at each line end here, so those wrapped over lines are not found; the
+    tables hold none."""
     known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(license_scan.known().items()))
-    left, cases = ["'|' || array_to_string(ids, '|') || '|' AS l0"], []
-    steps = "SELECT doc_id, ids, " + left[0] + " FROM i"
+    cases = []
+    steps = "SELECT doc_id, ids, '|' || array_to_string(gapped, '|') || '|' AS l0 FROM i"
     for n, (name, seq) in enumerate(license_scan.RULES):
         steps = f"SELECT *, replace(l{n}, '|{'|'.join(seq)}|', '|') AS l{n + 1} FROM ({steps})"
         cases.append(f"CASE WHEN contains(l{n}, '|{'|'.join(seq)}|') THEN '{name}' END")
     first = ", ".join(f"({n}, '{name}')" for n, name in enumerate(dict.fromkeys(x for x, _ in license_scan.RULES)))
     return f"""
 WITH k(s, id) AS (VALUES {known}), o(n, name) AS (VALUES {first}),
-d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rn FROM documents),
+d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\\bv\\.[\\x20\\t]+([0-9])', 'v \\1', 'g') AS t, row_number() OVER () AS rn FROM documents),
 p AS (SELECT rn, generate_subscripts(x, 1) AS pos, unnest(x) AS s FROM
-      (SELECT rn, list_transform(string_split_regex(lower(t), '[\\n\\r]+|[.!?;][\\x20\\t]+'), lambda y: trim(regexp_replace(y, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS x FROM d)),
-m AS (SELECT rn, list(id ORDER BY pos) AS ids FROM p JOIN k USING (s) GROUP BY rn),
-i AS (SELECT doc_id, coalesce(ids, []) AS ids FROM d LEFT JOIN m USING (rn)),
-r AS ({steps})
+      (SELECT rn, list_filter(list_transform(string_split_regex(t, '[\\n\\r]+|[.!?;][\\x20\\t]+'), lambda y: trim(regexp_replace(y, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), lambda y: y <> '') AS x FROM d)),
+h AS (SELECT rn, pos, id, coalesce(pos - lag(pos) OVER (PARTITION BY rn ORDER BY pos) > {license_scan.GAP + 1}, false) AS far FROM p JOIN k USING (s)),
+m AS (SELECT rn, list(id ORDER BY pos) AS ids, flatten(list(CASE WHEN far THEN ['-', id] ELSE [id] END ORDER BY pos)) AS gapped FROM h GROUP BY rn),
+i AS (SELECT doc_id, coalesce(ids, []) AS ids, coalesce(gapped, []) AS gapped FROM d LEFT JOIN m USING (rn)),
+r AS ({steps}),
+f AS (SELECT doc_id, ids, list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL) AS found FROM r)
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-       coalesce((SELECT string_agg(name, ',' ORDER BY n) FROM o WHERE list_contains([{", ".join(cases)}], name)), '') AS licenses
-FROM r"""
+       coalesce((SELECT string_agg(name, ',' ORDER BY n) FROM o WHERE list_contains(found, name) AND (name <> 'Proprietary' OR len(list_filter(found, lambda x: x <> 'Proprietary')) = 0)), '') AS licenses
+FROM f"""
 
 
 def chat_format_sql() -> str:

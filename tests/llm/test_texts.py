@@ -106,7 +106,7 @@ def test_licenses(spark):
     bsd = "\n".join(license_scan.SENTENCES[k][0] + "." for k in ("bsd-redistribution", "bsd-source", "bsd-binary"))
     rows = EDGES + [(20, "Text. Released under the MIT License."), (21, mit), (22, bsd + "\nAll rights reserved."), (23, "Licensed under the Apache License, Version 2.0"), (24, "the MIT license is nice"), (25, license_scan.SENTENCES["as-is"][0])]
     found = {r.doc_id: r for r in license_scan.report(license_scan.scan(frame(spark, rows))).collect()}
-    assert {i: found[i].licenses for i in range(20, 26)} == {20: "MIT", 21: "MIT", 22: "BSD-2-Clause,Proprietary", 23: "Apache-2.0", 24: "", 25: ""}
+    assert {i: found[i].licenses for i in range(20, 26)} == {20: "MIT", 21: "MIT", 22: "BSD-2-Clause", 23: "Apache-2.0", 24: "", 25: ""}
     assert found[25].sentence_ids == "as-is" and found[1].n_sentences == 0 and len(found) == len({i for i, _ in rows})
     for s in license_scan.known():
         assert any(a in s for a in license_scan.ANCHORS), s
@@ -137,6 +137,115 @@ def brute_components(fps):
     return {f: find(f) for f in fps}
 
 
+FILES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+""",
+    "BSD-3-Clause": """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "GPL-2.0": """/*
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */
+""",
+    "GPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+""",
+    "LGPL-2.1": """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+    "Apache-2.0": """// Copyright 2020 Some Body
+//
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+""",
+    "": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 1.1. If a copy of the MPL was not distributed with this file.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+""",
+    "BSL-1.0": """// Distributed under the Boost Software License, Version 1.0.
+//    (See accompanying file LICENSE_1_0.txt)
+""",
+    "Proprietary": "Copyright 2020. All rights reserved.\n",
+}
+
+
+def test_license_files(spark):
+    """Whole files as they are found, their parts set apart by unrelated text, and comments."""
+    names = list(FILES)
+    far = FILES["BSD-3-Clause"].replace("3. Neither", "\n".join(f"An unrelated line {k}." for k in range(12)) + "\n3. Neither")  # with the number, 13 others
+    near = far.replace("An unrelated line 11.\n", "")
+    rows = [(k, FILES[n]) for k, n in enumerate(names)] + [(100 + k, "Some prose.\n\n" + FILES[n].replace("\n", "\r\n") + "\r\nmore prose") for k, n in enumerate(names)] + [(200, far), (201, near), (202, FILES["MIT"] + "\n" + FILES["GPL-3.0"])]
+    found = {r.doc_id: r.licenses for r in license_scan.report(license_scan.scan(frame(spark, rows))).collect()}
+    assert {names[k]: found[k] for k in range(len(names))} == {n: n for n in names}
+    assert {names[k]: found[100 + k] for k in range(len(names))} == {n: n for n in names}
+    assert (found[200], found[201], found[202]) == ("BSD-2-Clause", "BSD-3-Clause", "MIT,GPL-3.0")
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
