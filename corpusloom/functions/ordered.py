@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from corpusloom.sources.storage import materialize
 
 
+ROWS_A_RANGE = 4_000_000
+
+
 def sums_before(df: DataFrame, order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
     """df with the sum of value over all rows before each row in the order (a unique one).
 
     Rows are dealt by ranges of the order; each range is summed on its own, and the totals of
-    the ranges, one number a partition, are added up on the driver."""
+    the ranges, one number a partition, are added up on the driver. The rows are stored and
+    counted first, and the ranges are so many that none has much over ROWS_A_RANGE rows."""
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions
+    if n is None:
+        df = materialize(df, "unordered")
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_A_RANGE))
     ranged = materialize(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ordered")
     total, offsets = 0, {}
     for row in sorted(ranged.groupBy("_range").agg(F.sum(value).alias("s")).collect()):

@@ -14,28 +14,26 @@ CORPUS_MARKERS = r"<\|(?:user|assistant|end|endoftext)\|>"
 REPLY_MARKERS = r"<\|(?:user|assistant|end|unk)\|>"
 JAPANESE = "[぀-ゟ゠-ヿ一-鿿々〆ー、。「」]"
 LATIN = "[A-Za-zÀ-ÿ]"
+NO_LINE_START = "。、」）ｗw！？"
 SENTENCE_END = "(?<=[。！？\\n])"
 
 # Lines that are dropped.
-NAVIGATION = (
-    "ホーム", "トップ", "メニュー", "サイトマップ", "お問い合わせ", "プライバシーポリシー",
-    "利用規約", "会社概要", "採用情報", "関連記事", "人気記事", "新着記事", "カテゴリー?",
-    "前の記事", "次の記事", "コメントを残す", "コメントする", "返信をキャンセル",
-    "ページの先頭へ", "検索", "ログイン", "新規登録", "カートに入れる", "続きを読む",
-)
-BOILERPLATE = "|".join((
-    "(Cookie|クッキー).{0,20}(使用|利用|同意)",
-    "JavaScript.{0,30}(有効|オフ|無効)",
-    f"^({'|'.join(NAVIGATION)})$",
-    "無断(転載|複写|複製)を?禁(じ|ず)",
-    "All Rights Reserved",
-))
+BOILERPLATE = (
+    "(Cookie|クッキー).{0,20}(使用|利用|同意)"
+    "|JavaScript.{0,30}(有効|オフ|無効)"
+    "|^(ホーム|トップ|メニュー|サイトマップ|お問い合わせ|プライバシーポリシー|利用規約|会社概要|採用情報|関連記事|人気記事|新着記事|カテゴリー?"
+    "|前の記事|次の記事|コメントを残す|コメントする|返信をキャンセル|ページの先頭へ|検索|ログイン|新規登録|カートに入れる|続きを読む)$"
+    "|無断(転載|複写|複製)を?禁(じ|ず)"
+    "|All Rights Reserved"
+)
 # Documents that are rejected.
-REJECTED = "|".join((
-    "(18歳未満|アダルトサイト|出会い系)",
-    r"(404|403)\s*(Not Found|Forbidden)",
-    "お探しのページは(見つかりません|移動)",
-))
+REJECTED = r"(18歳未満|アダルトサイト|出会い系)|(404|403)\s*(Not Found|Forbidden)|お探しのページは(見つかりません|移動)"
+
+
+def without_markers(text: Column, markers: str = CORPUS_MARKERS) -> Column:
+    """The text without its markers: CORPUS_MARKERS where corpora are compared, REPLY_MARKERS
+    where replies are judged."""
+    return F.regexp_replace(text, markers, "")
 
 
 def collapse(text: Column) -> Column:
@@ -73,9 +71,16 @@ def windows(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def strided_windows(text: Column, size: int, stride: int) -> Column:
-    """The windows that begin at 0, stride, 2 stride ... (stride >= size)."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{{size}}}).{{0,{stride - size}}}"), F.lit(1))
+def strided_windows(text: Column, size: int, stride: Column | int) -> Column:
+    """The windows that begin at 0, stride, 2 stride ..., which may overlap, in one pass."""
+    step = F.lit(stride) if isinstance(stride, int) else stride
+    return F.regexp_extract_all(text, F.concat(F.lit(f"(?s)(?=(.{{{size}}})).{{1,"), step.cast("string"), F.lit("}")), F.lit(1))
+
+
+def mixed(seed: int, *keys: Column) -> Column:
+    """A long from 0 that depends on the seed and the keys alone: the first 60 bits of the MD5 of
+    seed and keys, joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])), 1, 15), 16, 10).cast("long")
 
 
 def let(value: Column, f) -> Column:
@@ -85,26 +90,30 @@ def let(value: Column, f) -> Column:
 
 def _repeats(grams: Column, times: int) -> Column:
     """True if a value occurs the given number of times: then it stands at both ends of a run
-    of the sorted values."""
+    of the sorted values. Values that are nearly all distinct are not sorted."""
 
     def ends(s):
         n = F.size(s) - (times - 1)
         pairs = F.arrays_zip(F.slice(s, F.lit(1), n).alias("a"), F.slice(s, F.lit(times), n).alias("b"))
-        return F.when(n > 0, F.exists(pairs, lambda x: x["a"] == x["b"])).otherwise(F.lit(False))
+        return F.exists(pairs, lambda x: x["a"] == x["b"])
 
-    return let(F.sort_array(grams), ends)
+    def check(g):
+        return F.when(F.size(F.array_distinct(g)) <= F.size(g) - (times - 1), let(F.sort_array(g), ends)).otherwise(F.lit(False))
+
+    return let(grams, check)
 
 
 def is_repetitive(text: Column, gram: int = 20, times: int = 4) -> Column:
     """Some gram occurs `times` times among those at every step-th place, the last place left
     out; step is length // 2000, at least 1. Texts under gram * times characters are not."""
+    size = F.length(text)
 
     def chosen(s):
-        return F.filter(s["w"], lambda x, i: (i % s["step"] == 0) & (i < s["n"] - gram))
+        at_last_place = (s["n"] - gram) % s["step"] == 0
+        return F.slice(s["w"], F.lit(1), F.size(s["w"]) - F.when(at_last_place, 1).otherwise(0))
 
-    size = F.length(text)
     step = F.greatest(F.lit(1), F.floor(size / 2000)).cast("int")
-    grams = let(F.struct(windows(text, gram).alias("w"), step.alias("step"), size.alias("n")), chosen)
+    grams = let(F.struct(strided_windows(text, gram, step).alias("w"), step.alias("step"), size.alias("n")), chosen)
     return F.when(size >= gram * times, _repeats(grams, times)).otherwise(F.lit(False))
 
 
@@ -166,6 +175,21 @@ def mask_contact(text: Column) -> Column:
     return F.when(at > 0, mail).otherwise(F.concat(F.substring(text, 1, 3), stars(text, 3)))
 
 
+def wrap(text: Column, width: int) -> Column:
+    """array<string>: lines of width characters; what may not begin a line stays on the line before."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}[{NO_LINE_START}]*"), F.lit(0))
+
+
+def last_turns(turns: Column, n: int) -> Column:
+    """The last n of an array, none for 0."""
+    return F.when(F.lit(n > 0) & (F.size(turns) > n), F.slice(turns, -max(n, 1), max(n, 1))).when(F.lit(n > 0), turns).otherwise(F.slice(turns, 1, 0))
+
+
+def done_at(now: Column, hours: Column) -> Column:
+    """The time a run will be done, from the hours it still needs (none given: now)."""
+    return now + F.make_dt_interval(secs=F.round(F.coalesce(hours, F.lit(0.0)) * 3600, 6))
+
+
 def clip(text: Column, size: int) -> Column:
     return F.when(F.length(text) > size, F.concat(F.rtrim(F.substring(text, 1, size)), F.lit("…"))).otherwise(text)
 

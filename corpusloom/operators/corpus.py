@@ -43,7 +43,9 @@ def last_of(rows: DataFrame, keys: list[Column], seq: str = "seq") -> DataFrame:
 
 def reject_duplicates(screened: DataFrame, prefix: int = 200) -> DataFrame:
     """screen()'s rows, with duplicate as the reason of those that passed so far but are not the
-    first with their prefix."""
+    first with their prefix. The rows are stored first: both uses of them read that table, and
+    cleaning runs once."""
+    screened = materialize(screened, "corpus-screened")
     passed = screened.where("reason is null")
     firsts = passed.groupBy(T.prefix_key(F.col("text"), prefix).alias("k")).agg(F.min("seq").alias("_first")).select("_first")
     joined = screened.join(firsts, screened["seq"] == firsts["_first"], "left")
@@ -69,7 +71,43 @@ def every(rows: DataFrame, k: int) -> DataFrame:
     return numbered(rows).where(F.col("n") % k == 0)
 
 
-def stride_for(total_chars: int, target: int) -> int:
+def bytes_per_char(rows: DataFrame) -> float:
+    """UTF-8 bytes by character of all texts (exact, where a probe of the first bytes would be an
+    estimate); 0 for none."""
+    one = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.length("text")).alias("c")).first()
+    return (one.b or 0) / max(one.c or 0, 1)
+
+
+def estimate_chars(total_bytes: int, bytes_a_char: float) -> float:
+    return total_bytes / bytes_a_char if bytes_a_char else 0.0
+
+
+def line_stream(lines: DataFrame, every_n: int = 1, most_chars: int = 0) -> DataFrame:
+    """Every n-th line (seq, text) in order, up to and with the one at which the characters reach
+    most_chars (0: all)."""
+    taken = every(lines, every_n).drop("n") if every_n > 1 else lines
+    if not most_chars:
+        return taken
+    return within_budget(taken.withColumn("n_chars", F.length("text").cast("long")), most_chars).drop("n_chars", "before")
+
+
+def text_head(lines: DataFrame, size: int) -> DataFrame:
+    """seq, text: the first characters of the lines joined by line ends; the last row is cut, and
+    each row but the last of all has its line end counted."""
+    placed = sums_before(lines.withColumn("_size", F.length("text").cast("long") + 1), ["seq"], "_size", "_before")
+    return placed.where(F.col("_before") < size).select("seq", F.substring(F.col("text"), F.lit(1), (F.lit(size) - F.col("_before")).cast("int")).alias("text"))
+
+
+def subword_sample(docs: DataFrame, target_chars: int, every_n: int, least_bytes: int = 200, most_bytes: int = 6_000) -> DataFrame:
+    """seq, n, line: the sentences of every n-th document, up to and with the document at which
+    their characters reach the target; a line has no line end, and no space at its ends."""
+    parts = every(docs, every_n).select("seq", T.split_sentences(F.col("text"), least_bytes, most_bytes).alias("s"))
+    sized = parts.withColumn("n_chars", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
+    kept = within_budget(sized, target_chars).select("seq", F.posexplode("s").alias("n", "line"))
+    return kept.select("seq", "n", T.strip(F.replace(F.col("line"), F.lit("\n"), F.lit(" "))).alias("line"))
+
+
+def stride_for(total_chars: float, target: int) -> int:
     return max(1, round(total_chars / target)) if target > 0 else 1
 
 
@@ -82,7 +120,7 @@ def split_validation(rows: DataFrame, every_n: int, most: int, size: str = "n_ch
 
 def shuffled(rows: DataFrame, seed: int, key: str = "seq") -> DataFrame:
     """A permutation that depends on seed and key alone: its place from 0 is position."""
-    keyed = rows.withColumn("_mix", F.xxhash64(F.lit(seed), F.col(key)))
+    keyed = rows.withColumn("_mix", T.mixed(seed, F.col(key)))
     return numbered(keyed, "position", ("_mix", key)).drop("_mix")
 
 
@@ -145,7 +183,8 @@ def build(sources: list[tuple[str, DataFrame, int]], **rules) -> tuple[DataFrame
 
 
 def manifest(corpus: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row: totals, a struct for each source, and a map of rejections."""
-    sources = source_share(corpus).agg(F.sort_array(F.collect_list(F.struct("source", "docs", "chars", "share"))).alias("sources"), F.coalesce(F.sum("chars"), F.lit(0)).alias("total_chars"), F.coalesce(F.sum("docs"), F.lit(0)).alias("total_documents"))
+    """One row: totals, a map of the sources by name, and a map of rejections."""
+    entry = F.struct("source", F.struct("docs", "chars", "share").alias("s"))
+    sources = source_share(corpus).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("sources"), F.coalesce(F.sum("chars"), F.lit(0)).alias("total_chars"), F.coalesce(F.sum("docs"), F.lit(0)).alias("total_documents"))
     reasons = rejected.groupBy("reason").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("rejected"))
     return sources.crossJoin(reasons)

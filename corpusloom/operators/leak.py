@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.storage import materialize
 
 PROBE_CHARS, PER_LINE, LEAST_BYTES, SEED = 48, 3, 96, 20
 
@@ -14,7 +15,7 @@ def probes(lines: DataFrame, chars: int = PROBE_CHARS, per_line: int = PER_LINE,
     """line_no, probe: parts at even places (half-even rounding) of each line (line_no, text),
     each grown to the right until it has least_bytes, or dropped. Equal probes keep the first
     line. Markers are taken out first, white space is collapsed."""
-    t = lines.select("line_no", T.collapse(F.regexp_replace(F.coalesce("text", F.lit("")), T.CORPUS_MARKERS, "")).alias("t")).where(F.length("t") >= chars)
+    t = lines.select("line_no", T.collapse(T.without_markers(F.coalesce("text", F.lit("")))).alias("t")).where(F.length("t") >= chars)
     usable = F.length("t") - chars
     place = F.lit(0) if per_line == 1 else F.bround(usable * F.col("i") / F.lit(per_line - 1), 0).cast("int")
     at = t.select("line_no", "t", F.explode(F.sequence(F.lit(0), F.lit(per_line - 1))).alias("i")).select("line_no", "t", place.alias("s"))
@@ -39,9 +40,9 @@ def occurrences(corpus: DataFrame, wanted: DataFrame, shortest: int = PROBE_CHAR
 
 def report(corpus: DataFrame, lines: DataFrame, examples: int = 5) -> DataFrame:
     """One row: probes, hit_probes, occurrences, leaked, affected_lines and the examples with
-    the most occurrences."""
-    wanted = probes(lines)
-    hits = occurrences(corpus, wanted).groupBy("probe").agg(F.count("*").alias("n")).join(wanted, "probe")
+    the most occurrences. Probes and hits are stored, so that the corpus is scanned once."""
+    wanted = materialize(probes(lines), "leak-probes")
+    hits = materialize(occurrences(corpus, wanted).groupBy("probe").agg(F.count("*").alias("n")).join(wanted, "probe"), "leak-hits")
     found = hits.agg(
         F.count("*").alias("hit_probes"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"),

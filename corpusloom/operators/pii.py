@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -28,10 +28,15 @@ def matches(docs: DataFrame) -> DataFrame:
     return out
 
 
+def has_context(context: Column) -> Column:
+    """Whether a context is long enough to ask with."""
+    return F.length(T.strip(context)) >= LEAST_CONTEXT
+
+
 def targets(found: DataFrame, n: int) -> DataFrame:
     """The first n (in order of doc_id, position, kind) secrets that are no placeholder and have
     enough context, each at its first place."""
-    usable = found.where(~F.col("placeholder") & (F.length(T.strip(F.col("context"))) >= LEAST_CONTEXT)).withColumn("seq", F.struct("doc_id", "position", "kind"))
+    usable = found.where(~F.col("placeholder") & has_context(F.col("context"))).withColumn("seq", F.struct("doc_id", "position", "kind"))
     return first_of(usable, [F.col("secret")]).orderBy("seq").limit(n).drop("seq")
 
 

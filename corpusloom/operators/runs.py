@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators.corpus import last_of
 
+MOST_PROMPTS = 10_000
 # Metrics, and whether less is better.
 METRICS = {"bits_per_char": True, "repetition_rate": True, "topic_rate": False, "broken_rate": True}
 
@@ -95,7 +96,10 @@ def lookup(rows: DataFrame, keys: dict[str, str], order: str) -> DataFrame:
 
 
 def model_prompts(models: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Every model with every prompt; both are short lists."""
+    """Every model with every prompt. The prompts are broadcast; more than MOST_PROMPTS are an
+    error, as this is meant for two short lists."""
+    if prompts.limit(MOST_PROMPTS + 1).count() > MOST_PROMPTS:
+        raise ValueError(f"more than {MOST_PROMPTS} prompts")
     return models.crossJoin(F.broadcast(prompts))
 
 
@@ -122,7 +126,7 @@ def reply_rates(flagged: DataFrame) -> DataFrame:
 
 def scaling_verdict(runs: DataFrame) -> DataFrame:
     """runs (place, divergence_step) in order: none (all later are 0), later (each is 0 or after
-    the one before, the first not 0) or unordered."""
+    the one before, the first not 0) or unordered. A list of runs is one window."""
     w = Window.orderBy("place")
     d = F.col("divergence_step")
     pairs = runs.withColumn("p", F.lag(d).over(w)).withColumn("f", F.first(d).over(w))
@@ -131,9 +135,18 @@ def scaling_verdict(runs: DataFrame) -> DataFrame:
 
 
 def run_table(train: DataFrame, val: DataFrame) -> DataFrame:
-    """run, final_train, best_value, best_step of curves (run, step, value)."""
+    """run, final_train, best_step, best_value and divergence_step (0: none) of curves (run, step,
+    value)."""
     final = train.groupBy("run").agg(F.max_by("value", "step").alias("final_train"))
-    return final.join(best_point(val, "run"), "run")
+    onset = divergence_step(gaps(train, val, "run"), "run")
+    return final.join(best_point(val, "run"), "run").join(onset, "run")
+
+
+def key_sets(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
+    """key, side of the distinct keys: both, left or right."""
+    x, y = a.select(F.col(key).alias("_x")).distinct(), b.select(F.col(key).alias("_y")).distinct()
+    side = F.when(F.col("_y").isNull(), "left").when(F.col("_x").isNull(), "right").otherwise("both")
+    return x.where("_x is not null").join(y.where("_y is not null"), F.col("_x") == F.col("_y"), "full_outer").select(F.coalesce("_x", "_y").alias(key), side.alias("side"))
 
 
 def distinct_in_order(rows: DataFrame, value: str) -> DataFrame:

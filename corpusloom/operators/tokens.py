@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.ordered import sums_before
 from corpusloom.operators.corpus import numbered
+from corpusloom.sources.storage import copy_file
 
 # The special tokens in the order of their ids.
 SPECIAL = (T.UNK, T.USER, T.ASSISTANT, T.END)
@@ -38,6 +39,31 @@ def char_tokens(lines: DataFrame, vocab: DataFrame) -> DataFrame:
     return rows.join(vocab.select(F.col("token").alias("piece"), F.col("id").alias("t")), "piece", "left").select("doc_id", "pos", "piece", F.coalesce("t", F.lit(0)).alias("token"))
 
 
+def char_encode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """doc_id, tokens array<int>. The vocabulary goes to the workers as a table by code point,
+    which bounds its size; a text is looked up in it at once."""
+    import numpy as np
+
+    rows = vocab.where(F.length("token") == 1).select(F.ascii("token").alias("c"), "id").toArrow()  # a row a code point at most
+    table = np.zeros(0x110000, np.int32)
+    table[rows.column("c").to_numpy()] = rows.column("id").to_numpy()
+    shipped = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        import re
+
+        ids, marker = shipped.value, re.compile("(" + "|".join(map(re.escape, SPECIAL[1:])) + ")")
+        at = {m: np.array([n], np.int32) for n, m in enumerate(SPECIAL)}
+        code = lambda t: at.get(t) if t in at else ids[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        for batch in batches:
+            parts = [np.concatenate([code(p) for p in marker.split(t)]) for t in ("" if t is None else t for t in batch.column(1).to_pylist())]
+            starts = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32())
+            values = pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(starts, values)], ["doc_id", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<int>")
+
+
 def char_decode(tokens: DataFrame, vocab: DataFrame, skip_special: bool = False) -> DataFrame:
     """doc_id, text of tokens (doc_id, pos, token)."""
     rows = tokens.select("doc_id", "pos", F.col("token").alias("id")).join(vocab.select("id", F.col("token").alias("piece")), "id")
@@ -88,7 +114,7 @@ def batch_offsets(spark, length: int, block: int, batch: int, seed: int, steps:
     if high <= 0:
         raise ValueError("the stream is shorter than a block")
     ids = spark.range(steps * batch).select((F.col("id") / batch).cast("long").alias("step"), (F.col("id") % batch).alias("i"))
-    return ids.withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), "step", "i"), F.lit(high)))
+    return ids.withColumn("offset", T.mixed(seed, F.col("step"), F.col("i")) % high)
 
 
 def encode_split(docs: DataFrame, val_every: int, most_tokens: int) -> DataFrame:
@@ -109,35 +135,103 @@ def train_subwords(sample: DataFrame, path: str, vocab_size: int = 8000, lines:
     and write it to path. lines bounds what reaches the driver."""
     import sentencepiece
 
-    rows = sample.where("text <> ''").orderBy(F.xxhash64(F.lit(seed), "text"), "text").limit(lines)
+    rows = sample.where("text <> ''").orderBy(T.mixed(seed, F.col("text")), "text").limit(lines)
     sentencepiece.SentencePieceTrainer.train(sentence_iterator=(r.text for r in rows.toLocalIterator()), model_prefix=path.removesuffix(".model"), vocab_size=vocab_size, model_type="unigram", byte_fallback=True, normalization_rule_name="identity", split_by_whitespace=False, character_coverage=0.9995, max_sentence_length=8192, hard_vocab_limit=False, minloglevel=2, user_defined_symbols=list(SPECIAL[1:]))
 
 
+def model_bytes(spark, path: str) -> bytes:
+    """A model file, from any store that Spark reads."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+_processors: dict[bytes, object] = {}  # of a Python worker
+
+
+def _processor(model: bytes):
+    import hashlib
+
+    import sentencepiece
+
+    key = hashlib.sha256(model).digest()
+    if key not in _processors:
+        _processors[key] = sentencepiece.SentencePieceProcessor(model_proto=model)
+    return _processors[key]
+
+
 def subword_encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, tokens array<int> by a SentencePiece model file, whose bytes go to the workers."""
-    with open(model_path, "rb") as f:
-        model = f.read()
+    """doc_id, tokens array<int> by a SentencePiece model file, which goes to the workers once."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, model_path))
 
     def run(batches):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        sp = _processor(shipped.value)
         for batch in batches:
-            ids = sp.encode([t or "" for t in batch.column(1).to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "tokens"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids = sp.encode([t or "" for t in part.column(1).to_pylist()], num_threads=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<int>")
 
 
 def subword_decode(tokens: DataFrame, model_path: str) -> DataFrame:
-    with open(model_path, "rb") as f:
-        model = f.read()
+    shipped = tokens.sparkSession.sparkContext.broadcast(model_bytes(tokens.sparkSession, model_path))
 
     def run(batches):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        sp = _processor(shipped.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sp.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return tokens.select("doc_id", "tokens").mapInArrow(run, "doc_id long, text string")
+
+
+# --- saved tokenizers ----------------------------------------------------------------
+
+
+class CharTokenizer:
+    """Characters by a vocabulary (token, id)."""
+
+    def __init__(self, vocab: DataFrame):
+        self.vocab = vocab
+
+    def encode(self, docs: DataFrame) -> DataFrame:
+        return char_encode(docs, self.vocab)
+
+    def decode(self, tokens: DataFrame, skip_special: bool = False) -> DataFrame:
+        return char_decode(tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token")), self.vocab, skip_special)
+
+    def save(self, folder: str) -> None:
+        """One JSON row: type and itos, the tokens by id."""
+        tokens = F.transform(F.sort_array(F.collect_list(F.struct("id", "token"))), lambda x: x["token"])
+        self.vocab.agg(F.lit("char").alias("type"), tokens.alias("itos")).write.mode("overwrite").json(f"{folder}/tokenizer")
+
+
+class SubwordTokenizer:
+    """Pieces by a SentencePiece model file."""
+
+    def __init__(self, model_path: str):
+        self.model_path = model_path
+
+    def encode(self, docs: DataFrame) -> DataFrame:
+        return subword_encode(docs, self.model_path)
+
+    def decode(self, tokens: DataFrame, skip_special: bool = True) -> DataFrame:
+        """Special tokens are the model's user-defined ones and markers, by their pieces."""
+        if skip_special:
+            sp = _processor(model_bytes(tokens.sparkSession, self.model_path))
+            special = [i for i in map(sp.piece_to_id, SPECIAL) if sp.id_to_piece(i) in SPECIAL]
+            if special:
+                tokens = tokens.withColumn("tokens", F.filter("tokens", lambda x: ~x.isin(*special)))
+        return subword_decode(tokens, self.model_path)
+
+    def save(self, folder: str, spark) -> None:
+        sp = _processor(model_bytes(spark, self.model_path))
+        spark.createDataFrame([("subword", sp.get_piece_size())], "type string, vocab_size int").write.mode("overwrite").json(f"{folder}/tokenizer")
+        copy_file(spark, self.model_path, f"{folder}/spm.model")
+
+
+def load_tokenizer(spark, folder: str) -> CharTokenizer | SubwordTokenizer:
+    """The tokenizer that save() wrote; one that names no type is of characters."""
+    row = spark.read.schema("type string, itos array<string>").json(f"{folder}/tokenizer")
+    if row.first().type == "subword":
+        return SubwordTokenizer(f"{folder}/spm.model")
+    return CharTokenizer(row.select(F.posexplode("itos").alias("id", "token")).select("token", F.col("id").cast("long").alias("id")))

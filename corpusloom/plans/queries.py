@@ -105,6 +105,24 @@ pairs AS (SELECT conv_id, turn, conv_id * 1000000 + turn AS seq, q, text AS a FR
 _POINTS = "points AS (SELECT event_id AS line, event_id % 400 AS step, value FROM events)"
 
 
+def _mix(seed: int, *keys: str) -> str:
+    return f"('0x' || substr(md5('{seed}' || {' || '.join(f'chr(58) || {k}' for k in keys)}), 1, 15))::BIGINT"
+
+
+def _shuffled(rows: str, seed: int) -> str:
+    return f"(row_number() OVER (ORDER BY {_mix(seed, 'doc_id')}, doc_id) - 1)"
+
+
+def _sentences(rows: str, least: int, most: int) -> str:
+    """doc_id, parts: sentences packed to the least bytes, then cut at the most."""
+    step = max(1, most // 3)
+    cut = f"CASE WHEN strlen(c) <= {most} THEN [c] ELSE list_filter(list_transform(range(0, length(c), {step}), lambda i: substr(c, i::INT + 1, {step})), lambda p: {_collapse('p')} <> '') END"
+    return f"""
+(SELECT doc_id, flatten(list_transform(CASE WHEN {_collapse('r.open')} <> '' THEN r.done || [r.open] ELSE r.done END, lambda c: {cut})) AS parts FROM
+ (SELECT doc_id, list_reduce([{{'done': []::VARCHAR[], 'open': ''}}] || list_transform(regexp_extract_all(text, '[^。！？\n]*[。！？\n]|[^。！？\n]+'), lambda x: {{'done': []::VARCHAR[], 'open': x}}),
+    lambda a, x: CASE WHEN strlen(a.open || x.open) >= {least} THEN {{'done': a.done || [a.open || x.open], 'open': ''}} ELSE {{'done': a.done, 'open': a.open || x.open}} END) AS r FROM {rows}))"""
+
+
 # --- cleaning and filters --------------------------------------------------------------
 
 
@@ -170,9 +188,31 @@ def every_nth(spark, sf_dir):
     return corpus.every(_sized(spark, sf_dir), 7).select(F.col("seq").alias("doc_id"))
 
 
-@query("SELECT doc_id FROM documents QUALIFY coalesce(sum(length(text)) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 40000")
+@query(r"SELECT doc_id FROM documents QUALIFY coalesce(sum(length(regexp_replace(text, '<[|](user|assistant|end|unk)[|]>', '', 'g'))) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 40000")
 def tail_holdout(spark, sf_dir):
-    return corpus.tail(_sized(spark, sf_dir), 40_000).select(F.col("seq").alias("doc_id"))
+    sized = _docs(spark, sf_dir).select("seq", F.length(T.without_markers(F.col("text"), T.REPLY_MARKERS)).cast("long").alias("n_chars"))
+    return corpus.tail(sized, 40_000).select(F.col("seq").alias("doc_id"))
+
+
+@query("SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id, substr(text, 1, (100000 - before)::INT) AS t FROM (SELECT doc_id, text, coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 100000)")
+def text_head(spark, sf_dir):
+    head = corpus.text_head(_docs(spark, sf_dir).select("seq", "text"), 100_000)
+    return head.select(F.col("seq").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query("""WITH e AS (SELECT doc_id, length(text) AS n FROM documents QUALIFY (row_number() OVER (ORDER BY doc_id) - 1) % 3 = 0)
+SELECT doc_id FROM e QUALIFY coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 200000""")
+def line_stream(spark, sf_dir):
+    return corpus.line_stream(_docs(spark, sf_dir).select("seq", "text"), 3, 200_000).select(F.col("seq").alias("doc_id"))
+
+
+@query("SELECT round(sum(strlen(text)) / greatest(sum(length(text)), 1), 6) AS bytes_per_char, greatest(1, round_even(sum(length(text)) / 100000.0, 0))::INT AS stride FROM documents")
+def sample_stride(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    ratio = corpus.bytes_per_char(docs)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    stride = corpus.stride_for(round(corpus.estimate_chars(n_bytes, ratio)), 100_000)
+    return spark.createDataFrame([(round(ratio, 6), stride)], "bytes_per_char double, stride int")
 
 
 @query("""WITH n AS (SELECT doc_id, length(text) AS c, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents),
@@ -196,21 +236,24 @@ def source_share(spark, sf_dir):
     return corpus.source_share(_sized(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH a AS (SELECT doc_id, {_shuffled('documents', 7)} AS position, count(*) OVER () AS n FROM documents),
+b AS (SELECT doc_id, {_shuffled('documents', 8)} AS position, count(*) OVER () AS n FROM documents WHERE source = 'src0'),
+u AS (SELECT 0 AS part, 1 AS copy, doc_id FROM a UNION ALL SELECT 0, 2, doc_id FROM a WHERE position < round_even(n * 0.5, 0)
+ UNION ALL SELECT 1, c, doc_id FROM b, range(1, 3) x(c) UNION ALL SELECT 1, 3, doc_id FROM b WHERE position < round_even(n * 0.25, 0))
+SELECT part::INT AS part, copy::INT AS copy, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS ids FROM u GROUP BY ALL""")
 def mix_corpus(spark, sf_dir):
     rows = _sized(spark, sf_dir)
-    return corpus.mix([(rows, 1.5), (rows.where("source = 'src0'"), 2.25)], 7).groupBy("part", "copy").agg(F.count("*").alias("n"))
+    return corpus.mix([(rows, 1.5), (rows.where("source = 'src0'"), 2.25)], 7).groupBy("part", "copy").agg(F.count("*").alias("n"), F.sum("seq").alias("ids"))
 
 
-@query()
+@query(f"SELECT doc_id AS seq, {_shuffled('documents', 11)}::BIGINT AS position FROM documents")
 def seeded_shuffle(spark, sf_dir):
     return corpus.shuffled(_sized(spark, sf_dir), 11).select("seq", "position")
 
 
-@query("SELECT greatest(1, (count(*) * 0.01)::INT)::BIGINT AS validation_rows, count(*)::BIGINT AS all_rows FROM documents")
+@query(f"SELECT doc_id, {_shuffled('documents', 3)} < (SELECT greatest(1, floor(count(*) * 0.01)) FROM documents) AS validation FROM documents")
 def fraction_split(spark, sf_dir):
-    split = corpus.fraction_split(_sized(spark, sf_dir), 0.01, 3)
-    return split.agg(F.count_if("validation").alias("validation_rows"), F.count("*").alias("all_rows"))
+    return corpus.fraction_split(_sized(spark, sf_dir), 0.01, 3).select(F.col("seq").alias("doc_id"), "validation")
 
 
 @query(f"""WITH {_SCREEN}, kept AS (SELECT *, length(text) AS n FROM judged WHERE reason IS NULL QUALIFY coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 500000)
@@ -237,6 +280,22 @@ def parent_child_join(spark, sf_dir):
     return chat.pairs_of_tree(m).select(part(0).alias("conv_id"), part(1).alias("turn"), F.md5("q").alias("q"), F.md5("a").alias("a"))
 
 
+@query("SELECT c.conv_id, c.turn FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role = 'user' WHERE c.role = 'assistant' AND (c.conv_id + c.turn) % 7 <> 0 AND (p.conv_id + p.turn) % 7 <> 0")
+def flagged_pairs(spark, sf_dir):
+    """Pairs neither side of which is flagged: those whose conversation and turn sum to a multiple of 7."""
+    name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    m = _turns(spark, sf_dir).select(name(F.col("turn")).alias("message_id"), name(F.col("turn") - 1).alias("parent_id"), "role", "text", ((F.col("conv_id") + F.col("turn")) % 7 == 0).alias("flagged"), F.col("turn").alias("seq"))
+    part = lambda n: F.split("message_id", ":")[n].cast("long")
+    return chat.pairs_of_tree(m).select(part(0).alias("conv_id"), part(1).alias("turn"))
+
+
+@query("SELECT conv_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS digest FROM (SELECT conv_id, list(coalesce(text, '') ORDER BY turn)[-3:] AS l FROM conversations GROUP BY conv_id)")
+def last_turns(spark, sf_dir):
+    turns = _turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("t"))
+    last = turns.select("conv_id", T.last_turns(F.col("t"), 3).alias("l"))
+    return last.select("conv_id", F.size("l").alias("n"), F.md5(F.array_join("l", "|")).alias("digest"))
+
+
 @query(f"WITH {_PAIRS} SELECT seq FROM pairs WHERE length(q) <= 300 AND length(a) BETWEEN 4 AND 600")
 def pair_length(spark, sf_dir):
     return chat.fitting(_pairs(spark, sf_dir), 300, 4, 600).select("seq")
@@ -275,6 +334,13 @@ def holdout_exact(spark, sf_dir):
     return chat.without_exact(p, p.where("turn = 1")).select("seq")
 
 
+@query(f"""WITH {_PAIRS}, sides AS (SELECT seq, conv_id % 20 = 0 AS held, unnest([q, a]) AS t FROM pairs), w AS (SELECT seq, held, substr(t, i::INT + 1, 40) AS g FROM (SELECT *, unnest(range(0, length(t) - 39)) AS i FROM sides WHERE length(t) >= 40)),
+bad AS (SELECT DISTINCT seq FROM w WHERE g IN (SELECT g FROM w WHERE held)) SELECT seq FROM pairs WHERE seq NOT IN (SELECT seq FROM bad)""")
+def pairs_without_fragments(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return chat.without_fragments(p, p.where("conv_id % 20 = 0"), 40).select("seq")
+
+
 @query("""WITH h AS (SELECT DISTINCT substr(text, i::INT + 1, 40) AS g FROM (SELECT text, unnest(range(0, length(text) - 39)) AS i FROM benchmark WHERE length(text) >= 40)),
 w AS (SELECT doc_id, substr(text, i::INT + 1, 40) AS g FROM (SELECT doc_id, text, unnest(range(0, length(text) - 39)) AS i FROM documents WHERE length(text) >= 40))
 SELECT DISTINCT doc_id FROM w SEMI JOIN h USING (g)""")
@@ -311,8 +377,18 @@ def clean_holdout(spark, sf_dir):
     return leak.clean_lines(_lines(spark, sf_dir), leak.report(docs, _lines(spark, sf_dir))).select("line_no")
 
 
+@query(f"""WITH {_PROBES}, h AS (SELECT line_no, probe, sum((length(text) - length(replace(text, probe, ''))) / length(probe))::BIGINT AS n FROM documents, probes WHERE contains(text, probe) GROUP BY ALL)
+SELECT (SELECT count(*) FROM probes)::BIGINT AS probes, count(*)::BIGINT AS hit_probes, coalesce(sum(n), 0)::BIGINT AS occurrences, count(*) > 0 AS leaked, array_to_string(list_sort(list(DISTINCT line_no)), ',') AS affected_lines,
+ (SELECT string_agg(md5(probe) || ':' || n, ',' ORDER BY n DESC, probe) FROM (SELECT * FROM h ORDER BY n DESC, probe LIMIT 5)) AS examples FROM h""")
+def leak_report(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), "text")
+    found = leak.report(docs, _lines(spark, sf_dir))
+    examples = F.transform("examples", lambda x: F.concat(F.md5(x["probe"]), F.lit(":"), x["n"].cast("string")))
+    return found.select("probes", "hit_probes", "occurrences", "leaked", F.array_join(F.col("affected_lines").cast("array<string>"), ",").alias("affected_lines"), F.array_join(examples, ",").alias("examples"))
+
+
 def _contacts(column: str = "text") -> str:
-    one = "SELECT doc_id, '{0}' AS kind, unnest(regexp_extract_all({2}, {1})) AS secret, generate_subscripts(regexp_extract_all({2}, {1}), 1) - 1 AS pos, {2} AS text FROM documents"
+    one = "SELECT doc_id, '{0}' AS kind, m[pos + 1] AS secret, pos, text, (list_sum(list_transform(g[1:pos + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:pos], lambda x: length(x))), 0))::INT AS start FROM (SELECT *, unnest(range(0, len(m))) AS pos FROM (SELECT doc_id, {2} AS text, regexp_extract_all({2}, {1}) AS m, string_split_regex({2}, {1}) AS g FROM documents))"
     return " UNION ALL ".join(one.format(kind, _sql_string(regex), column) for kind, regex in pii.KINDS)
 
 
@@ -324,7 +400,7 @@ def _contact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.regexp_replace("text", _PHONES[0], "0$1-$2-$3").alias("text"))
 
 
-_CONTACTS = f"m AS (SELECT doc_id, kind, secret, pos, text, regexp_matches(lower(secret), {_sql_string(pii.PLACEHOLDER)}) AS placeholder FROM ({_contacts(f'''regexp_replace(text, '{_PHONES[0]}', '{_PHONES[1]}', 'g')''')}))"
+_CONTACTS = f"m AS (SELECT doc_id, kind, secret, pos, substr(text, greatest(start - 120, 0) + 1, least(start, 120)) AS context, regexp_matches(lower(secret), {_sql_string(pii.PLACEHOLDER)}) AS placeholder FROM ({_contacts(f'''regexp_replace(text, '{_PHONES[0]}', '{_PHONES[1]}', 'g')''')}))"
 
 
 @query(f"WITH {_CONTACTS} SELECT doc_id, kind, pos::INT AS position, secret, placeholder FROM m")
@@ -332,6 +408,23 @@ def pii_matches(spark, sf_dir):
     return pii.matches(_contact_docs(spark, sf_dir)).select("doc_id", "kind", "position", "secret", "placeholder")
 
 
+@query(f"WITH {_CONTACTS} SELECT doc_id, kind, pos::INT AS position, md5(context) AS context, length(regexp_replace(context, '^{_SPACES}|{_SPACES}$', '', 'g')) >= 20 AS usable FROM m")
+def pii_context(spark, sf_dir):
+    return pii.matches(_contact_docs(spark, sf_dir)).select("doc_id", "kind", "position", F.md5("context").alias("context"), pii.has_context(F.col("context")).alias("usable"))
+
+
+@query(f"WITH {_CONTACTS}, t AS (SELECT * FROM m WHERE NOT placeholder AND length(regexp_replace(context, '^{_SPACES}|{_SPACES}$', '', 'g')) >= 20 QUALIFY row_number() OVER (PARTITION BY secret ORDER BY doc_id, pos, kind) = 1) SELECT doc_id, kind, secret FROM t ORDER BY doc_id, pos, kind LIMIT 60")
+def pii_targets(spark, sf_dir):
+    return pii.targets(pii.matches(_contact_docs(spark, sf_dir)), 60).select("doc_id", "kind", "secret")
+
+
+@query(f"""WITH {_CONTACTS}, o AS (SELECT kind, secret, CASE doc_id % 3 WHEN 0 THEN 'it is ' || secret WHEN 1 THEN 'it is ' || left(secret, 8) ELSE 'nothing' END AS output, CASE WHEN contains(secret, '@') THEN split_part(secret, '@', 1) ELSE left(secret, 6) END AS part FROM m)
+SELECT kind, CASE WHEN contains(output, secret) THEN 'exact' WHEN contains(output, part) AND length(part) >= 6 THEN 'partial' ELSE 'none' END AS leak, count(*)::BIGINT AS n FROM o GROUP BY ALL""")
+def pii_leak_class(spark, sf_dir):
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("it is "), F.col("secret"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("it is "), F.substring("secret", 1, 8))).otherwise("nothing")
+    return pii.leak_class(pii.matches(_contact_docs(spark, sf_dir)).withColumn("output", said)).groupBy("kind", "leak").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_CONTACTS}, u AS (SELECT DISTINCT secret, strpos(secret, '@') AS p FROM m) SELECT secret, CASE WHEN p > 0 THEN left(left(secret, p - 1), 2) || repeat('*', greatest(0, p - 3)) || substr(secret, p) ELSE left(secret, 3) || repeat('*', greatest(0, length(secret) - 3)) END AS masked FROM u")
 def pii_mask(spark, sf_dir):
     return pii.matches(_contact_docs(spark, sf_dir)).select("secret").distinct().withColumn("masked", T.mask_contact(F.col("secret")))
@@ -363,8 +456,15 @@ def char_vocab(spark, sf_dir):
 @query(f"WITH {_PIECES}, {_VOCAB} SELECT doc_id, count(*)::BIGINT AS n, md5(string_agg(id::VARCHAR, ' ' ORDER BY pos)) AS digest FROM pieces JOIN vocab ON piece = token GROUP BY doc_id")
 def char_encode(spark, sf_dir):
     docs = _chat_docs(spark, sf_dir)
-    rows = tokens.char_tokens(docs, tokens.vocabulary(docs)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join(F.transform("t", lambda x: x["token"].cast("string")), " ")).alias("digest"))
+    rows = tokens.char_encode(docs, tokens.vocabulary(docs))
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), " ")).alias("digest"))
+
+
+@query(f"WITH {_PAIRS} SELECT seq AS doc_id, md5('<|user|>' || q || '<|assistant|>' || a || '<|end|>') AS digest FROM pairs")
+def char_decode(spark, sf_dir):
+    docs = _chat_docs(spark, sf_dir)
+    tokenizer = tokens.CharTokenizer(tokens.vocabulary(docs))
+    return tokenizer.decode(tokenizer.encode(docs)).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, md5(CASE WHEN ends_with(text, '<|end|>') THEN text ELSE text || '<|end|>' END) AS digest FROM documents")
@@ -386,6 +486,23 @@ def loss_mask(spark, sf_dir):
     return _masked(spark, sf_dir).groupBy("doc_id").agg(F.sum("weight").alias("targets"), F.min(on).alias("first_target"), F.max(on).alias("last_target"))
 
 
+@query(f"WITH {_MASK}, shifted AS (SELECT doc_id, pos, lead(piece) OVER w AS target, lead(weight) OVER w AS tw FROM masked WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, md5(string_agg(target, '' ORDER BY pos)) AS digest, sum(tw)::BIGINT AS targets, count(*) FILTER (target IS NULL)::BIGINT AS open FROM shifted GROUP BY doc_id")
+def shifted_targets(spark, sf_dir):
+    rows = tokens.shifted(_masked(spark, sf_dir).withColumnRenamed("piece", "token"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]), "")
+    return rows.groupBy("doc_id").agg(F.md5(joined).alias("digest"), F.sum("target_weight").alias("targets"), F.count_if(F.col("target").isNull()).alias("open"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(range(0, (length(text) - 1) // 256)) AS w, length(text) AS n FROM documents), t AS (SELECT sum(length(text)) AS n FROM documents)
+SELECT round(sum(doc_id % 13 + w * 0.5 + 300) / ln(2.0) / ((SELECT n FROM t) * (count(*) * 256.0 / greatest((SELECT n FROM t) - 1, 1))), 9) AS bits_per_char FROM w""")
+def bits_per_char(spark, sf_dir):
+    """The nats of a window are an input of the operator; here they are made up."""
+    arrays = _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("tokens"))
+    n = _sized(spark, sf_dir).agg(F.sum("n_chars")).first()[0]
+    windows = tokens.token_windows(arrays).select((F.col("doc_id") % 13 + F.col("window") * 0.5 + 300).alias("nats"))
+    return tokens.bits_per_char(windows, n, n).select(F.round("bits_per_char", 9).alias("bits_per_char"))
+
+
 @query(f"WITH {_MASK} SELECT count(*)::BIGINT AS tokens, sum(weight)::BIGINT AS targets, sum(weight) / count(*) AS ratio FROM masked")
 def mask_ratio(spark, sf_dir):
     return tokens.mask_ratio(_masked(spark, sf_dir))
@@ -398,17 +515,26 @@ def token_windows(spark, sf_dir):
     return tokens.token_windows(arrays).select("doc_id", "window", F.md5(F.array_join("tokens", "")).alias("digest"))
 
 
-@query()
+@query(f"SELECT step, i, {_mix(1234, 'step', 'i')} % 999743 AS \"offset\" FROM range(0, 20) a(step), range(0, 32) b(i)")
 def batch_sample(spark, sf_dir):
     return tokens.batch_offsets(spark, 1_000_000, 256, 32, 1234, 20)
 
 
-@query()
+@query(f"SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INT AS n, length(unnest(parts))::INT AS n_chars, md5(unnest(parts)) AS digest FROM {_sentences('documents', 60, 600)}")
 def sentence_split(spark, sf_dir):
     parts = _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.posexplode(T.split_sentences(F.col("text"), 60, 600)).alias("n", "sentence"))
     return parts.select("doc_id", "n", F.length("sentence").alias("n_chars"), F.md5("sentence").alias("digest"))
 
 
+@query(f"""WITH e AS (SELECT doc_id, text FROM documents QUALIFY (row_number() OVER (ORDER BY doc_id) - 1) % 5 = 0),
+s AS (SELECT doc_id, parts, coalesce(list_sum(list_transform(parts, lambda x: length(x))), 0) AS c FROM {_sentences('e', 200, 6000)}),
+k AS (SELECT doc_id, parts FROM s QUALIFY coalesce(sum(c) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 300000)
+SELECT doc_id, n, md5(regexp_replace(replace(line, chr(10), ' '), '^{_SPACES}|{_SPACES}$', '', 'g')) AS digest FROM (SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INT AS n, unnest(parts) AS line FROM k)""")
+def subword_sample(spark, sf_dir):
+    lines = corpus.subword_sample(_docs(spark, sf_dir).select("seq", "text"), 300_000, 5)
+    return lines.select(F.col("seq").alias("doc_id"), "n", F.md5("line").alias("digest"))
+
+
 @query("""WITH d AS (SELECT doc_id, text, CASE WHEN strlen(text) <= 600 THEN [text] ELSE list_transform(range(0, length(text), 200), lambda i: substr(text, i::INT + 1, 200)) END AS parts FROM documents)
 SELECT doc_id, len(k)::BIGINT AS n, md5(array_to_string(k, '|')) AS digest FROM (SELECT doc_id, CASE WHEN strlen(text) <= 600 THEN parts ELSE list_filter(parts, lambda p: trim(regexp_replace(p, '\\s', ' ', 'g')) <> '') END AS k FROM d)""")
 def hard_split(spark, sf_dir):
@@ -465,10 +591,71 @@ def best_point(spark, sf_dir):
     return runs.best_point(_points(spark, sf_dir).withColumn("run", F.floor(F.col("line") / 400)), "run")
 
 
-@query(f"WITH {_POINTS}, r AS (SELECT line // 400 AS run, * FROM points) SELECT run, arg_max(value, step) AS final_train, arg_min(step, (value, step)) AS best_step, min(value) AS best_value FROM r GROUP BY run")
+_RUN_GAP = _GAP.replace("SELECT user_id, event_id AS step, value, event_type FROM events", "SELECT event_id // 400 AS user_id, event_id % 400 AS step, value, event_type FROM events")
+
+
+@query(f"""WITH {_RUN_GAP}, d AS (SELECT user_id AS run, coalesce(min(step) FILTER (val > train), 0)::BIGINT AS divergence_step FROM gap GROUP BY 1),
+f AS (SELECT user_id AS run, arg_max(value, step) AS final_train FROM tr GROUP BY 1), best AS (SELECT user_id AS run, arg_min(step, (value, step)) AS best_step, min(value) AS best_value FROM va GROUP BY 1)
+SELECT run, final_train, best_step, best_value, divergence_step FROM f JOIN best USING (run) JOIN d USING (run)""")
 def run_comparison(spark, sf_dir):
-    p = _points(spark, sf_dir).withColumn("run", F.floor(F.col("line") / 400))
-    return runs.run_table(p, p)
+    p = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / 400).alias("run"), (F.col("event_id") % 400).alias("step"), "value", "event_type")
+    return runs.run_table(p.where("event_type <> 'click'"), p.where("event_type = 'click'"))
+
+
+@query(f"""WITH {_GAP}, d AS (SELECT user_id AS place, coalesce(min(step) FILTER (val > train), 0) AS d FROM gap GROUP BY 1),
+l AS (SELECT 'all' AS list, place, d FROM d UNION ALL SELECT 'first', place, d FROM d WHERE place = (SELECT min(place) FROM d) OR d = 0 UNION ALL SELECT 'rising', place, place + 1 FROM d),
+w AS (SELECT *, lag(d) OVER (PARTITION BY list ORDER BY place) AS p, first_value(d) OVER (PARTITION BY list ORDER BY place) AS f FROM l)
+SELECT list, CASE WHEN coalesce(bool_and(d = 0) FILTER (p IS NOT NULL), true) THEN 'none' WHEN max(f) > 0 AND bool_and(d = 0 OR d > p) FILTER (p IS NOT NULL) THEN 'later' ELSE 'unordered' END AS verdict FROM w GROUP BY list""")
+def scaling_verdict(spark, sf_dir):
+    d = runs.divergence_step(_gap(spark, sf_dir), "user_id").withColumnRenamed("user_id", "place")
+    least = d.agg(F.min("place")).first()[0]
+    lists = {"all": d, "first": d.where((F.col("place") == least) | (F.col("divergence_step") == 0)), "rising": d.withColumn("divergence_step", F.col("place") + 1)}
+    out = None
+    for name, rows in lists.items():
+        one = runs.scaling_verdict(rows).select(F.lit(name).alias("list"), "verdict")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT event_id::VARCHAR AS key, round(abs(value - value * (1 + (event_id % 7) / 100.0)), 9) AS diff FROM events ORDER BY abs(value - value * (1 + (event_id % 7) / 100.0)) DESC, key DESC LIMIT 1")
+def largest_difference(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("key"), "value", "event_id")
+    other = e.select("key", (F.col("value") * (1 + (F.col("event_id") % 7) / 100.0)).alias("value"))
+    return runs.max_abs_diff(e.select("key", "value"), other).select("key", F.round("diff", 9).alias("diff"))
+
+
+@query("SELECT event_id::VARCHAR AS label, value AS d_over_n FROM events ORDER BY abs(value - 20), label LIMIT 1")
+def closest_ratio(spark, sf_dir):
+    return runs.closest(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("label"), F.col("value").alias("d_over_n")))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 1")
+def first_lookup(spark, sf_dir):
+    return runs.lookup(spark.read.parquet(f"{sf_dir}/events.parquet"), {"event_type": "click"}, "event_id").select("event_id", "user_id")
+
+
+@query("SELECT * FROM (SELECT DISTINCT user_id AS model FROM events), (SELECT DISTINCT event_type AS prompt FROM events)")
+def model_prompts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return runs.model_prompts(e.select(F.col("user_id").alias("model")).distinct(), e.select(F.col("event_type").alias("prompt")).distinct())
+
+
+@query("WITH a AS (SELECT DISTINCT user_id AS key FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id AS key FROM events WHERE event_type = 'view') SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'left' WHEN a.key IS NULL THEN 'right' ELSE 'both' END AS side FROM a FULL JOIN b USING (key)")
+def key_sets(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "event_type")
+    return runs.key_sets(e.where("event_type = 'click'"), e.where("event_type = 'view'"))
+
+
+@query("SELECT event_id, epoch_us(ts + to_microseconds((round(value * 3600, 6) * 1000000)::BIGINT)) AS done_us FROM events")
+def run_eta(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", F.unix_micros(T.done_at(F.col("ts"), F.col("value")).cast("timestamp")).alias("done_us"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 60 THEN rtrim(left(text, 60), ' ') || '…' ELSE text END) AS clipped, len(w)::INT AS n_lines, md5(array_to_string(w, '|')) AS wrapped FROM (SELECT doc_id, text, regexp_extract_all(text, '(?s).{1,40}[。、」）ｗw！？]*') AS w FROM documents)")
+def display_text(spark, sf_dir):
+    w = T.wrap(F.col("text"), 40)
+    return _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), F.md5(T.clip(F.col("text"), 60)).alias("clipped"), F.size(w).alias("n_lines"), F.md5(F.array_join(w, "|")).alias("wrapped"))
 
 
 @query(f"WITH {_POINTS} SELECT (step - 1) // 50 AS \"interval\", round(avg(value), 6) AS loss, round(sum(value) / count(*), 6) AS tok_per_sec FROM points WHERE step > 0 GROUP BY 1")

@@ -12,9 +12,12 @@ _made: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local default only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local default on a
+    local master, and an error on a cluster, whose machines share no local folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         folder = LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -36,14 +39,51 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder new in the place of path by renaming, so that a reader sees the old state
+    or the new one; what was there is removed after. A crash between the two renames leaves the
+    old state under path.old, which restore() puts back."""
+    system, at = _hadoop(spark, path)
+    _, old = _hadoop(spark, f"{path}.old")
+    _, fresh = _hadoop(spark, new)
+    restore(spark, path)
+    if system.exists(at):
+        system.rename(at, old)
+    system.rename(fresh, at)
+    system.delete(old, True)
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Undo a replacement that was cut off, if there is one."""
+    system, at = _hadoop(spark, path)
+    _, old = _hadoop(spark, f"{path}.old")
+    if system.exists(old):
+        if system.exists(at):
+            system.delete(old, True)
+        else:
+            system.rename(old, at)
+
+
+def _hadoop(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def copy_file(spark: SparkSession, source: str, target: str) -> None:
+    """Copy one file between stores."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    (a, x), (b, y) = _hadoop(spark, source), _hadoop(spark, target)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(a, x, b, y, False, True, conf)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, at = _hadoop(spark, path)
+    return system.exists(at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    system, at = _hadoop(spark, path)
+    system.delete(at, True)
 
 
 @atexit.register

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions.text import finite
+from corpusloom.sources.storage import replace
 
 STALE_SECONDS = 180
 THROTTLE = "30 seconds"
@@ -28,10 +29,12 @@ def heartbeat(points: DataFrame) -> DataFrame:
 
 def write_heartbeats(points: DataFrame, path: str, checkpoint: str, throttle: str | None = THROTTLE) -> StreamingQuery:
     """Keep the last states at path, written anew at most every throttle; without one, all that
-    is there is taken and the query ends. The checkpoint makes it go on where it stopped."""
+    is there is taken and the query ends. The checkpoint makes it go on where it stopped. A new
+    state is written beside the old one and put in its place, so a reader sees a whole one."""
 
     def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").json(path)
+        batch.write.mode("overwrite").json(f"{path}.new")
+        replace(batch.sparkSession, f"{path}.new", path)
 
     writer = heartbeat(points).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put)
     return (writer.trigger(processingTime=throttle) if throttle else writer.trigger(availableNow=True)).start()
@@ -48,6 +51,18 @@ def follow(spark: SparkSession, folder: str, schema: str, checkpoint: str, on_lo
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 
 
+def run_while_advancing(run: Callable[[], None], step: Callable[[], int], most: int = 20) -> None:
+    """Call run() again after it failed, `most` times in all, as long as step() has advanced since
+    it began; a failure without an advance, or the last, is raised."""
+    for left in reversed(range(most)):
+        before = step()
+        try:
+            return run()
+        except Exception:
+            if not left or step() <= before:
+                raise
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """An extension: counts and sums of events (ts, event_type, value) by time window, with a
     watermark for late rows."""

@@ -173,3 +173,61 @@ def test_evaluation(spark):
     m = lambda *rows: spark.createDataFrame(rows, "metric string, value double")
     got = {r.metric: (r.verdict, r.cost) for r in runs.comparison(m(("bits_per_char", 2.0), ("topic_rate", 0.5), ("broken_rate", 0.0)), m(("bits_per_char", 1.0), ("topic_rate", 0.25), ("broken_rate", 0.0))).collect()}
     assert got == {"bits_per_char": ("worsened", 1.0), "topic_rate": ("improved", -0.25), "broken_rate": ("unchanged", 0.0)}
+
+
+def test_saved_tokenizers(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "<|user|>あa<|assistant|>b\nb<|end|>"), (1, "unseen ω"), (2, ""), (3, None), (4, "<|end|><|end|>")], "doc_id long, text string")
+    vocab = tokens.vocabulary(docs.where("doc_id = 0"))
+    tokens.CharTokenizer(vocab).save(str(tmp_path / "char"))
+    again = tokens.load_tokenizer(spark, str(tmp_path / "char"))
+    assert sorted(map(tuple, again.vocab.collect())) == sorted(map(tuple, vocab.collect()))
+    by_join = {}
+    for r in tokens.char_tokens(docs.where("text <> ''"), vocab).collect():
+        by_join.setdefault(r.doc_id, {})[r.pos] = r.token
+    coded = {r.doc_id: r.tokens for r in again.encode(docs).collect()}
+    assert coded == {i: [by_join[i][k] for k in sorted(by_join[i])] if i in by_join else [] for i in range(5)}
+    back = {r.doc_id: r.text for r in again.decode(again.encode(docs), skip_special=True).collect()}
+    assert back[0] == "あab\nb"
+    rng = random.Random(8)
+    words = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma", "かな"]) for _ in range(9))) for i in range(150)], "doc_id long, text string")
+    tokens.train_subwords(words, str(tmp_path / "m.model"), vocab_size=320, lines=100)
+    tokens.SubwordTokenizer(str(tmp_path / "m.model")).save(str(tmp_path / "sub"), spark)
+    sub = tokens.load_tokenizer(spark, str(tmp_path / "sub"))
+    assert isinstance(sub, tokens.SubwordTokenizer)
+    assert {r.doc_id: r.text for r in sub.decode(sub.encode(words)).collect()} == {r.doc_id: r.text for r in words.collect()}
+    marked = spark.createDataFrame([(1, "<|user|>alpha<|end|>")], "doc_id long, text string")
+    assert sub.decode(sub.encode(marked)).first().text == "alpha"
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "tokenizer").mkdir()
+    (tmp_path / "old" / "tokenizer" / "part.json").write_text('{"itos": ["<|unk|>", "<|user|>", "<|assistant|>", "<|end|>", "a"]}')
+    assert isinstance(tokens.load_tokenizer(spark, str(tmp_path / "old")), tokens.CharTokenizer)
+
+
+def test_samples_and_heads(spark):
+    lines = spark.createDataFrame([(k, "あ" * 10 + "。" + "b" * k) for k in range(12)], "seq long, text string")
+    joined = "\n".join("あ" * 10 + "。" + "b" * k for k in range(12))
+    for size in (0, 1, 11, 12, 13, 40, 10_000):
+        assert "\n".join(r.text for r in corpus.text_head(lines, size).orderBy("seq").collect()).rstrip("\n") == joined[:size].rstrip("\n")
+    assert abs(corpus.bytes_per_char(lines) - len(joined.replace("\n", "").encode()) / len(joined.replace("\n", ""))) < 1e-12
+    assert corpus.bytes_per_char(lines.where("false")) == 0 and corpus.estimate_chars(100, 0.0) == 0 and corpus.estimate_chars(100, 2.0) == 50
+    sample = corpus.subword_sample(lines, 30, 3, 20, 60)
+    assert {r.seq for r in sample.collect()} == {0, 3, 6}  # 11, 14 and 17 characters: the third reaches 30
+    assert all(r.line == r.line.strip() and "\n" not in r.line for r in sample.collect())
+
+
+def test_key_sets_and_prompts(spark):
+    k = lambda *xs: spark.createDataFrame([(x,) for x in xs], "key string")
+    assert {(r.key, r.side) for r in runs.key_sets(k("a", "b", "b", None), k("b", "c")).collect()} == {("a", "left"), ("b", "both"), ("c", "right")}
+    models, prompts = spark.range(2).toDF("m"), spark.range(3).toDF("p")
+    assert runs.model_prompts(models, prompts).count() == 6
+    with pytest.raises(ValueError):
+        runs.model_prompts(models, spark.range(runs.MOST_PROMPTS + 1).toDF("p"))
+
+
+def test_run_table_and_lookup(spark):
+    train = spark.createDataFrame([("a", 10, 3.0), ("a", 20, 1.0), ("b", 10, 5.0)], "run string, step long, value double")
+    val = spark.createDataFrame([("a", 10, 2.0), ("a", 20, 2.5), ("b", 10, 4.0)], "run string, step long, value double")
+    assert {r.run: (r.final_train, r.best_step, r.best_value, r.divergence_step) for r in runs.run_table(train, val).collect()} == {"a": (1.0, 10, 2.0, 20), "b": (5.0, 10, 4.0, 0)}
+    assert runs.lookup(val, {"run": "a"}, "step").first().step == 10
+    with pytest.raises(KeyError):
+        runs.lookup(val, {"run": "z"}, "step")

@@ -106,3 +106,33 @@ def test_small_functions(spark):
     rates = spark.range(0, 11).select(T.learning_rate(F.col("id"), 1.0, 10, 2, 0.1)).collect()
     assert abs(rates[0][0] - 0.02) < 1e-12 and abs(rates[2][0] - 1) < 1e-12 and abs(rates[10][0] - 0.1) < 1e-12
     assert spark.range(1).select(T.finite(F.lit(float("inf")))).first()[0] is None and math.isclose(spark.range(1).select(T.finite(F.lit(1.23456))).first()[0], 1.2346)
+
+
+def test_wrapping_turns_and_markers(spark):
+    def wrap(t, width):
+        lines, line = [], ""
+        for c in t:
+            if len(line) >= width and c not in T.NO_LINE_START:
+                lines.append(line)
+                line = c
+            else:
+                line += c
+        return lines + [line] * bool(line)
+
+    rng = random.Random(4)
+    values = ["".join(rng.choice("あいa。、w\n 」") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    assert column(spark, values, lambda t: T.wrap(t, 4)) == [wrap(v, 4) for v in values]
+    marked = ["<|user|>a<|unk|>b<|endoftext|>", ""]
+    assert column(spark, marked, T.without_markers) == ["a<|unk|>b", ""]
+    assert column(spark, marked, lambda t: T.without_markers(t, T.REPLY_MARKERS)) == ["ab<|endoftext|>", ""]
+    turns = spark.createDataFrame([([1, 2, 3],), ([],)], "t array<int>")
+    assert [[r[k] for r in turns.select(*[T.last_turns(F.col("t"), n) for n in (0, 2, 5)]).collect()] for k in range(3)] == [[[], []], [[2, 3], []], [[1, 2, 3], []]]
+    at = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS now, 1.5D AS h, CAST(NULL AS DOUBLE) AS none").select(T.done_at(F.col("now"), F.col("h")).cast("string"), T.done_at(F.col("now"), F.col("none")).cast("string")).first()
+    assert tuple(at) == ("2024-01-01 01:30:00", "2024-01-01 00:00:00")
+
+
+def test_strided_windows(spark):
+    rng = random.Random(5)
+    values = ["".join(rng.choice("ab\n") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    for size, stride in ((5, 1), (5, 3), (5, 5), (4, 9)):
+        assert column(spark, values, lambda t: T.strided_windows(t, size, stride)) == [[v[i : i + size] for i in range(0, len(v) - size + 1, stride)] for v in values]
