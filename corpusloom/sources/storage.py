@@ -36,7 +36,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that materialize() stored, once nothing reads it any more."""
+    path = df._stored_at
+    remove(df.sparkSession, path)
+    _made[:] = [x for x in _made if x[1] != path]
 
 
 def replace(spark: SparkSession, new: str, path: str) -> None:
