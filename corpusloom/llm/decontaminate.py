@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_text, portions, worker_cache
+from corpusloom.llm.common import cached, id_text, portions
 
 SEED = 20240229
 MOST_EDITS = 0.2
@@ -281,13 +281,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = "doc_id long, item_id long, edits long, item_words long"
 
     def scan(block: list[tuple[int, str]]) -> DataFrame:
-        shipped, key = spark.sparkContext.broadcast(block), ("items", uuid.uuid4().hex)  # of ITEMS items at most
+        shipped, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex  # of ITEMS items at most
 
         def run(batches):
-            cache = worker_cache()
-            if key not in cache:
-                cache[key] = Items(shipped.value, most_edits)
-            items = cache[key]
+            items = cached("items", key, lambda: Items(shipped.value, most_edits))
             for batch in batches:
                 for part in portions(batch, "text", BYTES):
                     ids = part.column(0)

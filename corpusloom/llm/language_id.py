@@ -9,7 +9,8 @@ penalty. The prediction is the language of the largest share, the score that sha
 Defined cases: a text that is null or has no letter is `und` with score 0 and no languages;
 so is every text if nothing could be learned. A null language is not learned from. A null
 id is held out of learning but not counted as held out. Equal shares go to the language
-that sorts first. Repeated rows count each time in learning and get equal results. Empty
+that sorts first. Repeated rows count each time in learning and get equal results. Texts of
+any length are read whole, their grams counted in a table of fixed size. Empty
 tables give empty tables. Extra columns are not read, and only pass through with keep_row.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_text, worker_cache
+from corpusloom.llm.common import add_binary, cached, id_text
 
 GRAM_BITS = 16
 CHUNK = 4096  # gram counts in a row of the partial sums
@@ -82,16 +83,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         rows = [(lang, k, row.tobytes()) for lang, total in sums.items() for k, row in enumerate(total.reshape(-1, CHUNK))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "chunk", "counts"])
 
-    def add(key, rows):
-        import numpy as np
-
-        total = np.zeros(CHUNK, np.int64)
-        for x in rows.column("counts").to_pylist():
-            total += np.frombuffer(x, np.int64)
-        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "chunk": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
     schema = "lang string, chunk int, counts binary"
-    rows = chosen.mapInArrow(count, schema).groupBy("lang", "chunk").applyInArrow(add, schema).collect()
+    rows = add_binary(chosen.mapInArrow(count, schema), ["lang", "chunk"]).collect()
     langs = sorted({r.lang for r in rows})
     parts = {(r.lang, r.chunk): bytes(r.counts) for r in rows}
     return langs, b"".join(parts[lang, k] for lang in langs for k in range((1 << GRAM_BITS) // CHUNK))
@@ -148,14 +141,11 @@ def classify(docs: DataFrame, model: tuple[list[str], bytes], id_col: str = "doc
     import hashlib
 
     langs, counts = model
-    shipped, key = docs.sparkSession.sparkContext.broadcast(model), ("lang", hashlib.sha256(repr(langs).encode() + counts).hexdigest())
+    shipped, key = docs.sparkSession.sparkContext.broadcast(model), hashlib.sha256(repr(langs).encode() + counts).hexdigest()
     out = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def run(batches):
-        cache = worker_cache()
-        if key not in cache:
-            cache[key] = Mixture(*shipped.value)
-        model = cache[key]
+        model = cached("lang", key, lambda: Mixture(*shipped.value))
         for batch in batches:
             found = pa.array([[{"lang": x, "share": s} for x, s in model.shares(t)] for t in batch.column("text").to_pylist()], out)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "languages"])

@@ -6,8 +6,10 @@ intersected per row, and only the rows left for a rule are verified with its reg
 without a mandatory trigram is verified on every row.
 
 A row is known by its id and its text's hash, so repeated ids, null ids and repeated rows
-are told apart by what they hold, and equal rows get equal results. A null or empty text
-has no spans; an empty table gives an empty table; extra columns are not read.
+are told apart by what they hold, and equal rows get equal results. Matches of a kind do not
+overlap, the leftmost counts; matches of different kinds may, and tie at a start by the order
+of the rules. A null or empty text has no spans; texts of any length are read whole; an empty
+table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations

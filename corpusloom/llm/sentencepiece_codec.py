@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_text, worker_cache
+from corpusloom.llm.common import cached, id_text, portions
 
 #: Entries of a worker's chunk table; a full table starts anew, which changes no result.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 200_000
 #: Longer chunks are not kept beyond the texts at hand.
 LONGEST_KEPT = 64
-#: Texts in an output batch.
-OUT_ROWS = 512
+#: Bytes of texts handled at a time.
+PORTION = 1 << 20
 
 MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
@@ -90,10 +90,7 @@ class ChunkTable(dict):
 def chunk_table(model: bytes) -> ChunkTable:
     import hashlib
 
-    cache, key = worker_cache(), ("sp", hashlib.sha256(model).digest())
-    if key not in cache:
-        cache[key] = ChunkTable(model)
-    return cache[key]
+    return cached("sp", hashlib.sha256(model).digest(), lambda: ChunkTable(model))
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", add_end: bool = True) -> DataFrame:
@@ -107,8 +104,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         table = chunk_table(shipped.value)
         end = np.array([table.sp.eos_id()] if add_end else [], "<i4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                part = batch.slice(at, OUT_ROWS)
+            for part in portions(batch, "text", PORTION):
                 pairs = table.encode_decode(part.column(1).to_pylist())
                 data = [p[0] + end for p in pairs]
                 offsets = np.zeros(len(data) + 1, "<i4")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_text, portions, worker_cache
+from corpusloom.llm.common import cached, id_text, portions
 from corpusloom.sources.storage import materialize, path_exists, scratch_path
 
 MEMO_ENTRIES = 300_000
@@ -90,10 +90,7 @@ class ChunkCounts(dict):
 
 
 def chunk_counts(data: bytes, kind: str) -> ChunkCounts:
-    cache, key = worker_cache(), ("counts", hashlib.sha256(data).digest())
-    if key not in cache:
-        cache[key] = ChunkCounts(data, kind)
-    return cache[key]
+    return cached("counts", hashlib.sha256(data).digest(), lambda: ChunkCounts(data, kind))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

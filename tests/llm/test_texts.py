@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from math import log10
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,32 @@ def test_sentencepiece_is_the_library(spark):
     assert sentencepiece_codec.encode(frame(spark, []), path).count() == 0
 
 
+def test_bounded_tables_change_no_result(monkeypatch):
+    """Tables that are emptied again and again, and chunks too long to keep."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdé漢") for _ in range(rng.choice([1, 2, 3, 90]))) for _ in range(rng.randint(0, 60))) + rng.choice(["", " ", "  x"]) for _ in range(120)]
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    expect = [(np.array(sp.encode(t), "<i4").tobytes(), sp.decode(sp.encode(t))) for t in texts]
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        data = f.read()
+    tok = Tokenizer.from_str(data.decode())
+    counts = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    for entries, longest in ((10**6, 10**6), (20, 10**6), (20, 2), (0, 0)):
+        monkeypatch.setattr(sentencepiece_codec, "TABLE_ENTRIES", entries)
+        monkeypatch.setattr(sentencepiece_codec, "LONGEST_KEPT", longest)
+        monkeypatch.setattr(token_counts, "MEMO_ENTRIES", entries)
+        monkeypatch.setattr(token_counts, "LONGEST_KEPT", longest)
+        table, memo = sentencepiece_codec.ChunkTable(model), token_counts.ChunkCounts(data, "json")
+        assert [x for k in range(0, 120, 7) for x in table.encode_decode(texts[k : k + 7])] == expect
+        assert [memo.count(t) for t in texts] == counts
+        assert len(table) <= entries + 7 * 61 and (longest or not any(map(len, memo)))
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -402,6 +429,46 @@ def test_mixture_is_the_best_of_a_grid():
     assert like >= grid - 0.01 and abs(share.sum() - 1) < 1e-9
 
 
+def test_language_mixtures_by_brute_force():
+    """The chosen set and its shares against a plain search: every further language is fitted by many
+    steps of expectation-maximisation over single grams, and the best taken if it pays."""
+    rng = random.Random(11)
+    syllables = {"a": ["ba", "be", "bi"], "b": ["ba", "ko", "ku"], "c": ["zo", "zu", "ko"], "d": ["mi", "be", "mo"]}
+    prose = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+    counts = np.zeros((4, 1 << language_id.GRAM_BITS), np.int64)
+    for k, lang in enumerate(sorted(syllables)):
+        np.add.at(counts[k], language_id.gram_codes(prose(lang, 3000)), 1)
+    model = language_id.Mixture(sorted(syllables), counts.tobytes())
+
+    def plain(text):
+        grams = language_id.gram_codes(text)
+        p = model.p[grams]
+
+        def fit(own):
+            share = np.full(len(own), 1 / len(own))
+            for _ in range(400):
+                r = share * p[:, own]
+                share = (r / r.sum(1, keepdims=True)).mean(0)
+            return share, np.log(p[:, own] @ share).sum()
+
+        chosen = max(([k] for k in range(4)), key=lambda own: fit(own)[1])
+        share, best = fit(chosen)
+        while len(chosen) < 4:
+            tries = [(fit([*chosen, k]), [*chosen, k]) for k in range(4) if k not in chosen]
+            (new, value), own = max(tries, key=lambda t: t[0][1])
+            if value <= best + language_id.PENALTY * np.log(max(len(grams), 2)):
+                break
+            chosen, share, best = own, new, value
+        return {model.langs[k]: s for k, s in zip(chosen, share)}
+
+    cases = [[("a", 60)], [("a", 60), ("c", 40)], [("b", 30), ("d", 90)], [("a", 50), ("b", 50), ("c", 50)], [("d", 4)], [("a", 200), ("c", 3)], [("c", 40_000), ("d", 20_000)]]
+    for case in cases:
+        text = " ".join(prose(lang, n) for lang, n in case)
+        found, expect = dict(model.shares(text)), plain(text)
+        assert set(found) == set(expect) and all(abs(found[k] - expect[k]) < 0.01 for k in expect), case
+        assert next(iter(found)) == max(expect, key=expect.get)
+
+
 def test_lm_scores(spark):
     rng = random.Random(8)
     prose = lambda n: " ".join(rng.choice(["the", "and", "house", "River", "run"]) for _ in range(n))
@@ -426,11 +493,62 @@ def test_lm_scores(spark):
     assert lm_scoring.score(frame(spark, [])).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    import numpy as np
-
-    rng = np.random.default_rng(9)
-    mixer = lm_scoring.Mixer(rng.integers(0, 30, (2, lm_scoring.SLOTS)).astype(np.int32))
-    keys = (np.full(257, 0x61626364, np.uint64) << np.uint64(9)) | np.arange(257, dtype=np.uint64)
-    p = 10 ** mixer.log10(np.arange(512, dtype=np.uint64) | (np.uint64(0x61626364) << np.uint64(9)))
-    assert abs(p.sum() - 1) < 1e-9 and (10 ** mixer.log10(keys)).sum() <= 1
+def test_lm_model_by_brute_force():
+    """Counters, their map and the frozen scores, decision by decision from plain dictionaries of
+    what the tables hold; all symbols after a context have a probability of one together."""
+    L = lm_scoring
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["ab", "abc", "é", " ", "x"]) for _ in range(rng.randint(0, 40))).encode() for _ in range(60)]
+    keys, starts = L.symbol_keys(texts)
+    plain = []
+    for t in texts:
+        padded = b"\0" * L.LONGEST + t
+        plain += [(int.from_bytes(padded[k : k + L.LONGEST], "big") << 9) | x for k, x in enumerate([*t, L.END])]
+    assert keys.tolist() == plain and starts.tolist() == [sum(len(t) + 1 for t in texts[:k]) for k in range(len(texts))]
+    distinct, n = np.unique(keys, return_counts=True)
+    tables = L.Tables((12, 13, 14, 15, 16))
+    counts = np.zeros((2, tables.slots), np.int64)
+    for j in range(L.DECISIONS):
+        first, prefix, bit, times = L.outcomes(distinct, n, j)
+        for slots in tables.find([c[first] for c in tables.contexts(distinct)], prefix, j):
+            np.add.at(counts, (bit, slots), times)
+    assert counts.sum() == len(keys) * L.DECISIONS * L.ORDERS
+    learner = L.Learner(tables, counts.astype(np.uint16))
+    learner.train(distinct, n.astype(float))
+    sums = np.zeros((2, 256 * L.MAP_STEPS), np.int64)
+    learner.refine(distinct, n, sums)
+    assert sums.sum() == len(keys) * L.DECISIONS
+    model = L.Model.unpacked(L.freeze(learner, sums).packed())
+
+    def slow(key):
+        """The same by scalars."""
+        total, one = 0.0, np.array([key], np.uint64)
+        for j in range(L.DECISIONS):
+            prefix = one >> np.uint64(L.DECISIONS - j)
+            slots = [int(x[0]) for x in tables.find(tables.contexts(one), prefix, j)]
+            seen = [int(np.searchsorted(L.COUNT_STEPS, counts[:, k].sum(), "right")) for k in slots]
+            w = learner.weights[seen[-1] * (len(L.COUNT_STEPS) + 1) + seen[-2]]
+            z = sum(a * np.log((counts[1, k] + L.PRIOR) / (counts[0, k] + L.PRIOR)) for a, k in zip(w, slots)) + 0.3 * w[-1]
+            step = min(L.MAP_STEPS - 1, max(0, int((z + L.MAP_RANGE) * 16 + 0.5)))
+            total += model.cells[key >> (8 - j) & 1, (key >> 9 & 255) * L.MAP_STEPS + step]
+        return total
+
+    fast = model.log10(distinct)
+    assert np.mean(np.abs(fast - [slow(int(k)) for k in distinct]) < 1e-9) > 0.97  # a rounded logit may lie between two steps
+    assert np.allclose(model.score(texts), [fast[np.searchsorted(distinct, keys[a:b])].sum() for a, b in zip(starts, [*starts[1:], len(keys)])])
+    after = np.arange(512, dtype=np.uint64) | (np.uint64(0x6162636162) << np.uint64(9))
+    assert abs((10 ** model.log10(after)).sum() - 1) < 1e-9
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(10)
+    prose = lambda n: " ".join(rng.choice(["the", "and", "house", "River", "run", "stone"]) for _ in range(n))
+    docs = frame(spark, [(k, prose(rng.randint(1, 60))) for k in range(120)])
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 9, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append({r.doc_id: (r.score, r.base_score, r.bits_per_byte) for r in lm_scoring.score(docs.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
