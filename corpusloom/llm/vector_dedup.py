@@ -4,8 +4,13 @@ Equal vectors of a label are one node. Each node keeps a list of its nearest nei
 far. The first lists come from runs of nodes that lie together in the order of a few random
 sign codes; then, in each round, the neighbours of a node, forward and reverse, are compared
 with one another. A list all of whose members are links is saturated, and gets twice the
-room. Rounds end when few lists change; then recall is audited against all nodes for a
-bounded sample, and further rounds with new codes follow if it is too low.
+room. Rounds end when few lists change.
+
+A dense cluster can fill its lists with its own members. So the search is repeated, with new
+codes, for neighbours of other components than a node's own, until it finds no link between
+components; it takes part of each such search that the recall against all nodes is audited
+for a bounded sample. If that is too low after WIDENINGS searches, the nodes of different
+components are compared exactly, in blocks.
 
 The search works on half-precision unit vectors; links are decided in double precision.
 Links join nodes into components. Inside a component every vector's links are counted
@@ -27,12 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_components
-from corpusloom.sources.storage import materialize
+from corpusloom.sources.storage import discard, materialize
 
 THRESHOLD = 0.93
-LIST, LARGEST_LIST = 8, 64
+LIST = 8
 CODES, CODE_BITS, RUN = 4, 12, 32
-ROUNDS, FEW = 5, 0.01
+ROUNDS, ROUNDS_ACROSS, FEW = 5, 2, 0.01
 #: The audited nodes, the recall asked for, and how often the search may be widened for it.
 AUDIT, ENOUGH, WIDENINGS = 256, 0.98, 3
 BLOCK = 1024
@@ -44,8 +49,7 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tup
     grp, first_id, size, exact (unit vector, doubles), vec (halves)."""
     v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vec_col].cast("array<double>").alias("e"))
     sound = F.col("label").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    v = v.withColumn("node", F.when(sound, F.xxhash64("label", "e")))
-    rows = v.select("vec_id", "node")
+    good = v.where(sound)
 
     def unit(batches):
         for batch in batches:
@@ -58,22 +62,26 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tup
                 half.append(x.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "grp", "first_id", "size")), pa.array(exact, pa.binary()), pa.array(half, pa.binary())], ["node", "grp", "first_id", "size", "exact", "vec"])
 
-    once = v.where("node is not null").groupBy("node").agg(F.concat_ws(":", F.first(F.size("e").cast("string")), F.first("label")).alias("grp"), F.first("e").alias("e"), F.min("vec_id").alias("first_id"), F.count("*").alias("size"))
-    return rows, materialize(once.mapInArrow(unit, "node long, grp string, first_id long, size long, exact binary, vec binary"), "vectors-nodes")
+    # a node is a value, not its hash: equal vectors of a label, numbered
+    once = good.groupBy("label", "e").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("size"))
+    once = materialize(once.withColumn("node", F.monotonically_increasing_id()), "vectors-once")
+    rows = v.withColumn("k", F.when(sound, F.struct("label", "e"))).join(once.select(F.struct("label", "e").alias("k"), "node"), "k", "left").select("vec_id", "node")
+    grouped = once.select("node", F.concat_ws(":", F.size("e").cast("string"), "label").alias("grp"), "e", "first_id", "size")
+    return materialize(rows, "vectors-rows"), materialize(grouped.mapInArrow(unit, "node long, grp string, first_id long, size long, exact binary, vec binary"), "vectors-nodes")
 
 
-def _best(ids: list[int], vecs: list[bytes], floors: list[float], out: list[list]) -> None:
-    """Append, for each member, its best others above its floor."""
+def _best(ids: list[int], vecs: list[bytes], floors: list[float], roots: list[int], out: list[list]) -> None:
+    """Append, for each member, its best others of other roots above its floor."""
     x = np.frombuffer(b"".join(vecs), np.float16).reshape(len(ids), -1).astype(np.float32)
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
+    s, r = x @ x.T, np.array(roots)
+    s[r[:, None] == r[None, :]] = -2
     keep = min(LIST, len(ids) - 1)
     if keep < 1:
         return
     top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
     for i, row in enumerate(top.tolist()):
         for j in row:
-            if s[i, j] > floors[i] and ids[i] != ids[j]:
+            if s[i, j] > max(floors[i], -1.5):
                 out[0].append(ids[i])
                 out[1].append(ids[j])
                 out[2].append(float(s[i, j]))
@@ -102,47 +110,45 @@ def _first_lists(nodes: DataFrame, seed: int) -> DataFrame:
                     for i, bits in zip(own, (x @ plane > 0).tolist()):
                         keys[r][i] = "".join("01"[b] for b in bits)
             for r in range(CODES):
-                yield pa.RecordBatch.from_arrays([pa.array([r] * len(vecs), pa.int32()), pa.array(keys[r]), *(batch.column(c) for c in ("grp", "node", "vec"))], ["r", "code", "grp", "node", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array([r] * len(vecs), pa.int32()), pa.array(keys[r]), *(batch.column(c) for c in ("grp", "node", "root", "vec"))], ["r", "code", "grp", "node", "root", "vec"])
 
     def runs(batches):
         held: list[tuple] = []
         for batch in batches:
             out: list[list] = [[], [], []]
-            for row in zip(*(batch.column(c).to_pylist() for c in ("r", "grp", "node", "vec"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("r", "grp", "node", "vec", "root"))):
                 if held and held[-1][:2] != row[:2]:
-                    _best([h[2] for h in held], [h[3] for h in held], [-1.0] * len(held), out)
+                    _best([h[2] for h in held], [h[3] for h in held], [-1.0] * len(held), [h[4] for h in held], out)
                     held = []
                 held.append(row)
                 if len(held) == RUN:
-                    _best([h[2] for h in held], [h[3] for h in held], [-1.0] * len(held), out)
+                    _best([h[2] for h in held], [h[3] for h in held], [-1.0] * len(held), [h[4] for h in held], out)
                     held = held[RUN // 2 :]
             yield _batch(out)
         out = [[], [], []]
         if held:
-            _best([h[2] for h in held], [h[3] for h in held], [-1.0] * len(held), out)
+            _best([h[2] for h in held], [h[3] for h in held], [-1.0] * len(held), [h[4] for h in held], out)
         yield _batch(out)
 
-    coded = nodes.select("grp", "node", "vec").mapInArrow(code, "r int, code string, grp string, node long, vec binary")
+    coded = nodes.select("grp", "node", "root", "vec").mapInArrow(code, "r int, code string, grp string, node long, root long, vec binary")
     order = ["r", "grp", "code", "node"]
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return coded.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(runs, _EDGES)
 
 
 def _lists(edges: DataFrame, room: DataFrame | None = None) -> DataFrame:
-    """The best members of each list: LIST, or its own room. A list's proposals are bounded by
-    the lists that proposed them."""
-    best = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim")).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("sim", "dst")), asc=False).alias("l"))
-    if room is not None:
-        best = best.join(room, "src", "left")
-    size = F.lit(LIST) if room is None else F.coalesce("room", F.lit(LIST))
-    cut = best.select("src", F.slice("l", F.lit(1), size).alias("l"), size.alias("room"))
-    return cut.select("src", "room", F.size("l").alias("held"), F.posexplode("l").alias("at", "x")).select("src", F.col("x.dst").alias("dst"), F.col("x.sim").alias("sim"), "room", "held", "at")
+    """The best members of each list: LIST, or its own room. Members are ranked as rows, so that a
+    node that very many propose to needs no more memory than others."""
+    best = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
+    best = best.withColumn("room", F.lit(LIST)) if room is None else best.join(room, "src", "left").withColumn("room", F.coalesce("room", F.lit(LIST)))
+    ranked = best.withColumn("at", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst")) - 1).where("at < room")
+    return ranked.withColumn("held", F.count("*").over(Window.partitionBy("src"))).select("src", "dst", "sim", "room", "held", "at")
 
 
 def _round(nodes: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
     """Proposals from comparing the neighbours of each node with one another."""
     floors = lists.groupBy("src").agg(F.min(F.when(F.col("held") >= F.col("room"), F.col("sim")).otherwise(-1.0)).alias("floor"))
-    state = nodes.select("node", "vec").join(floors.withColumnRenamed("src", "node"), "node", "left").select("node", F.struct("node", F.coalesce("floor", F.lit(-1.0)).alias("floor"), "vec").alias("m"))
+    state = nodes.select("node", "root", "vec").join(floors.withColumnRenamed("src", "node"), "node", "left").select("node", F.struct("node", "root", F.coalesce("floor", F.lit(-1.0)).alias("floor"), "vec").alias("m"))
     mixed = Window.partitionBy("dst").orderBy(F.xxhash64("src", F.lit(turn)))
     forward = lists.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.xxhash64("dst", F.lit(turn))))).where(F.col("k") <= LIST)
     reverse = lists.withColumn("k", F.row_number().over(mixed)).where(F.col("k") <= LIST)
@@ -153,21 +159,26 @@ def _round(nodes: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], []]
             for ms in batch.column(0).to_pylist():
-                _best([m["node"] for m in ms], [m["vec"] for m in ms], [m["floor"] for m in ms], out)
+                _best([m["node"] for m in ms], [m["vec"] for m in ms], [m["floor"] for m in ms], [m["root"] for m in ms], out)
             yield _batch(out)
 
     return met.select("ms").mapInArrow(compare, _EDGES)
 
 
-def neighbour_lists(nodes: DataFrame, seed: int = 1, start: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """src, dst, sim, room, held, at after rounds of refinement."""
-    first = _first_lists(nodes, seed)
-    lists = materialize(_lists(first if start is None else first.union(start.select("src", "dst", "sim"))), "vectors-lists")
-    for turn in range(ROUNDS):
-        full = (F.col("held") >= F.col("room")) & (F.col("low") >= threshold) & (F.col("room") < LARGEST_LIST)
-        room = lists.groupBy("src").agg(F.max("room").alias("room"), F.max("held").alias("held"), F.min("sim").alias("low")).select("src", F.when(full, 2 * F.col("room")).otherwise(F.col("room")).alias("room"))
-        new = materialize(_lists(lists.select("src", "dst", "sim").union(_round(nodes, lists, turn + 100 * seed)), room), "vectors-lists")
+def _rooms(lists: DataFrame, threshold: float) -> DataFrame:
+    """src, room: twice as much where a full list holds nothing but links."""
+    full = (F.col("held") >= F.col("room")) & (F.col("low") >= threshold)
+    return lists.groupBy("src").agg(F.max("room").alias("room"), F.max("held").alias("held"), F.min("sim").alias("low")).select("src", F.when(full, 2 * F.col("room")).otherwise(F.col("room")).alias("room"))
+
+
+def neighbour_lists(nodes: DataFrame, seed: int = 1, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+    """src, dst, sim, room, held, at after rounds of refinement; members are of other roots than
+    their node (node, grp, root, vec)."""
+    lists = materialize(_lists(_first_lists(nodes, seed)), "vectors-lists")
+    for turn in range(rounds):
+        new = materialize(_lists(lists.select("src", "dst", "sim").union(_round(nodes, lists, turn + 100 * seed)), _rooms(lists, threshold)), "vectors-lists")
         changed = new.select("src", "dst").join(lists.select("src", "dst"), ["src", "dst"], "left_anti").count()
+        discard(lists)
         lists = new
         if changed <= FEW * max(1, new.count()):
             break
@@ -270,15 +281,50 @@ def _counts(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
     return small.union(own.union(across).groupBy("node").agg(F.sum("links").alias("links")))
 
 
+def _across(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links that join all components that have a link between them; every pair of nodes
+    of a group that lie in different components is compared, in blocks."""
+    rooted = nodes.join(comp, "node", "left").select("grp", F.coalesce("root", "node").alias("root"), "node", "exact")
+    n = materialize(rooted.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "vectors-groups")
+    parts = rooted.join(n, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).groupBy("grp", "block").agg(F.collect_list(F.struct("node", "root", "exact")).alias("ms"))
+    parts = materialize(parts, "vectors-parts")
+    pairs = parts.toDF("grp", "block", "xs").join(parts.toDF("grp", "block2", "ys"), "grp").where("block <= block2")
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], []]
+            for xs, ys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = (np.frombuffer(b"".join(m["exact"] for m in ms)).reshape(len(ms), -1) for ms in (xs, ys))
+                r, q = (np.array([m["root"] for m in ms]) for ms in (xs, ys))
+                i, j = np.nonzero((x @ y.T >= threshold) & (r[:, None] != q[None, :]))
+                seen: set[tuple] = set()
+                for a, b in zip(i.tolist(), j.tolist()):  # one link for two components is enough
+                    key = (min(r[a], q[b]), max(r[a], q[b]))
+                    if key not in seen:
+                        seen.add(key)
+                        out[0].append(xs[a]["node"])
+                        out[1].append(ys[b]["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+
+    return pairs.select("xs", "ys").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     rows, nodes = _nodes(vectors, id_col, vec_col, label_col)
-    lists = neighbour_lists(nodes, threshold=threshold)
-    for widening in range(WIDENINGS + 1):
-        comp = materialize(connected_components(_verified(nodes, lists, threshold)), "vectors-components")
-        if widening == WIDENINGS or audit(nodes, comp, threshold) >= ENOUGH:
+    search, links = nodes.withColumn("root", F.col("node")), None
+    for turn in range(WIDENINGS + 2):
+        lists = neighbour_lists(search, turn + 1, threshold, ROUNDS_ACROSS if turn else ROUNDS)
+        new = materialize(_verified(nodes, lists, threshold), "vectors-links")
+        discard(lists)
+        links = new if links is None else links.union(new)
+        comp = materialize(connected_components(links), "vectors-components")
+        if turn and not new.limit(1).count() and audit(nodes, comp, threshold) >= ENOUGH:
             break
-        lists = neighbour_lists(nodes, seed=widening + 2, start=lists, threshold=threshold)
+        search = materialize(nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")), "vectors-search")
+    else:
+        if audit(nodes, comp, threshold) < ENOUGH:
+            comp = materialize(connected_components(links.union(_across(nodes, comp, threshold))), "vectors-components")
     counts = materialize(_counts(nodes, comp, threshold), "vectors-counts")
     rooted = materialize(nodes.select("node", "first_id", "size").join(comp, "node", "left").join(counts, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.col("size") - 1).alias("links")), "vectors-rooted")
     firsts = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "vectors-firsts")
