@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import chat_format, components, shingle_dedup, vector_dedup
+from corpusloom.llm import chat_format, components, simhash, vector_dedup
 
 
 def brute_roots(nodes, edges):
@@ -58,6 +59,33 @@ def test_vectors(spark, monkeypatch, block):
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def dense_clusters(rng):
+    """Two clusters of near vectors, each over any list's length, with few links between them, and
+    single vectors; 16 dimensions."""
+    base, other = np.eye(16)[0], np.eye(16)[1]
+    angle = 0.3
+    second = np.cos(angle) * base + np.sin(angle) * other
+    rows = [base + 0.016 * rng.standard_normal(16) for _ in range(150)] + [second + 0.016 * rng.standard_normal(16) for _ in range(150)]
+    return rows + list(rng.standard_normal((60, 16)))
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_dense_clusters_and_exact_fallback(spark, monkeypatch, exact):
+    """Clusters that fill their lists with their own members; exact: lists find nothing, so that
+    the comparison in blocks has to."""
+    if exact:
+        monkeypatch.setattr(vector_dedup, "_round", lambda nodes, lists, turn: lists.select("src", "dst", "sim").where("false"))
+        monkeypatch.setattr(vector_dedup, "_first_lists", lambda nodes, seed: nodes.selectExpr("node as src", "node as dst", "0D as sim").where("false"))
+        monkeypatch.setattr(vector_dedup, "BLOCK", 50)
+    vectors = dense_clusters(np.random.default_rng(4))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    unit = np.array([v / np.linalg.norm(v) for v in vectors])
+    edges = [(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.93)) if i < j]
+    roots, links = brute_roots(range(len(vectors)), edges), Counter(i for e in edges for i in e)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df).collect()}
+    assert roots[299] == 0 and found == {i: (links[i], roots[i]) for i in roots}
+
+
 def check_tree(nodes):
     """Depth-first, each node once; its ancestors' intervals are those of the path that its digest names."""
     assert nodes[0].stream_start == 0 and all(a.stream_end == b.stream_start for a, b in zip(nodes, nodes[1:]))
@@ -182,15 +210,20 @@ def edited_copies():
     return [" ".join(t) for t in texts], [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
 
 
-@pytest.mark.parametrize("bucket", [32, 3])
-def test_near_copies(spark, bucket):
+@pytest.mark.parametrize("bucket", [64, 3])
+def test_similar_texts(spark, bucket):
+    """Against all pairs: nothing is joined that brute force keeps apart, and at least 0.9 of the
+    pairs are joined, as the fingerprints are samples."""
     texts, sets = edited_copies()
     edges = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(1000, None, 1), (1001, " ", 1)], "doc_id long, text string, node int")
-    found = {r.doc_id: r.component_id for r in shingle_dedup.near_copies(docs, bucket=bucket).collect()}
-    empty = texts.index("")
-    assert found == brute_roots(range(len(texts)), edges) | {1000: empty, 1001: empty}
-    assert shingle_dedup.near_copies(docs.where("false")).count() == 0
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(1000, None, 1, 2), (1001, " ", 1, 2)], "doc_id long, text string, node int, fp int")
+    found = {r.doc_id: r.component_id for r in simhash.similar(docs, bucket=bucket).collect()}
+    empty, roots = texts.index(""), brute_roots(range(len(texts)), edges)
+    assert {found[i] for i in (1000, 1001)} == {empty}
+    assert all(roots[found[i]] == roots[i] for i in roots)
+    assert sum(found[i] == found[j] for i, j in edges) >= 0.9 * len(edges)
+    assert all(found[i] == found[j] for i, j in edges if sets[i] == sets[j])
+    assert simhash.similar(docs.where("false")).count() == 0
 
 
 def test_pipeline_drops_edited_copies(spark, tmp_path):
