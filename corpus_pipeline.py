@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before has left;
 all but the last return the columns of documents. A row is judged by its own content: the
 stages that drop rows give each a key of its own, so that rows without a doc_id, and rows
-that share one, stay or go each by itself.
+that share one, stay or go each by itself. A text that is null, empty or without a letter has
+no language and goes in the first stage; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, language_id, secret_scan, sentencepiece_codec, shingle_dedup
+from corpusloom.llm import decontaminate, language_id, secret_scan, sentencepiece_codec, simhash
 from corpusloom.sources.storage import materialize
 
 
@@ -38,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each component of texts at a 5-word similarity of 0.8 or more: that of the
     smallest id."""
     rows = _keyed(docs, "pipeline-rows")
-    found = shingle_dedup.near_copies(rows.select("key", "row.text"), "key", "text").select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
+    found = simhash.similar(rows.select("key", "row.text"), "key", "text").select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
     found = materialize(found, "pipeline-components")
     several = materialize(found.groupBy("component").count().where(F.col("count") > 1).select("component"), "pipeline-several")
     members = materialize(found.join(several, "component").join(rows.select("key", "digest", "row.doc_id"), "key"), "pipeline-members")
