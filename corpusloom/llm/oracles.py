@@ -71,3 +71,41 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(4 + {marks("role", "\\\\#<:")} + 2 + {marks("text", "\\\\#<")} + 8)::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id"""
+
+
+def merkle_sql(levels: int = 7) -> str:
+    """Both trees level by level: while a tree has several nodes, its runs of 16 become one. The
+    steps of a row's proof are its run's other digests, level by level."""
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(x) for x in ('doc_id', 'source', 'lang', 'n_chars'))} || {field(text)})"
+    # CRC-32 by its definition, bit by bit: the steps of a byte are a fold over 8 places
+    bit = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: {bit}), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"""d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, leaf) AS rid, * FROM (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS tampered FROM documents)),
+k AS (SELECT rid, (row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1)::BIGINT AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, leaf, coalesce(tampered, leaf) AS t FROM d),
+n0 AS MATERIALIZED (SELECT tree, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM k),
+p0 AS (SELECT rid, tree, pos, ''::VARCHAR AS proof, t FROM k)"""
+    ]
+
+    def level(i: int) -> str:
+        """Nodes n{i} to n{i+1}, and rows' proofs and folded digests along."""
+        return f"""n{i + 1} AS MATERIALIZED (SELECT tree, r AS pos, h, count(*) OVER (PARTITION BY tree) AS n FROM
+  (SELECT tree, CASE WHEN n > 1 THEN pos // 16 ELSE pos END AS r, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h FROM n{i} GROUP BY tree, r)),
+g{i} AS MATERIALIZED (SELECT tree, pos // 16 AS r, list(h ORDER BY pos) AS hs FROM n{i} WHERE n > 1 GROUP BY ALL),
+p{i + 1} AS MATERIALIZED (SELECT rid, p{i}.tree, CASE WHEN hs IS NULL THEN pos ELSE pos // 16 END AS pos,
+  CASE WHEN hs IS NULL THEN proof ELSE proof || array_to_string(hs[1:pos % 16], '') || array_to_string(hs[pos % 16 + 2:], '') END AS proof,
+  CASE WHEN hs IS NULL THEN t ELSE sha256(array_to_string(hs[1:pos % 16], '') || t || array_to_string(hs[pos % 16 + 2:], '')) END AS t
+  FROM p{i} LEFT JOIN g{i} ON p{i}.tree = g{i}.tree AND p{i}.pos // 16 = g{i}.r)"""
+
+    steps += [level(i) for i in range(levels)]
+    last = 2 * levels + 1
+    steps.append(f"""s AS (SELECT tree AS src, h AS subroot FROM n{levels}),
+n{levels + 1} AS MATERIALIZED (SELECT 0 AS tree, src AS pos, subroot AS h, count(*) OVER () AS n FROM s),
+p{levels + 1} AS (SELECT rid, 0 AS tree, tree AS pos, proof, t FROM p{levels})""")
+    steps += [level(i) for i in range(levels + 1, last)]
+    return f"""
+WITH {", ".join(steps)}
+SELECT d.doc_id, d.leaf, s.subroot, (SELECT h FROM n{last}) AS root, sha256(proof) AS proof_sha256, p{last}.t AS folded_root, p{last}.t = (SELECT h FROM n{last}) AS verified
+FROM d JOIN k USING (rid) JOIN s ON s.src = k.tree JOIN p{last} USING (rid)"""
