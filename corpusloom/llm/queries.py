@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, decontaminate, language_id, license_scan, lm_scoring, merkle, oracles, secret_scan, sentencepiece_codec, simhash, token_counts, token_output, vector_dedup
+from corpusloom.llm import alignment, chat_format, decontaminate, language_id, license_scan, lm_scoring, merkle, oracles, secret_scan, sentencepiece_codec, simhash, token_counts, token_output, vector_dedup
 from corpusloom.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.layout(rows.unionByName(spark.range(1).select(F.inline(turns)))))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).drop("path")
 
@@ -69,5 +73,5 @@ def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_secrets, op4_sentencepiece, op5_vector_dedup, op6_lm_scores, op7_language_id, op8_token_counts, op9_licenses, op10_chat_format, op12_merkle, op13_token_output)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_secrets, op4_sentencepiece, op5_vector_dedup, op6_lm_scores, op7_language_id, op8_token_counts, op9_licenses, op10_chat_format, op11_alignment, op12_merkle, op13_token_output)}
 ORACLE_SQL: dict[str, str] = {"op3_secrets": oracles.secret_scan_sql(), "op9_licenses": oracles.license_scan_sql(), "op10_chat_format": oracles.chat_format_sql(), "op12_merkle": oracles.merkle_sql()}

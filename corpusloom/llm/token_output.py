@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.ordered import sums_before
 from corpusloom.llm.common import cached, id_text, portions
+from corpusloom.llm.spaced import SpacedEncoder
 from corpusloom.llm.token_counts import _SAFE, _UNSAFE, LONGEST_KEPT, _chunkable
 from corpusloom.sources.binary import MARK, read_files, write_blocks
 from corpusloom.sources.storage import materialize, scratch_path
@@ -40,9 +41,11 @@ from corpusloom.sources.storage import materialize, scratch_path
 #: Bytes of text a shard, about.
 SHARD_BYTES = 64 << 20
 BLOCK_TOKENS = 1 << 20
+#: Bytes of texts encoded at a time.
+PORTION = 1 << 20
 #: One bits between two sampled places.
 SAMPLE = 64
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 400_000
 MAGIC = b"EFTOKEN1"
 HEADER = "<8sIIQQIIq"  # magic, shard, documents, tokens, tokens before, bytes an id, without an id, first id
 
@@ -128,14 +131,15 @@ class ChunkIds(dict):
         self.cut = _chunkable(spec)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.kind = "<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.spaced = SpacedEncoder(self.tok, self.kind)
+        self.heads: dict[str, bytes] = {}  # of texts' first chunks, which follow no space
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [] if not texts else [np.array(x.ids, self.kind).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. A text is cut before each single space between two characters that
         are none, where no token reaches across; a text with an added token's string is not."""
-        found: list[bytes | None] = [None] * len(texts)
         parts: list[list[str]] = [[]] * len(texts)
         whole = []
         for n, t in enumerate(texts):
@@ -143,20 +147,26 @@ class ChunkIds(dict):
                 whole.append(n)
             elif t:
                 parts[n] = [x if k else x[1:] for k, x in enumerate(_SAFE.split(" " + t))] if t[0].isspace() or _UNSAFE.search(t) else t.split(" ")
-        for n, ids in zip(whole, self.library([texts[n] for n in whole]) if whole else []):
-            found[n] = ids
-        if len(self) > MEMO_ENTRIES:
+        heads = [p.pop(0) if p else "" for p in parts]
+        if len(self) > MEMO_ENTRIES or len(self.heads) > MEMO_ENTRIES:
             self.clear()
-        new = list({x for p in parts for x in p[1:] if x not in self})
-        self.update(zip(new, self.library([" " + x for x in new]) if new else []))
-        firsts = [n for n, p in enumerate(parts) if p]
-        heads = dict(zip(firsts, self.library([parts[n][0] for n in firsts]) if firsts else []))
-        for n, p in enumerate(parts):
-            if found[n] is None:
-                found[n] = b"".join([heads[n], *map(self.__getitem__, p[1:])]) if p else b""
+            self.heads.clear()
+        words = set()
+        for p in parts:
+            words.update(p)
+        new = list(words.difference(self))
+        self.update(zip(new, self.spaced.encode(new)))
+        first = list(set(heads).difference(self.heads))
+        self.heads.update(zip(first, self.library(first)))
+        found = [b"".join([self.heads[h], *map(self.__getitem__, p)]) for h, p in zip(heads, parts)]
+        for n, ids in zip(whole, self.library([texts[n] for n in whole])):
+            found[n] = ids
         for x in new:
             if len(x) > LONGEST_KEPT:
                 self.pop(x, None)
+        for x in first:
+            if len(x) > LONGEST_KEPT:
+                self.heads.pop(x, None)
         return found
 
 
@@ -214,7 +224,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, id_c
         width = int(coder.kind[-1])
         end, held, tokens, before = np.array([end_id], coder.kind).tobytes(), [], 0, 0
         for batch in batches:
-            for part in portions(batch, "text"):
+            for part in portions(batch, "text", PORTION):
                 for i, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
                     held.append((i, ids + end))
                     tokens += len(ids) // width + 1
