@@ -5,7 +5,7 @@ leaf is H of the row's five columns, each `-` if null, else its UTF-8 byte count
 value. While a tree has several nodes, each run of 16 in order (the last of fewer, even of one)
 becomes their H.
 
-Leaves get their place in their source by a scan over ranges. Blocks of 16^4 leaves are then
+Leaves get their place in their source by a scan over ranges. Blocks of 16^3 leaves are then
 reduced, each by one task, to one digest; while more than TOP_NODES digests are left, blocks of
 those are reduced too. The driver builds the top tree over the rest, at most TOP_NODES digests,
 and broadcasts what stands above each: the path of a node to the root, a level as the node's
@@ -31,8 +31,8 @@ from corpusloom.functions.ordered import sums_before
 from corpusloom.sources.storage import materialize
 
 FAN = 16
-#: Levels of a block: 16^4 leaves at most, each of a few hundred bytes.
-HEIGHT = 4
+#: Levels of a block: 16^3 leaves at most, each of a few hundred bytes.
+HEIGHT = 3
 #: Digests of the top tree, which the driver builds.
 TOP_NODES = 4096
 TAMPERED = 5
