@@ -1,43 +1,72 @@
-"""Chunks that follow a space, encoded many at a time by a byte-level tokenizer.
+"""Ids of chunks that follow a space, by a byte-level tokenizer of the tokenizers library.
 
-A token that begins with the byte 0x20 is the first of what follows a space. Chunks without a
-space, and without white space at their ends, are therefore joined by spaces and encoded in one
-call, and the ids are cut before each such token: no token reaches across. Others are encoded
-one by one.
+The library's own two steps, without its bookkeeping: the chunk is cut into pieces as its
+pre-tokenizer cuts it, and each piece, in the characters that stand for bytes, is given to its
+model. The cut is stated here for characters below U+0180, whose letters, numbers and white
+space are the same in all Unicode versions; a chunk with others goes to the library whole.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import array
+import re
 
-#: Chunks a call: an encoding keeps some hundred bytes for each token.
-TOGETHER = 2000
+LONGEST_KEPT = 64
+# Letters, numbers and white space below U+0180, and the order of pieces of byte-level pre-tokenizers.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
-class SpacedEncoder:
-    """kind: the type of an id, little endian."""
+def char_of_byte() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: printable Latin-1 stands for
+    itself, the others for 256 and on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+class SpacedIds(dict):
+    """chunk -> the ids of a space and the chunk, as bytes of the kind (an array type code)."""
 
     def __init__(self, tok, kind: str):
-        self.tok, self.kind = tok, kind
-        vocab = tok.get_vocab(with_added_tokens=True)
-        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.begins[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        """The ids of a space and each chunk, as bytes."""
-        plain = [n for n, x in enumerate(chunks) if x and " " not in x and not x[0].isspace() and not x[-1].isspace()]
-        out: list[bytes | None] = [None] * len(chunks)
-        for at in range(0, len(plain), TOGETHER):
-            part = plain[at : at + TOGETHER]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join([chunks[n] for n in part])], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.append(np.flatnonzero(self.begins[ids])[1:], len(ids)) * ids.itemsize
-            if len(ends) != len(part):
-                raise ValueError("a token reaches across a space between two words")
-            data, start = ids.tobytes(), 0
-            for n, end in zip(part, ends.tolist()):
-                out[n] = data[start:end]
-                start = end
-        rest = [n for n, x in enumerate(out) if x is None]
-        for n, found in zip(rest, self.tok.encode_batch_fast([" " + chunks[n] for n in rest], add_special_tokens=False) if rest else []):
-            out[n] = np.array(found.ids, self.kind).tobytes()
-        return out
+        super().__init__()
+        self.tok, self.kind, self.model = tok, kind, tok.model.tokenize
+        self.tails: dict[str, bytes] = {}  # of pieces that follow no space
+        self.chars = char_of_byte()
+
+    def ids(self, text: str) -> bytes:
+        """Of a text, by the library as a whole."""
+        return array.array(self.kind, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _of(self, mapped: str) -> bytes:
+        return array.array(self.kind, [t.id for t in self.model(mapped)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        word = piece[1:]
+        after_space = piece[0] == " " and word.isalpha()
+        found = self.get(word) if after_space else self.tails.get(piece)
+        if found is None:
+            found = self._of(piece.encode().decode("latin-1").translate(self.chars))
+            if len(piece) <= LONGEST_KEPT:
+                if after_space:
+                    self[word] = found
+                else:
+                    self.tails[piece] = found
+        return found
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            found = self._of("Ġ" + chunk)
+        elif chunk and max(chunk) < "ƀ":
+            found = b"".join(map(self._piece, _PIECES.findall(" " + chunk)))
+        else:
+            found = self.ids(" " + chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = found
+        return found
+
+    def bound(self, entries: int) -> None:
+        """Start anew where there are more entries, which changes no result."""
+        if len(self) > entries or len(self.tails) > entries:
+            self.clear()
+            self.tails.clear()

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.ordered import sums_before
 from corpusloom.llm.common import cached, id_text, portions
-from corpusloom.llm.spaced import SpacedEncoder
-from corpusloom.llm.token_counts import _SAFE, _UNSAFE, LONGEST_KEPT, _chunkable
+from corpusloom.llm.spaced import LONGEST_KEPT, SpacedIds
+from corpusloom.llm.token_counts import _SAFE, _UNSAFE, _chunkable
 from corpusloom.sources.binary import MARK, read_files, write_blocks
 from corpusloom.sources.storage import materialize, scratch_path
 
@@ -45,7 +45,7 @@ BLOCK_TOKENS = 1 << 20
 PORTION = 1 << 20
 #: One bits between two sampled places.
 SAMPLE = 64
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 MAGIC = b"EFTOKEN1"
 HEADER = "<8sIIQQIIq"  # magic, shard, documents, tokens, tokens before, bytes an id, without an id, first id
 
@@ -114,64 +114,50 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes() + b"\0" * (-len(data) % 8), "<u8")
 
 
-class ChunkIds(dict):
-    """A chunk after a space -> its ids as bytes, as the tokenizers library gives them."""
+class Coder:
+    """The ids of texts as bytes, as the tokenizers library gives them."""
 
     def __init__(self, data: bytes):
         import json
         import os
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, spec = Tokenizer.from_str(data.decode()), json.loads(data)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+        tok, spec = Tokenizer.from_str(data.decode()), json.loads(data)
+        tok.no_truncation()
+        tok.no_padding()
         self.cut = _chunkable(spec)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.kind = "<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.spaced = SpacedEncoder(self.tok, self.kind)
+        self.width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.table = SpacedIds(tok, "H" if self.width == 2 else "I")
         self.heads: dict[str, bytes] = {}  # of texts' first chunks, which follow no space
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [] if not texts else [np.array(x.ids, self.kind).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. A text is cut before each single space between two characters that
-        are none, where no token reaches across; a text with an added token's string is not."""
-        parts: list[list[str]] = [[]] * len(texts)
-        whole = []
-        for n, t in enumerate(texts):
-            if not self.cut or any(x in t for x in self.added):
-                whole.append(n)
-            elif t:
-                parts[n] = [x if k else x[1:] for k, x in enumerate(_SAFE.split(" " + t))] if t[0].isspace() or _UNSAFE.search(t) else t.split(" ")
-        heads = [p.pop(0) if p else "" for p in parts]
-        if len(self) > MEMO_ENTRIES or len(self.heads) > MEMO_ENTRIES:
-            self.clear()
-            self.heads.clear()
-        words = set()
-        for p in parts:
-            words.update(p)
-        new = list(words.difference(self))
-        self.update(zip(new, self.spaced.encode(new)))
-        first = list(set(heads).difference(self.heads))
-        self.heads.update(zip(first, self.library(first)))
-        found = [b"".join([self.heads[h], *map(self.__getitem__, p)]) for h, p in zip(heads, parts)]
-        for n, ids in zip(whole, self.library([texts[n] for n in whole])):
-            found[n] = ids
-        for x in new:
-            if len(x) > LONGEST_KEPT:
-                self.pop(x, None)
-        for x in first:
-            if len(x) > LONGEST_KEPT:
-                self.heads.pop(x, None)
-        return found
-
-
-def chunk_ids(data: bytes) -> ChunkIds:
-    return cached("ids", hashlib.sha256(data).digest(), lambda: ChunkIds(data))
+    def encode(self, text: str) -> bytes:
+        """A text is cut before each single space between two characters that are none, where no
+        token reaches across; a text with an added token's string is not."""
+        if not text:
+            return b""
+        if not self.cut or any(x in text for x in self.added):
+            return self.table.ids(text)
+        if text[0].isspace() or _UNSAFE.search(text):
+            head, *rest = _SAFE.split(" " + text)
+            head = head[1:]
+        else:
+            head, *rest = text.split(" ")
+        first = self.heads.get(head)
+        if first is None:
+            first = self.table.ids(head)
+            if len(head) <= LONGEST_KEPT:
+                if len(self.heads) > MEMO_ENTRIES // 4:
+                    self.heads.clear()
+                self.heads[head] = first
+        self.table.bound(MEMO_ENTRIES)
+        return first + b"".join(map(self.table.__getitem__, rest))
+
+
+def coder(data: bytes) -> Coder:
+    return cached("ids", hashlib.sha256(data).digest(), lambda: Coder(data))
 
 
 def pack(shard: int, before: int, docs: list[tuple[int | None, bytes]], width: int) -> bytes:
@@ -220,12 +206,12 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, id_c
     def run(batches):
         from pyspark import TaskContext
 
-        coder, shard = chunk_ids(shipped.value), TaskContext.get().partitionId()
-        width = int(coder.kind[-1])
-        end, held, tokens, before = np.array([end_id], coder.kind).tobytes(), [], 0, 0
+        code, shard = coder(shipped.value), TaskContext.get().partitionId()
+        width = code.width
+        end, held, tokens, before = end_id.to_bytes(width, "little"), [], 0, 0
         for batch in batches:
             for part in portions(batch, "text", PORTION):
-                for i, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
+                for i, ids in zip(part.column(0).to_pylist(), map(code.encode, part.column(1).to_pylist())):
                     held.append((i, ids + end))
                     tokens += len(ids) // width + 1
                     if tokens >= BLOCK_TOKENS:
