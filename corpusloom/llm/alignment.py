@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cached, id_text, portions
-from corpusloom.llm.spaced import SpacedEncoder
+from corpusloom.llm.spaced import LONGEST_KEPT, SpacedIds, char_of_byte
 from corpusloom.sources.storage import materialize
 
 #: Bytes of text whose documents share one list of pairs.
@@ -42,7 +42,6 @@ BLOCK_BYTES = 16 << 20
 PORTION = 1 << 20
 #: Chunks of a worker's table; a full one starts anew, which changes no result.
 TABLE_ENTRIES = 400_000
-LONGEST_KEPT = 64
 
 MARK = "▁"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -54,14 +53,6 @@ _STORED = "kind int, block long, doc_id long, n_a long, n_b long, n_groups long,
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def byte_of_char() -> dict[str, int]:
-    """The byte of each character that byte-level tokenizers write: printable Latin-1 stands for
-    itself, the others for 256 and on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
-
-
 def links_of(a_ends: list[int], b_ends: list[int]):
     """For each A token the first and the last B token it overlaps, by ends that ascend; a token
     covers at least one byte."""
@@ -88,14 +79,14 @@ class Aligner(dict):
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
-        self.spaced = SpacedEncoder(self.a, "<u4")
-        table = byte_of_char()
+        self.spaced = SpacedIds(self.a, "I")
+        table = {c: b for b, c in char_of_byte().items()}
         self.a_bytes: dict[int, bytes] = {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
         self.odd: set[str] = set()  # chunks whose tokens do not give back their bytes
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [np.frombuffer(x, "<u4").tolist() for x in self.spaced.encode(chunks)], self.b.encode(chunks, num_threads=1)
+        return [np.frombuffer(self.spaced[x], "<u4").tolist() for x in chunks], self.b.encode(chunks, num_threads=1)
 
     def align(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
         """The groups and links of a space and the text; None if a side does not give back its bytes."""
@@ -125,7 +116,7 @@ class Aligner(dict):
         if len(self) > TABLE_ENTRIES or len(self.odd) > TABLE_ENTRIES:
             self.clear()
             self.odd.clear()
-            chunks = set(chunks)
+        self.spaced.bound(TABLE_ENTRIES)
         new = [x for x in chunks if x not in self]
         for x, a, b in zip(new, *self.encode(new)) if new else []:
             found = self.align(x, a, b)
