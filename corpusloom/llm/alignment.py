@@ -24,9 +24,11 @@ columns are not read.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import cached, id_text, portions
 from corpusloom.llm.spaced import LONGEST_KEPT, SpacedIds, char_of_byte
+from corpusloom.llm.token_counts import _chunkable
 from corpusloom.sources.storage import materialize
 
 #: Bytes of text whose documents share one list of pairs.
 BLOCK_BYTES = 16 << 20
 PORTION = 1 << 20
 #: Chunks of a worker's table; a full one starts anew, which changes no result.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 600_000
 
 MARK = "▁"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -53,20 +56,12 @@ _STORED = "kind int, block long, doc_id long, n_a long, n_b long, n_groups long,
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def links_of(a_ends: list[int], b_ends: list[int]):
-    """For each A token the first and the last B token it overlaps, by ends that ascend; a token
-    covers at least one byte."""
-    start = 0
-    for end in a_ends:
-        yield bisect_right(b_ends, start), bisect_left(b_ends, end)
-        start = end
-
-
 class Aligner(dict):
     """chunk, without the space before it -> its groups as text, and its links as the bytes of
     int64 pairs."""
 
     def __init__(self, a_file: bytes, b_file: bytes):
+        import json
         import os
 
         super().__init__()
@@ -78,51 +73,57 @@ class Aligner(dict):
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
+        if not _chunkable(json.loads(a_file)):
+            raise ValueError("the first tokenizer is not byte-level")
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         self.spaced = SpacedIds(self.a, "I")
         table = {c: b for b, c in char_of_byte().items()}
-        self.a_bytes: dict[int, bytes] = {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        vocab = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.a_bytes[i] = bytes(table[c] for c in t) if all(c in table for c in t) else t.encode()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.odd: set[str] = set()  # chunks whose tokens do not give back their bytes
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [np.frombuffer(self.spaced[x], "<u4").tolist() for x in chunks], self.b.encode(chunks, num_threads=1)
+        return [memoryview(x).cast("I").tolist() for x in map(self.spaced.of, chunks)], self.b.encode(chunks, num_threads=1)
 
     def align(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
-        """The groups and links of a space and the text; None if a side does not give back its bytes."""
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        """The groups and links of a space and the text; None if a side does not give back its bytes.
+        Each A token asks the index of B's ends for the first interval that ends after its start,
+        and the first that ends at its end or after: those and what is between overlap it."""
         whole = b" " + text.encode()
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        if len(a) == 1 == len(b):
-            return b"%d|%d" % (a[0], b[0]), (_FIRST | a[0] << 31 | b[0]).to_bytes(8, "little")
-        a_ends, b_ends, at = [], [], 0
-        for x in a_parts:
-            a_ends.append(at := at + len(x))
-        at = 0
-        for x in b_parts:
-            b_ends.append(at := at + len(x))
-        groups, pairs, first_a, first_b = [], [], 0, 0
-        for i, (lo, hi) in enumerate(links_of(a_ends, b_ends)):
+        b_ends, names = list(accumulate(map(self.b_sizes.__getitem__, b))), self.names
+        groups, pairs, start, first_a, first_b = [], [], 0, 0, 0
+        for i, end in enumerate(accumulate(map(self.a_sizes.__getitem__, a))):
+            lo, hi = bisect_right(b_ends, start), bisect_left(b_ends, end)
             base = a[i] << 31
-            pairs += [base | b[j] for j in range(lo, hi + 1)]
-            pairs[lo - hi - 1] |= _FIRST
-            if b_ends[hi] == a_ends[i]:  # no interval spans this place
-                groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : hi + 1])))
+            pairs.append(_FIRST | base | b[lo])
+            if hi > lo:
+                pairs.extend([base | x for x in b[lo + 1 : hi + 1]])
+            if b_ends[hi] == end:  # no interval spans this place
+                groups.append(",".join([names[x] for x in a[first_a : i + 1]]) + "|" + ",".join([names[x] for x in b[first_b : hi + 1]]))
                 first_a, first_b = i + 1, hi + 1
-        return ";".join(groups).encode(), np.array(pairs, "<i8").tobytes()
+            start = end
+        return ";".join(groups).encode(), array.array("q", pairs).tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Align the chunks that the table lacks, and give them."""
         if len(self) > TABLE_ENTRIES or len(self.odd) > TABLE_ENTRIES:
             self.clear()
             self.odd.clear()
         self.spaced.bound(TABLE_ENTRIES)
-        new = [x for x in chunks if x not in self]
+        new = list(chunks.difference(self))
         for x, a, b in zip(new, *self.encode(new)) if new else []:
             found = self.align(x, a, b)
             if found is None:
                 self.odd.add(x)
             self[x] = found or (b"", b"")
+        return new
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """The groups and links of each text, empty for one without tokens."""
@@ -135,17 +136,18 @@ class Aligner(dict):
                 parts.append([first[1:], *rest])
             else:
                 parts.append(t.split(" "))
-        self.learn({x for p in parts for x in p})
+        new = self.learn(set().union(*parts))
         out = []
         for t, p in zip(texts, parts):
-            if not self.odd.isdisjoint(p):
+            if self.odd and not self.odd.isdisjoint(p):
                 out.append(self.align(t, *(x[0] for x in self.encode([t]))) or (b"", b""))
                 continue
-            found = [self[x] for x in p]
+            found = list(map(self.__getitem__, p))
             out.append((b";".join([x[0] for x in found]), b"".join([x[1] for x in found])))
-        for x in [x for p in parts for x in p if len(x) > LONGEST_KEPT]:
-            self.pop(x, None)
-            self.odd.discard(x)
+        for x in new:
+            if len(x) > LONGEST_KEPT:
+                self.pop(x, None)
+                self.odd.discard(x)
         return out
 
 

@@ -38,6 +38,10 @@ class SpacedIds(dict):
         """Of a text, by the library as a whole."""
         return array.array(self.kind, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def head(self, chunk: str) -> bytes:
+        """Of a chunk that follows nothing."""
+        return self._of(chunk) if chunk.isascii() and chunk.isalpha() else self.ids(chunk)
+
     def _of(self, mapped: str) -> bytes:
         return array.array(self.kind, [t.id for t in self.model(mapped)]).tobytes()
 
@@ -54,13 +58,19 @@ class SpacedIds(dict):
                     self.tails[piece] = found
         return found
 
-    def __missing__(self, chunk: str) -> bytes:
+    def of(self, chunk: str) -> bytes:
+        """Without keeping what is not a word."""
+        found = self.get(chunk)
+        if found is not None:
+            return found
         if chunk.isascii() and chunk.isalpha():
-            found = self._of("Ġ" + chunk)
-        elif chunk and max(chunk) < "ƀ":
-            found = b"".join(map(self._piece, _PIECES.findall(" " + chunk)))
-        else:
-            found = self.ids(" " + chunk)
+            return self._piece(" " + chunk)
+        if chunk and max(chunk) < "ƀ":
+            return b"".join(map(self._piece, _PIECES.findall(" " + chunk)))
+        return self.ids(" " + chunk)
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self._of("Ġ" + chunk) if chunk.isascii() and chunk.isalpha() else self.of(chunk)
         if len(chunk) <= LONGEST_KEPT:
             self[chunk] = found
         return found

@@ -45,7 +45,7 @@ BLOCK_TOKENS = 1 << 20
 PORTION = 1 << 20
 #: One bits between two sampled places.
 SAMPLE = 64
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_000_000
 MAGIC = b"EFTOKEN1"
 HEADER = "<8sIIQQIIq"  # magic, shard, documents, tokens, tokens before, bytes an id, without an id, first id
 
@@ -147,7 +147,7 @@ class Coder:
             head, *rest = text.split(" ")
         first = self.heads.get(head)
         if first is None:
-            first = self.table.ids(head)
+            first = self.table.head(head)
             if len(head) <= LONGEST_KEPT:
                 if len(self.heads) > MEMO_ENTRIES // 4:
                     self.heads.clear()
