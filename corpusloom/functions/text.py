@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.grams import repeats
+
 # White space and line ends as the corpus rules count them, and the markers.
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]"
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
@@ -26,8 +28,9 @@ BOILERPLATE = (
     "|無断(転載|複写|複製)を?禁(じ|ず)"
     "|All Rights Reserved"
 )
-# Documents that are rejected.
-REJECTED = r"(18歳未満|アダルトサイト|出会い系)|(404|403)\s*(Not Found|Forbidden)|お探しのページは(見つかりません|移動)"
+# Documents that are rejected. White space is all that Unicode counts as such, written out so that
+# Java and RE2 agree.
+REJECTED = r"(18歳未満|アダルトサイト|出会い系)|(404|403)[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*(Not Found|Forbidden)|お探しのページは(見つかりません|移動)"
 
 
 def without_markers(text: Column, markers: str = CORPUS_MARKERS) -> Column:
@@ -67,8 +70,9 @@ def prefix_key(text: Column, size: int = 200) -> Column:
 
 
 def windows(text: Column, size: int) -> Column:
-    """All windows of the size, in order, in one pass over the text."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    """All windows of the size, in order, in one pass over the text. A match takes one character, so
+    that none begins inside a surrogate pair."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
 
 
 def strided_windows(text: Column, size: int, stride: Column | int) -> Column:
@@ -88,42 +92,19 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _repeats(grams: Column, times: int) -> Column:
-    """True if a value occurs the given number of times: then it stands at both ends of a run
-    of the sorted values. Values that are nearly all distinct are not sorted."""
-
-    def ends(s):
-        n = F.size(s) - (times - 1)
-        pairs = F.arrays_zip(F.slice(s, F.lit(1), n).alias("a"), F.slice(s, F.lit(times), n).alias("b"))
-        return F.exists(pairs, lambda x: x["a"] == x["b"])
-
-    def check(g):
-        return F.when(F.size(F.array_distinct(g)) <= F.size(g) - (times - 1), let(F.sort_array(g), ends)).otherwise(F.lit(False))
-
-    return let(grams, check)
-
-
 def is_repetitive(text: Column, gram: int = 20, times: int = 4) -> Column:
     """Some gram occurs `times` times among those at every step-th place, the last place left
     out; step is length // 2000, at least 1. Texts under gram * times characters are not."""
-    size = F.length(text)
-
-    def chosen(s):
-        at_last_place = (s["n"] - gram) % s["step"] == 0
-        return F.slice(s["w"], F.lit(1), F.size(s["w"]) - F.when(at_last_place, 1).otherwise(0))
-
-    step = F.greatest(F.lit(1), F.floor(size / 2000)).cast("int")
-    grams = let(F.struct(strided_windows(text, gram, step).alias("w"), step.alias("step"), size.alias("n")), chosen)
-    return F.when(size >= gram * times, _repeats(grams, times)).otherwise(F.lit(False))
+    return repeats(text, gram, times, gram * times, sampled=True)
 
 
 def looks_broken(question: Column, answer: Column, gram: int = 6, times: int = 4, least: int = 12) -> Column:
     """A pair whose sides are equal, or whose answer repeats a gram."""
-    return (question == answer) | F.when(F.length(answer) >= least, _repeats(windows(answer, gram), times)).otherwise(F.lit(False))
+    return (question == answer) | repeats(answer, gram, times, least)
 
 
 def has_repetition(text: Column, gram: int = 3, times: int = 3) -> Column:
-    return F.when(F.length(text) >= gram * times, _repeats(windows(text, gram), times)).otherwise(F.lit(False))
+    return repeats(text, gram, times, gram * times)
 
 
 def is_broken_reply(text: Column, truncated: Column) -> Column:

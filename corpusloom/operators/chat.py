@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import grams
 from corpusloom.functions import text as T
+from corpusloom.functions.chars import char_counts, holds_any
 from corpusloom.operators.corpus import first_of
+from corpusloom.operators.leak import MOST_SEEDS, SEED, shippable
 
 
 def adjacent_pairs(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -41,53 +45,77 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
 
 def rare_characters(pairs: DataFrame, least: int) -> DataFrame:
     """char, n of the characters that occur fewer than `least` times in all pairs."""
-    chars = pairs.select(F.explode(F.split(F.concat("q", "a"), "")).alias("char")).where("char <> ''")
-    return chars.groupBy("char").agg(F.count("*").alias("n")).where(F.col("n") < least)
+    return char_counts(pairs, "q", "a").where(F.col("n") < least)
 
 
 def without_rare(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs none of whose characters is rare; `least` of 1 or less keeps all. Needs a unique seq."""
+    """Pairs none of whose characters is rare; `least` of 1 or less keeps all."""
     if least <= 1:
         return pairs
-    held = pairs.select("seq", F.explode(F.array_distinct(F.split(F.concat("q", "a"), ""))).alias("char"))
-    bad = held.join(rare_characters(pairs, least).select("char"), "char", "left_semi").select("seq").distinct()
-    return pairs.join(bad, "seq", "left_anti")
+    rare = holds_any(rare_characters(pairs, least))
+    return pairs.where(~(rare(F.col("q")) | rare(F.col("a"))))
 
 
 def without_exact(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.join(held.select("q", "a").distinct(), ["q", "a"], "left_anti")
 
 
-def seeds_shared(texts: DataFrame, holdout: DataFrame, size: int, seed: int = 20) -> DataFrame:
-    """seq of the texts (seq, text) that share a window of `size` characters with a holdout text.
-
-    Any shared window holds one of the text's seeds that begin at multiples of size - seed + 1,
-    so those seeds are joined to all of the holdout's, and only their meetings are verified."""
-    stride = size - seed + 1
-    mine = texts.where(F.length("text") >= size).select("seq", "text", F.posexplode(T.strided_windows(F.col("text"), seed, stride)).alias("n", "gram"))
-    theirs = holdout.where(F.length("text") >= size).select(F.col("text").alias("h"), F.posexplode(T.windows(F.col("text"), seed)).alias("at", "gram"))
-    met = mine.select("seq", (F.col("n") * stride).alias("p"), "gram").join(theirs, "gram").distinct()
-    met = met.join(texts.select("seq", "text"), "seq")
-    shift = F.sequence(F.lit(0), F.lit(stride - 1))
-
-    def same(t):
-        a = F.substring("text", (F.col("p") - t + 1).cast("int"), F.lit(size))
-        b = F.substring("h", (F.col("at") - t + 1).cast("int"), F.lit(size))
-        return (F.col("p") >= t) & (F.col("at") >= t) & (F.length(a) == size) & (a == b)
-
-    return met.where(F.exists(shift, same)).select("seq").distinct()
-
-
-def without_fragments(pairs: DataFrame, held: DataFrame, size: int = 40) -> DataFrame:
+def fragment_test(holdout: DataFrame, size: int, most_seeds: int = MOST_SEEDS):
+    """A function from a text column to whether it shares a window of `size` characters with a
+    holdout text, tested where the text is read; None if the holdout's seeds are more than
+    most_seeds. Any shared window holds one of the text's seeds that begin at multiples of
+    size - SEED + 1; each meeting is grown to both sides."""
+    stride = size - SEED + 1
+    held = shippable(holdout.where(F.length("text") >= size).select("text").distinct(), "text", 1 << 30, most_seeds)
+    if held is None:
+        return None
+    shipped = holdout.sparkSession.sparkContext.broadcast(held)  # of the size that shippable() allows
+
+    @F.arrow_udf("boolean")
+    def test(texts: pa.Array) -> pa.Array:
+        seeds = grams.Seeds(shipped.value, SEED, None)
+        out = [False] * len(texts)
+        for at, part in grams.portions(texts.to_pylist()):
+            for k, place, p, other in seeds.meetings(part, stride):
+                out[at + k] = out[at + k] or grams.common(part[k], seeds.patterns[p], place, other, size)
+        return pa.array(out)
+
+    return test
+
+
+def joined_fragments(texts: DataFrame, holdout: DataFrame, size: int, *keys: str) -> DataFrame:
+    """The keys of the texts (keys, text) that share a window with a holdout text of any size, by
+    two semi-joins: of a text's strided seeds with the holdout's distinct seeds, and of the
+    windows around those that meet with its distinct windows. A seed that many texts hold
+    multiplies nothing, and its rows may be split."""
+    stride = size - SEED + 1
+    held = holdout.where(F.length("text") >= size)
+    own = lambda n: held.select(F.explode(T.windows(F.col("text"), n)).alias("w")).distinct()
+    places = F.sequence(F.lit(0), F.length("text") - SEED, F.lit(stride))
+    at = texts.where(F.length("text") >= size).select(*keys, F.explode(F.transform(places, lambda p: F.struct(F.substring("text", p + 1, F.lit(SEED)).alias("w"), F.substring("text", F.greatest(p - (stride - 1), F.lit(0)) + 1, F.least(p, F.lit(stride - 1)) + size).alias("around")))).alias("s")).select(*keys, "s.*")
+    near = at.join(own(SEED), "w", "left_semi").select(*keys, F.explode(T.windows(F.col("around"), size)).alias("w"))
+    return near.join(own(size), "w", "left_semi").select(*keys).distinct()
+
+
+def seeds_shared(texts: DataFrame, holdout: DataFrame, size: int, most_seeds: int = MOST_SEEDS) -> DataFrame:
+    """seq of the texts (seq, text) that share a window of `size` characters with a holdout text."""
+    test = fragment_test(holdout, size, most_seeds)
+    if test is None:
+        return joined_fragments(texts, holdout, size, "seq")
+    return texts.where(test(F.col("text"))).select("seq").distinct()
+
+
+def without_fragments(pairs: DataFrame, held: DataFrame, size: int = 40, most_seeds: int = MOST_SEEDS) -> DataFrame:
     """Pairs (with seq) neither side of which shares a window with either side of a held pair."""
     sides = lambda d, *more: d.select(*more, F.explode(F.array("q", "a")).alias("text"))
-    bad = seeds_shared(sides(pairs, "seq").withColumn("pair", F.col("seq")).withColumn("seq", F.xxhash64("seq", "text")), sides(held), size)
-    marked = sides(pairs, "seq").select("seq", F.xxhash64("seq", "text").alias("s")).join(bad.withColumnRenamed("seq", "s"), "s", "left_semi")
-    return pairs.join(marked.select("seq").distinct(), "seq", "left_anti")
+    test = fragment_test(sides(held), size, most_seeds)
+    if test is None:
+        return pairs.join(joined_fragments(sides(pairs, "seq"), sides(held), size, "seq"), "seq", "left_anti")
+    return pairs.where(~(test(F.col("q")) | test(F.col("a"))))
 
 
 def summary(pairs: DataFrame) -> DataFrame:
     """One row: pairs, characters, distinct characters, mean lengths (1 digit, null if none)."""
-    chars = pairs.select(F.explode(F.split(F.concat("q", "a"), "")).alias("c")).where("c <> ''").agg(F.count_distinct("c").alias("distinct_chars"))
+    chars = char_counts(pairs, "q", "a").agg(F.count("*").alias("distinct_chars"))
     sums = pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(F.length("q") + F.length("a")), F.lit(0)).alias("chars"), F.bround(F.avg(F.length("q")), 1).alias("avg_q"), F.bround(F.avg(F.length("a")), 1).alias("avg_a"))
     return sums.crossJoin(chars)

@@ -52,14 +52,53 @@ def reject_duplicates(screened: DataFrame, prefix: int = 200) -> DataFrame:
     return joined.withColumn("reason", F.when(F.col("reason").isNull() & F.col("_first").isNull(), "duplicate").otherwise(F.col("reason"))).drop("_first")
 
 
+#: The first range that a budget reads, as a part of all of seq, and how much a range may grow.
+FIRST_PART, GROWTH = 256, 8
+
+
+def budget_cut(rows: DataFrame, target: int, size: str = "n_chars", back: bool = False) -> int | None:
+    """The seq of the row at which the sizes reach the target, from the first row on (back: from
+    the last); None if they do not.
+
+    Ranges of seq are read one after the other, each as wide as the sizes so far make one
+    expect, until the target lies in one; only its rows are put in order. The ranges are filters
+    on seq, which reach the scan, so what is read grows with the budget where files or row groups
+    hold ranges of seq."""
+    if rows.schema["seq"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise TypeError("a budget needs an integer seq")
+    ends = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    if ends.lo is None:
+        return None
+    total, done, width = 0, 0, max(1, (ends.hi - ends.lo + 1) // FIRST_PART)
+    while done <= ends.hi - ends.lo:
+        width = min(width, ends.hi - ends.lo + 1 - done)
+        near, far = (ends.hi - done, ends.hi - done - width + 1) if back else (ends.lo + done, ends.lo + done + width - 1)
+        part = rows.where(F.col("seq").between(min(near, far), max(near, far)))
+        got = part.agg(F.sum(size)).first()[0] or 0
+        if total + got >= target:
+            order = -F.col("seq") if back else F.col("seq")
+            placed = sums_before(part.select("seq", order.alias("_at"), size), ["_at"], size, "_before").where(F.col("_before") < target - total)
+            return placed.agg(F.min("seq") if back else F.max("seq")).first()[0]
+        total, done = total + got, done + width
+        expected = (target - total) * done // total + 1 if total > 0 else GROWTH * width
+        width = min(max(expected * 9 // 8, width // GROWTH, 1), GROWTH * width)
+    return None
+
+
 def within_budget(rows: DataFrame, target: int, size: str = "n_chars") -> DataFrame:
     """Rows in order up to and with the one that reaches the target."""
-    return sums_before(rows, ["seq"], size, "before").where(F.col("before") < target)
+    if target <= 0:
+        return rows.where(F.lit(False))
+    cut = budget_cut(rows, target, size)
+    return rows if cut is None else rows.where(F.col("seq") <= cut)
 
 
 def tail(rows: DataFrame, least: int, size: str = "n_chars") -> DataFrame:
     """The last rows whose sizes reach least, and no more than it takes."""
-    return sums_before(rows.withColumn("_back", -F.col("seq")), ["_back"], size, "after").where(F.col("after") < least).drop("_back")
+    if least <= 0:
+        return rows.where(F.lit(False))
+    cut = budget_cut(rows, least, size, back=True)
+    return rows if cut is None else rows.where(F.col("seq") >= cut)
 
 
 def numbered(rows: DataFrame, name: str = "n", order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -88,13 +127,14 @@ def line_stream(lines: DataFrame, every_n: int = 1, most_chars: int = 0) -> Data
     taken = every(lines, every_n).drop("n") if every_n > 1 else lines
     if not most_chars:
         return taken
-    return within_budget(taken.withColumn("n_chars", F.length("text").cast("long")), most_chars).drop("n_chars", "before")
+    return within_budget(taken.withColumn("n_chars", F.length("text").cast("long")), most_chars).drop("n_chars")
 
 
 def text_head(lines: DataFrame, size: int) -> DataFrame:
     """seq, text: the first characters of the lines joined by line ends; the last row is cut, and
     each row but the last of all has its line end counted."""
-    placed = sums_before(lines.withColumn("_size", F.length("text").cast("long") + 1), ["seq"], "_size", "_before")
+    head = within_budget(lines.withColumn("_size", F.length("text").cast("long") + 1), size, "_size")
+    placed = sums_before(head, ["seq"], "_size", "_before")
     return placed.where(F.col("_before") < size).select("seq", F.substring(F.col("text"), F.lit(1), (F.lit(size) - F.col("_before")).cast("int")).alias("text"))
 
 
@@ -124,6 +164,38 @@ def shuffled(rows: DataFrame, seed: int, key: str = "seq") -> DataFrame:
     return numbered(keyed, "position", ("_mix", key)).drop("_mix")
 
 
+#: Bits of the mixed key that one step of a selection counts by, and rows that end it.
+STEP_BITS, FEW = 16, 10_000
+MIX_BITS = 60
+
+
+def among_first(rows: DataFrame, n: int, seed: int, key: str = "seq") -> Column:
+    """Whether a row is among the first n of the permutation that shuffled() makes: a condition on
+    mixed(seed, key) and key. The n-th smallest mixed key is found by counting rows by its leading
+    bits, then those of the bucket it lies in by the next ones, until few rows are left: no row
+    is sorted or moved. key is unique."""
+    mix, shift, lo, hi = T.mixed(seed, F.col(key)), MIX_BITS, 0, (1 << MIX_BITS) - 1
+    keyed, left = rows.select(mix.alias("m"), F.col(key).alias("k")), n
+    if n <= 0:
+        return F.lit(False)
+    while True:
+        inside = keyed.where(F.col("m").between(lo, hi))
+        shift = max(0, shift - STEP_BITS)
+        counts = sorted((r.b, r["count"]) for r in inside.groupBy(F.shiftright("m", shift).alias("b")).count().collect())  # at most 2^STEP_BITS
+        for bucket, count in counts:
+            if left <= count:
+                break
+            left -= count
+        else:
+            return F.lit(True)  # there are no more than n
+        lo, hi = bucket << shift, (bucket + 1 << shift) - 1
+        if left == count:
+            return mix <= hi
+        if count <= FEW or not shift:
+            last = keyed.where(F.col("m").between(lo, hi)).orderBy("m", "k").limit(left).agg(F.max(F.struct("m", "k")).alias("x")).first().x
+            return (mix < last.m) | ((mix == last.m) & (F.col(key) <= last.k))
+
+
 def repeat(rows: DataFrame, ratio: float, seed: int) -> DataFrame:
     """int(ratio) whole copies, and a sample without replacement of the rest (half-even)."""
     if ratio <= 0:
@@ -133,8 +205,7 @@ def repeat(rows: DataFrame, ratio: float, seed: int) -> DataFrame:
     n = round(rows.count() * rest)
     if not n:
         return copies
-    part = shuffled(rows, seed).where(F.col("position") < n).drop("position")
-    return copies.unionByName(part.withColumn("copy", F.lit(whole + 1)))
+    return copies.unionByName(rows.where(among_first(rows, n, seed)).withColumn("copy", F.lit(whole + 1)))
 
 
 def mix(parts: list[tuple[DataFrame, float]], seed: int) -> DataFrame:
@@ -149,7 +220,7 @@ def mix(parts: list[tuple[DataFrame, float]], seed: int) -> DataFrame:
 def fraction_split(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
     """rows with validation true for the first max(1, int(n * fraction)) of a shuffle."""
     n = max(1, int(rows.count() * fraction))
-    return shuffled(rows, seed).withColumn("validation", F.col("position") < n).drop("position")
+    return rows.withColumn("validation", among_first(rows, n, seed))
 
 
 def source_share(rows: DataFrame, size: str = "n_chars", source: str = "source") -> DataFrame:
@@ -160,26 +231,49 @@ def source_share(rows: DataFrame, size: str = "n_chars", source: str = "source")
 
 def build(sources: list[tuple[str, DataFrame, int]], **rules) -> tuple[DataFrame, DataFrame]:
     """A corpus of several sources in rank order, each (name, docs with seq and text, target
-    characters). A source's prefixes are compared with those kept of earlier ones after their
-    cut. Returns the corpus (source, seq, text, n_chars) and the rejections (source, reason, n),
-    counted up to each source's last row."""
+    characters). A prefix is compared with those kept of earlier sources after their cut, and
+    with all earlier ones of its own. Returns the corpus (source, seq, text, n_chars) and the
+    rejections (source, reason, n), counted up to each source's last row.
+
+    A source is cleaned in ranges of seq, each as wide as what was kept so far makes one expect,
+    until its target is reached: what is read and cleaned grows with the budget."""
     corpus = rejected = None
     for name, docs, target in sources:
-        screened = screen(docs.select("seq", "text"), **rules)
-        if corpus is not None:
-            seen = corpus.select(T.prefix_key(F.col("text")).alias("_p")).distinct()
-            known = screened.withColumn("_k", T.prefix_key(F.col("text"))).join(seen, F.col("_k") == F.col("_p"), "left")
-            screened = known.withColumn("reason", F.when(F.col("reason").isNull() & F.col("_p").isNotNull(), "duplicate").otherwise(F.col("reason"))).drop("_k", "_p")
-        judged = materialize(reject_duplicates(screened).withColumn("n_chars", F.length("text").cast("long")), "corpus-judged")
-        kept = materialize(within_budget(judged.where("reason is null"), target).select(F.lit(name).alias("source"), "seq", "text", "n_chars"), "corpus-kept")
-        ends = kept.agg(F.max("seq").alias("e"), F.sum("n_chars").alias("c")).first()
-        counted = judged.where("reason is not null")
-        if (ends.c or 0) >= target:
-            counted = counted.where(F.col("seq") <= ends.e)
-        lost = counted.groupBy(F.lit(name).alias("source"), "reason").agg(F.count("*").alias("n"))
+        ends = docs.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+        kept = lost = None
+        total, at, width = 0, ends.lo, max(1, ((ends.hi or 0) - (ends.lo or 0) + 1) // FIRST_PART)
+        while total < target and at is not None and at <= ends.hi:
+            part = docs.where(F.col("seq").between(at, min(at + width - 1, ends.hi))).select("seq", "text")
+            seen = [x.select(T.prefix_key(F.col("text")).alias("_p")) for x in (corpus, kept) if x is not None]
+            judged = _judged(part, seen, **rules)
+            passed = judged.where("reason is null")
+            cut = budget_cut(passed, target - total)
+            new = passed if cut is None else passed.where(F.col("seq") <= cut)
+            new = materialize(new.select(F.lit(name).alias("source"), "seq", "text", "n_chars"), "corpus-kept")
+            total += new.agg(F.sum("n_chars")).first()[0] or 0
+            gone = judged.where("reason is not null") if cut is None else judged.where((F.col("seq") <= cut) & F.col("reason").isNotNull())
+            gone = gone.groupBy(F.lit(name).alias("source"), "reason").agg(F.count("*").alias("n"))
+            kept, lost = new if kept is None else kept.unionByName(new), gone if lost is None else lost.unionByName(gone)
+            at += width
+            expected = (target - total) * (at - ends.lo) // total + 1 if total > 0 else GROWTH * width
+            width = min(max(expected * 9 // 8, 1), GROWTH * width)
+        if kept is None:  # nothing is wanted, or there is nothing
+            judged = _judged(docs.where(F.lit(False)).select("seq", "text"), [], **rules)
+            kept = judged.select(F.lit(name).alias("source"), "seq", "text", "n_chars")
+            lost = judged.groupBy(F.lit(name).alias("source"), "reason").agg(F.count("*").alias("n"))
         corpus = kept if corpus is None else corpus.unionByName(kept)
         rejected = lost if rejected is None else rejected.unionByName(lost)
-    return corpus, rejected
+    return corpus, rejected.groupBy("source", "reason").agg(F.sum("n").alias("n"))
+
+
+def _judged(docs: DataFrame, seen: list[DataFrame], **rules) -> DataFrame:
+    """docs (seq, text) cleaned and with their reasons, stored; seen: prefixes (_p) kept before."""
+    screened = screen(docs, **rules)
+    if seen:
+        known = screened.withColumn("_k", T.prefix_key(F.col("text")))
+        old = seen[0] if len(seen) == 1 else seen[0].unionByName(seen[1])
+        screened = known.join(old.distinct(), F.col("_k") == F.col("_p"), "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_p").isNotNull(), "duplicate").otherwise(F.col("reason"))).drop("_k", "_p")
+    return materialize(reject_duplicates(screened).withColumn("n_chars", F.length("text").cast("long")), "corpus-judged")
 
 
 def manifest(corpus: DataFrame, rejected: DataFrame) -> DataFrame:

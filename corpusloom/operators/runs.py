@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.ordered import Carry, scan
 from corpusloom.operators.corpus import last_of
 
 MOST_PROMPTS = 10_000
@@ -15,9 +16,9 @@ METRICS = {"bits_per_char": True, "repetition_rate": True, "topic_rate": False,
 
 def keep_last_run(points: DataFrame, *by: str) -> DataFrame:
     """points (line, step, ...) whose step is below every later one of their log (by): a log
-    that began anew keeps its last run. One log is one window."""
-    later = Window.partitionBy(*by).orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    return points.withColumn("_m", F.min("step").over(later)).where(F.col("_m").isNull() | (F.col("step") < F.col("_m"))).drop("_m")
+    that began anew keeps its last run. A log of any length is scanned by ranges of its lines."""
+    later = scan(points, ["line"], {"_m": Carry("min", "step", back=True)}, by)
+    return later.where(F.col("_m").isNull() | (F.col("step") < F.col("_m"))).drop("_m")
 
 
 def last_by_step(points: DataFrame) -> DataFrame:
@@ -26,14 +27,15 @@ def last_by_step(points: DataFrame) -> DataFrame:
 
 def gaps(train: DataFrame, val: DataFrame, *by: str) -> DataFrame:
     """step, val, train (the train curve of the same run (by) interpolated at the step, its ends
-    held), gap = val - train, for each point of val (step, value); null without a curve."""
-    both = train.select(*by, "step", F.col("value").alias("t"), F.lit(None).cast("double").alias("v")).union(val.select(*by, "step", F.lit(None).cast("double"), "value"))
-    point, run = F.when(F.col("t").isNotNull(), F.struct("step", "t")), Window.partitionBy(*by).orderBy("step")
-    lo = F.last(point, True).over(run.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    hi = F.first(point, True).over(run.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    at = both.withColumn("lo", lo).withColumn("hi", hi).where("v is not null")
+    held), gap = val - train, for each point of val (step, value); null without a curve. Of several
+    train points at a step the greatest counts. A run of any length is scanned by ranges."""
+    point = F.when(F.col("value").isNotNull(), F.struct("step", F.col("value").alias("t")))
+    both = train.select(*by, "step", F.lit(0).alias("_kind"), F.col("value").alias("v"), point.alias("_point")).union(val.select(*by, "step", F.lit(1), "value", F.lit(None)))
+    # train points stand before those of val at the same step: the nearest one back may be at the step itself
+    near = {"lo": Carry("near", "_point", own=True), "hi": Carry("near", "_point", back=True)}
+    at = scan(both, ["step", "_kind", "v"], near, by).where("_kind = 1")
     part = (F.col("step") - F.col("lo.step")) / F.nullif(F.col("hi.step") - F.col("lo.step"), F.lit(0))
-    line = F.when(F.col("lo").isNull(), F.col("hi.t")).when(F.col("hi").isNull() | (F.col("hi.step") == F.col("lo.step")), F.col("lo.t")).otherwise(F.col("lo.t") + (F.col("hi.t") - F.col("lo.t")) * part)
+    line = F.when(F.col("lo").isNull(), F.col("hi.t")).when(F.col("hi").isNull() | (F.col("lo.step") == F.col("step")), F.col("lo.t")).otherwise(F.col("lo.t") + (F.col("hi.t") - F.col("lo.t")) * part)
     return at.select(*by, "step", F.col("v").alias("val"), line.alias("train"), (F.col("v") - line).alias("gap"))
 
 

@@ -6,14 +6,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import chars
 from corpusloom.functions import text as T
 from corpusloom.functions.ordered import sums_before
 from corpusloom.operators.corpus import numbered
-from corpusloom.sources.storage import copy_file
+from corpusloom.sources.storage import copy_file, materialize
 
 # The special tokens in the order of their ids.
 SPECIAL = (T.UNK, T.USER, T.ASSISTANT, T.END)
-_PIECES = r"(?s)<\|user\|>|<\|assistant\|>|<\|end\|>|."
+_MARKERS = r"<\|user\|>|<\|assistant\|>|<\|end\|>"
+_PIECES = f"(?s){_MARKERS}|."
 
 
 def pieces(text):
@@ -22,15 +24,15 @@ def pieces(text):
 
 
 def char_counts(lines: DataFrame) -> DataFrame:
-    chars = lines.select(F.explode(pieces(F.col("text"))).alias("char")).where(~F.col("char").isin(*SPECIAL))
-    return chars.groupBy("char").agg(F.count("*").alias("n"))
+    """char, n of all characters outside the markers."""
+    return chars.char_counts(lines.select(F.regexp_replace("text", _MARKERS, "").alias("text")), "text")
 
 
 def vocabulary(lines: DataFrame, least: int = 1) -> DataFrame:
     """token, id: the special tokens, then the characters seen `least` times in code-point order."""
     special = lines.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, SPECIAL))).alias("id", "token")).select("token", F.col("id").cast("long").alias("id"))
-    chars = numbered(char_counts(lines).where(F.col("n") >= least).select(F.col("char").alias("token")), "id", ("token",))
-    return special.unionByName(chars.select("token", (F.col("id") + len(SPECIAL)).alias("id")))
+    seen = numbered(char_counts(lines).where(F.col("n") >= least).select(F.col("char").alias("token")), "id", ("token",))
+    return special.unionByName(seen.select("token", (F.col("id") + len(SPECIAL)).alias("id")))
 
 
 def char_tokens(lines: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -125,6 +127,59 @@ def encode_split(docs: DataFrame, val_every: int, most_tokens: int) -> DataFrame
     return n.join(val.select(F.col("seq").alias("_v")), n["seq"] == F.col("_v"), "left").withColumn("part", F.when(F.col("_v").isNull(), "train").otherwise("val")).drop("_v", "n")
 
 
+#: Candidates that are left for the last part of an admission, which the driver does.
+FEW_LEFT = 100_000
+
+
+def admit(docs: DataFrame, val_every: int, most_tokens: int, chunk: int = 4000) -> DataFrame:
+    """docs (seq, n_tokens) with part by greedy admission: of every val_every-th document, those go
+    to val whose tokens, with those written before its chunk of `chunk` documents, are below the
+    limit; one that is too large is skipped, and later ones may still enter. What is written
+    counts from the next chunk on.
+
+    The limit can only leave less room, so a candidate that does not fit once never does. Runs of
+    chunks all of whose candidates fit are therefore admitted whole, by sums over ranges, up to
+    the first chunk that has one that does not; that chunk is judged, the candidates that are too
+    large for the rest are dropped, and so on. Once few are left, the driver folds them."""
+    n = numbered(docs)
+    room, at, gains, few = most_tokens, -1, [], []
+    candidates = materialize(n.where(F.col("n") % val_every == 0).select("seq", F.floor(F.col("n") / chunk).alias("chunk"), F.col("n_tokens").cast("long").alias("n_tokens")), "admission")
+    left = candidates
+    while True:
+        left = left.where((F.col("n_tokens") < room) & (F.col("chunk") > at))
+        if left.limit(FEW_LEFT + 1).count() <= FEW_LEFT:
+            few = _folded([tuple(r) for r in left.select("chunk", "seq", "n_tokens").collect()], room)
+            break
+        chunks = left.groupBy("chunk").agg(F.sum("n_tokens").alias("sum"), F.max("n_tokens").alias("largest"))
+        placed = materialize(sums_before(chunks, ["chunk"], "sum", "before"), "admission-chunks")
+        over = placed.where(F.col("before") + F.col("largest") >= room).agg(F.min_by(F.struct("chunk", "before"), "chunk").alias("x")).first().x
+        if over is None:
+            gains.append((at, None, room))
+            break
+        # all before the chunk, and of the chunk those that fit
+        rest = room - over.before
+        gains += [(at, over.chunk, room), (over.chunk - 1, over.chunk + 1, rest)]
+        room = rest - (left.where((F.col("chunk") == over.chunk) & (F.col("n_tokens") < rest)).agg(F.sum("n_tokens")).first()[0] or 0)
+        at = over.chunk
+    fits = F.lit(False)  # (after a chunk, before a chunk, below so many tokens), a condition for each turn
+    for after, before, below in gains:
+        fits = fits | ((F.col("chunk") > after) & (F.lit(True) if before is None else F.col("chunk") < before) & (F.col("n_tokens") < below))
+    val = candidates.where(fits).select(F.col("seq").alias("_v")).unionByName(docs.sparkSession.createDataFrame([(x,) for x in few], "_v long"))
+    return n.join(val, n["seq"] == F.col("_v"), "left").withColumn("part", F.when(F.col("_v").isNull(), "train").otherwise("val")).drop("_v", "n")
+
+
+def _folded(rows: list[tuple], room: int) -> list[int]:
+    """seq of the candidates (chunk, seq, tokens) that are admitted."""
+    from itertools import groupby
+
+    out = []
+    for _, group in groupby(sorted(rows), key=lambda r: r[0]):
+        fit = [r for r in group if r[2] < room]
+        out += [r[1] for r in fit]
+        room -= sum(r[2] for r in fit)
+    return out
+
+
 def encode_summary(encoded: DataFrame) -> DataFrame:
     """part, docs, tokens, chars_per_token of documents (part, n_tokens, n_chars)."""
     return encoded.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.bround(F.sum("n_chars") / F.greatest(F.sum("n_tokens"), F.lit(1)), 4).alias("chars_per_token"))

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import chat, corpus, leak, pii, runs, tokens
+from corpusloom.operators import chat, corpus, leak, pii, runs, stream, tokens
+from corpusloom.sources import ranges, tables
+from corpusloom.sources.storage import scratch_path
+from corpusloom.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -231,6 +234,16 @@ def encode_split(spark, sf_dir):
     return tokens.encode_summary(tokens.encode_split(sized, 10, 20_000))
 
 
+@query("""WITH RECURSIVE n AS (SELECT doc_id, (length(text) // 2)::BIGINT AS c, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents),
+cand AS MATERIALIZED (SELECT doc_id, c, k // 100 AS chunk FROM n WHERE k % 10 = 0),
+f(chunk, w) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT f.chunk + 1, (f.w + coalesce((SELECT sum(c) FROM cand WHERE cand.chunk = f.chunk AND f.w + c < 20000), 0))::BIGINT FROM f WHERE f.chunk <= (SELECT max(chunk) FROM cand))
+SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM cand JOIN f USING (chunk) WHERE w + c < 20000) THEN 'val' ELSE 'train' END AS part FROM n""")
+def encode_admission(spark, sf_dir):
+    """Validation documents by greedy admission, a chunk of 100 at a time."""
+    sized = _sized(spark, sf_dir).withColumn("n_tokens", F.floor(F.col("n_chars") / 2))
+    return tokens.admit(sized, 10, 20_000, 100).select(F.col("seq").alias("doc_id"), "part")
+
+
 @query("SELECT source, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars, round_even(sum(length(text)) / greatest(sum(sum(length(text))) OVER (), 1), 4) AS share FROM documents GROUP BY source")
 def source_share(spark, sf_dir):
     return corpus.source_share(_sized(spark, sf_dir))
@@ -264,6 +277,71 @@ def corpus_manifest(spark, sf_dir):
     return row.select("total_documents", "total_chars", F.coalesce(F.try_element_at("rejected", F.lit("duplicate")), F.lit(0)).alias("duplicates"))
 
 
+@query(f"""WITH {_SCREEN}, kept AS (SELECT *, length(text) AS n FROM judged WHERE reason IS NULL QUALIFY coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 500000),
+lost AS (SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL AND doc_id <= (SELECT max(doc_id) FROM kept) GROUP BY reason),
+src AS (SELECT 'documents' AS source, count(*) AS docs, sum(n) AS chars FROM kept)
+SELECT (SELECT string_agg(source || ':' || docs || ':' || chars || ':1.0', ',') FROM src) AS sources, (SELECT string_agg(reason || ':' || n, ',' ORDER BY reason) FROM lost) AS rejected""")
+def manifest_maps(spark, sf_dir):
+    """The manifest's maps: its sources, and its rejections."""
+    row = corpus.manifest(*corpus.build([("documents", _docs(spark, sf_dir), 500_000)], script=T.LATIN))
+    text = lambda entries, *fields: F.array_join(F.transform(F.array_sort(F.map_entries(entries)), lambda e: F.concat_ws(":", *[f(e).cast("string") for f in fields])), ",")
+    sources = text("sources", lambda e: e["key"], lambda e: e["value"]["docs"], lambda e: e["value"]["chars"], lambda e: e["value"]["share"])
+    return row.select(sources.alias("sources"), text("rejected", lambda e: e["key"], lambda e: e["value"]).alias("rejected"))
+
+
+# --- readers of files that the tables are written to -----------------------------------------
+
+
+def _files(spark: SparkSession, name: str) -> str:
+    return f"{scratch_path(spark, name)}/files"
+
+
+@query("SELECT md5(text) AS digest, count(*)::BIGINT AS n FROM documents WHERE text <> '' GROUP BY 1")
+def jsonl_texts(spark, sf_dir):
+    """Texts from gzipped JSON lines."""
+    path = _files(spark, "jsonl")
+    _docs(spark, sf_dir).select("text").write.option("compression", "gzip").json(path)
+    return tables.read_jsonl(spark, path, 8).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT t::BIGINT AS turn, role, md5(text) AS digest, count(*)::BIGINT AS n FROM (SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS t, role, text FROM conversations) GROUP BY ALL")
+def message_turns(spark, sf_dir):
+    """Turns from rows that hold arrays of messages."""
+    path = _files(spark, "messages")
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    _turns(spark, sf_dir).groupBy("conv_id").agg(said.alias("conversations")).select("conversations").write.parquet(path)
+    return tables.read_messages(spark, path).groupBy("turn", "role", F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PAIRS} SELECT (row_number() OVER (ORDER BY seq) - 1)::BIGINT AS seq, md5(q) AS q, md5(a) AS a FROM pairs WHERE a NOT LIKE '%\"%' AND q NOT LIKE '%\"%'")
+def local_pairs(spark, sf_dir):
+    """Pairs from a folder of TSV files, in the order of their names and lines."""
+    path = _files(spark, "pairs")
+    plain = _pairs(spark, sf_dir).where(~F.contains("q", F.lit('"')) & ~F.contains("a", F.lit('"')))  # the writer would quote them
+    plain.repartitionByRange(4, "seq").sortWithinPartitions("seq").select("q", "a").write.option("sep", "\t").option("extension", "tsv").option("escapeQuotes", False).csv(path)
+    return tables.read_local_pairs(spark, path).select("seq", F.md5("q").alias("q"), F.md5("a").alias("a"))
+
+
+@query(r"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS seq, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(replace(text, chr(10), ' '), '^" + _SPACES + "|" + _SPACES + r"$', '', 'g') AS t FROM documents) WHERE t <> ''")
+def file_lines(spark, sf_dir):
+    """One document a line, numbered over all files."""
+    path = _files(spark, "lines")
+    lines = _docs(spark, sf_dir).select("seq", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text"))
+    tables.write_lines(lines.repartitionByRange(5, "seq").sortWithinPartitions("seq"), path)
+    return tables.read_lines(spark, path).select("seq", F.md5("text").alias("digest"))
+
+
+@query("SELECT (event_id % 1000000)::INT AS step, CASE WHEN event_type <> 'click' THEN round(value, 4) END AS train_loss, CASE WHEN event_type = 'click' THEN round(value, 4) END AS val_loss FROM events")
+def run_log(spark, sf_dir):
+    """A run log with comments, train and validation points on rows of their own."""
+    path, none = _files(spark, "log"), F.lit(None).cast("double")
+    click, value = F.col("event_type") == "click", F.round("value", 4)
+    points = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 1_000_000).cast("int").alias("step"), none.alias("elapsed_sec"), F.col("event_id").alias("tokens"), none.alias("lr"), F.when(~click, value).alias("train_loss"), F.when(click, value).alias("val_loss"), none.alias("tok_per_sec"))
+    tables.append_log(points, path)
+    spark.range(3).select(F.concat(F.lit("# begun anew "), F.col("id")).alias("value")).write.mode("append").text(path)
+    return tables.read_run_log(spark, path).select("step", "train_loss", "val_loss")
+
+
 # --- conversations -----------------------------------------------------------------------
 
 
@@ -371,6 +449,17 @@ def leak_hits(spark, sf_dir):
     return hits.join(wanted, "probe").select("doc_id", "line_no", F.md5("probe").alias("probe"), "n")
 
 
+@query(f"WITH {_PROBES} SELECT line_no, md5(probe) AS probe, sum((length(text) - length(replace(text, probe, ''))) / length(probe))::BIGINT AS n FROM documents, probes WHERE contains(text, probe) GROUP BY ALL")
+def byte_scan(spark, sf_dir):
+    """The documents as files that are read by byte ranges: their probes' occurrences."""
+    path = f"{scratch_path(spark, 'byte-scan')}/files"
+    _docs(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    wanted = leak.probes(_lines(spark, sf_dir))
+    patterns = leak.shippable(wanted, "probe", leak.PROBE_CHARS, leak.MOST_SEEDS)
+    hits = ranges.scan_files(spark, path, patterns, 1 << 20).groupBy("pattern").agg(F.count("*").alias("n"))
+    return hits.join(wanted, hits["pattern"] == wanted["probe"]).select("line_no", F.md5("probe").alias("probe"), "n")
+
+
 @query(f"WITH {_PROBES}, hit AS (SELECT DISTINCT line_no FROM probes SEMI JOIN documents ON contains(text, probe)) SELECT item_id AS line_no FROM benchmark WHERE item_id NOT IN (SELECT line_no FROM hit)")
 def clean_holdout(spark, sf_dir):
     docs = _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), "text")
@@ -515,9 +604,64 @@ def token_windows(spark, sf_dir):
     return tokens.token_windows(arrays).select("doc_id", "window", F.md5(F.array_join("tokens", "")).alias("digest"))
 
 
-@query(f"SELECT step, i, {_mix(1234, 'step', 'i')} % 999743 AS \"offset\" FROM range(0, 20) a(step), range(0, 32) b(i)")
+@query(f"SELECT step, i, {_mix(1234, 'step', 'i')} % (SELECT sum(length(text)) - 257 FROM documents)::BIGINT AS \"offset\" FROM range(0, 20) a(step), range(0, 32) b(i)")
 def batch_sample(spark, sf_dir):
-    return tokens.batch_offsets(spark, 1_000_000, 256, 32, 1234, 20)
+    """Places of spans in the stream of the documents' characters."""
+    return tokens.batch_offsets(spark, _sized(spark, sf_dir).agg(F.sum("n_chars")).first()[0], 256, 32, 1234, 20)
+
+
+# The stream of all documents, each with an end token: its ids are those of the documents' own characters.
+_STREAM = """pieces AS (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS piece FROM (SELECT doc_id, string_split(text, '') || ['<|end|>'] AS p FROM documents)),
+vocab AS (SELECT c AS token, row_number() OVER (ORDER BY c) + 3 AS id FROM (SELECT DISTINCT piece AS c FROM pieces WHERE piece <> '<|end|>') UNION ALL VALUES ('<|end|>', 3)),
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS p, id FROM pieces JOIN vocab ON piece = token)"""
+_WINDOWS = """w AS (SELECT p // 256 AS w, p, id FROM s UNION ALL SELECT p // 256 - 1, p, id FROM s WHERE p % 256 = 0 AND p > 0)"""
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> stream.TokenStream:
+    docs = _docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), T.with_end(F.col("text")).alias("text"))
+    return stream.flatten(tokens.char_encode(docs, tokens.vocabulary(docs)).withColumnRenamed("doc_id", "seq"))
+
+
+def _digest(column: str):
+    return F.md5(F.array_join(F.col(column).cast("array<string>"), " "))
+
+
+@query("SELECT doc_id, coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (length(text) + 1)::BIGINT AS n_tokens FROM documents")
+def stream_index(spark, sf_dir):
+    return _stream(spark, sf_dir).index.select(F.col("seq").alias("doc_id"), "start", "n_tokens")
+
+
+@query(f"WITH {_STREAM}, {_WINDOWS} SELECT w AS \"window\", md5(string_agg(id::VARCHAR, ' ' ORDER BY p)) AS digest FROM w GROUP BY w HAVING count(*) = 257")
+def stream_windows(spark, sf_dir):
+    """Windows for scoring, across the ends of documents."""
+    return stream.windows(_stream(spark, sf_dir), 256).select("window", _digest("tokens").alias("digest"))
+
+
+@query(f"""WITH {_STREAM}, o AS (SELECT step, i, {_mix(1234, 'step', 'i')} % ((SELECT count(*) FROM s) - 257) AS o FROM range(0, 20) a(step), range(0, 32) b(i)),
+x AS (SELECT step, i, o, k, id FROM (SELECT *, unnest(range(0, 257)) AS k FROM o) JOIN s ON p = o + k)
+SELECT step, i, o AS "offset", md5(string_agg(id::VARCHAR, ' ' ORDER BY k) FILTER (k < 256)) AS x, md5(string_agg(id::VARCHAR, ' ' ORDER BY k) FILTER (k > 0)) AS y FROM x GROUP BY ALL""")
+def stream_batches(spark, sf_dir):
+    """Training batches with their targets, out of the documents."""
+    return stream.batches(_stream(spark, sf_dir), 256, 32, 1234, 20).select("step", "i", "offset", _digest("x").alias("x"), _digest("y").alias("y"))
+
+
+@query(f"""WITH {_STREAM}, {_WINDOWS}, full_w AS (SELECT w FROM w GROUP BY w HAVING count(*) = 257), c AS (SELECT id, -ln(count(*) / (SELECT count(*) FROM s)) AS nats FROM s GROUP BY id)
+SELECT round(sum(nats) / ln(2.0) / ((SELECT sum(length(text)) FROM documents) * ((SELECT count(*) FROM full_w) * 256.0 / greatest((SELECT count(*) FROM s) - 1, 1))), 6) AS bits_per_char
+FROM w SEMI JOIN full_w USING (w) JOIN c USING (id) WHERE p > 256 * w""")
+def stream_bits_per_char(spark, sf_dir):
+    """Bits a character of a model of the stream's own id counts, over its windows."""
+    s = _stream(spark, sf_dir)
+    n = _sized(spark, sf_dir).agg(F.sum("n_chars")).first()[0]
+    scored = tokens.bits_per_char(stream.unigram_nats(s, stream.windows(s, 256)), n, s.length)
+    return scored.select(F.round("bits_per_char", 6).alias("bits_per_char"))
+
+
+@query(f"WITH {_STREAM} SELECT p // 4096 AS block, count(*)::BIGINT AS n, md5(string_agg(id::VARCHAR, ' ' ORDER BY p)) AS digest FROM s GROUP BY 1")
+def token_file(spark, sf_dir):
+    """The stream written to binary files of two bytes an id, and read back."""
+    path = f"{scratch_path(spark, 'token-file')}/blocks"
+    stream.write_stream(_stream(spark, sf_dir), path)
+    return stream.read_stream(spark, path).blocks.select("block", F.size("tokens").cast("long").alias("n"), _digest("tokens").alias("digest"))
 
 
 @query(f"SELECT doc_id, (generate_subscripts(parts, 1) - 1)::INT AS n, length(unnest(parts))::INT AS n_chars, md5(unnest(parts)) AS digest FROM {_sentences('documents', 60, 600)}")
@@ -559,11 +703,45 @@ def keep_last_run(spark, sf_dir):
     return runs.keep_last_run(logs, "user_id")
 
 
+@query("SELECT event_id AS line, event_id % 7000 AS step FROM events QUALIFY coalesce(step < min(step) OVER (ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true)")
+def keep_last_run_one_log(spark, sf_dir):
+    """All events as one log."""
+    return runs.keep_last_run(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line"), (F.col("event_id") % 7_000).alias("step")))
+
+
 @query(f"WITH {_POINTS} SELECT line, step, value FROM points QUALIFY row_number() OVER (PARTITION BY step ORDER BY line DESC) = 1")
 def last_by_step(spark, sf_dir):
     return runs.last_by_step(_points(spark, sf_dir))
 
 
+def _growing(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; the pattern takes a table of one file too."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _drained(rows: DataFrame, mode: str, name: str) -> str:
+    path = scratch_path(rows.sparkSession, name)
+    state.drain(rows, mode, f"{path}/checkpoint", state.keep_batches(f"{path}/rows")).awaitTermination()
+    return f"{path}/rows"
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY left(text, 200) ORDER BY doc_id) = 1")
+def stream_prefix_dedup(spark, sf_dir):
+    """The first document of each prefix, by state kept for each prefix in a stream."""
+    docs = _growing(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    kept = state.first_wins(docs.select("seq", F.sha2(T.prefix_key(F.col("text")), 256).alias("prefix")), F.col("prefix"))
+    return spark.read.parquet(_drained(kept, "append", "first-wins")).select(F.col("seq").alias("doc_id"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id AS line, event_id % 400 AS step, value FROM events),
+k AS (SELECT * FROM e QUALIFY coalesce(step < min(step) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true))
+SELECT user_id::VARCHAR AS run, count(*)::BIGINT AS points, arg_min(step, (value, step)) AS best_step, min(value) AS best_value, min(step) AS first_step, max(step) AS last_step, (SELECT count(*) FROM e WHERE e.user_id = k.user_id)::BIGINT AS lines FROM k GROUP BY user_id""")
+def stream_last_runs(spark, sf_dir):
+    """What each log's last run keeps, by a stack kept for each log in a stream."""
+    points = _growing(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("line"), (F.col("event_id") % 400).alias("step"), "value")
+    return state.latest(spark, _drained(state.last_runs(points), "update", "last-runs"), "run")
+
+
 def _gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as a run: the clicks are the validation curve."""
     points = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("step"), "value", "event_type")
@@ -581,6 +759,14 @@ def asof_gap(spark, sf_dir):
     return _gap(spark, sf_dir).select("user_id", "step", *[F.round(c, 6).alias(c) for c in ("val", "train", "gap")])
 
 
+@query(f"WITH {_GAP.replace('SELECT user_id, event_id', 'SELECT 0 AS user_id, event_id')} SELECT step, round(val, 6) AS val, round(train, 6) AS train, round(val - train, 6) AS gap FROM gap")
+def asof_gap_one_run(spark, sf_dir):
+    """All events as one run."""
+    points = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("step"), "value", "event_type")
+    gap = runs.gaps(points.where("event_type <> 'click'"), points.where("event_type = 'click'"))
+    return gap.select("step", *[F.round(c, 6).alias(c) for c in ("val", "train", "gap")])
+
+
 @query(f"WITH {_GAP} SELECT user_id, coalesce(min(step) FILTER (val > train), 0)::BIGINT AS divergence_step FROM gap GROUP BY user_id")
 def divergence_step(spark, sf_dir):
     return runs.divergence_step(_gap(spark, sf_dir), "user_id")
