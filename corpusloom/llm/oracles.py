@@ -39,6 +39,7 @@ def license_scan_sql() -> str:
     """Sentences are cut at each line end here, so those wrapped over lines are not found; the
     tables hold none."""
     known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(license_scan.known().items()))
+    free = " ".join(f"WHEN regexp_matches(s, '^{a}( [^ ]+){{1,{license_scan.FREE_WORDS}}} {b}$') THEN '{name}'" if a else f"WHEN regexp_matches(s, '^([^ ]+ ){{1,{license_scan.FREE_WORDS}}}{b}$') AND NOT regexp_matches(s, '^([^ ]+ )*({'|'.join(license_scan.TURNING)}) .*{b}$') THEN '{name}'" for a, b, name in license_scan.open_known())
     cases = []
     steps = "SELECT doc_id, ids, '|' || array_to_string(gapped, '|') || '|' AS l0 FROM i"
     for n, (name, seq) in enumerate(license_scan.RULES):
@@ -50,7 +51,7 @@ WITH k(s, id) AS (VALUES {known}), o(n, name) AS (VALUES {first}),
 d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\\bv\\.[\\x20\\t]+([0-9])', 'v \\1', 'g') AS t, row_number() OVER () AS rn FROM documents),
 p AS (SELECT rn, generate_subscripts(x, 1) AS pos, unnest(x) AS s FROM
       (SELECT rn, list_filter(list_transform(string_split_regex(t, '[\\n\\r]+|[.!?;][\\x20\\t]+'), lambda y: trim(regexp_replace(y, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), lambda y: y <> '') AS x FROM d)),
-h AS (SELECT rn, pos, id, coalesce(pos - lag(pos) OVER (PARTITION BY rn ORDER BY pos) > {license_scan.GAP + 1}, false) AS far FROM p JOIN k USING (s)),
+h AS (SELECT rn, pos, id, coalesce(pos - lag(pos) OVER (PARTITION BY rn ORDER BY pos) > {license_scan.GAP + 1}, false) AS far FROM (SELECT rn, pos, coalesce(k.id, CASE {free} END) AS id FROM p LEFT JOIN k USING (s)) WHERE id IS NOT NULL),
 m AS (SELECT rn, list(id ORDER BY pos) AS ids, flatten(list(CASE WHEN far THEN ['-', id] ELSE [id] END ORDER BY pos)) AS gapped FROM h GROUP BY rn),
 i AS (SELECT doc_id, coalesce(ids, []) AS ids, coalesce(gapped, []) AS gapped FROM d LEFT JOIN m USING (rn)),
 r AS ({steps}),

@@ -273,6 +273,39 @@ def test_license_files(spark):
     assert (found[200], found[201], found[202]) == ("BSD-2-Clause", "BSD-3-Clause", "MIT,GPL-3.0")
 
 
+def test_licenses_by_open_sentences_titles_and_identifiers(spark):
+    """Names in clauses, whole files' heads, SPDX lines, semicolons; and texts that must give none."""
+    bsd = FILES["BSD-3-Clause"]
+    named = [bsd.replace("the copyright holder", x) for x in ("Example Inc.", "the University of Somewhere", "Example, Ltd. Co.", "any Other Person")]
+    assert all(x != bsd for x in named)
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation; {}\n"
+    rows = {x: "BSD-3-Clause" for x in named} | {
+        gpl.format("", "either version 3 of the License, or\n(at your option) any later version."): "GPL-3.0",
+        gpl.format("", "either version 2 of the License, or\n(at your option) any later version."): "GPL-2.0",
+        gpl.format("Lesser ", "version 3 of the License."): "LGPL-3.0",
+        gpl.format("Affero ", "either version 3 of the License, or\n(at your option) any later version."): "AGPL-3.0",
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007": "GPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999\n": "LGPL-2.1",
+        "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS": "Apache-2.0",
+        "// SPDX-License-Identifier: MIT\nint main;": "MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        "/* SPDX-License-Identifier: Apache-2.0 */": "Apache-2.0",
+        "A library. It is available under the MIT license.": "MIT",
+        "This tool and its files are licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        "This is not licensed under the MIT License.": "",
+        "Ask whether it is available under the MIT license.": "",
+        "SPDX-License-Identifier: MIT OR Something-Else": "",
+        "the MIT license is nice": "",
+        "GNU General Public License Version 4, 2030": "",
+        "Neither the name of a thing nor the names of its parts matter without specific prior written permission.": "",
+        "Neither the name of " + "one " * 13 + "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "",
+    }
+    texts = list(rows)
+    found = {r.doc_id: r.licenses for r in license_scan.report(license_scan.scan(frame(spark, list(enumerate(texts))))).collect()}
+    assert {t: found[n] for n, t in enumerate(texts)} == rows
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
