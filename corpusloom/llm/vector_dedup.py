@@ -6,11 +6,16 @@ sign codes; then, in each round, the neighbours of a node, forward and reverse,
 with one another. A list all of whose members are links is saturated, and gets twice the
 room. Rounds end when few lists change.
 
+The codes' length grows with their group, so that few nodes share one, and their number with
+their length, so that two nodes at the threshold share one in two searches with the chance MEET
+at any size, also where they have no other neighbour to be found through.
+
 A dense cluster can fill its lists with its own members. So the search is repeated, with new
-codes, for neighbours of other components than a node's own, until it finds no link between
-components; it takes part of each such search that the recall against all nodes is audited
-for a bounded sample. If that is too low after WIDENINGS searches, the nodes of different
-components are compared exactly, in blocks.
+codes, for neighbours of other components than a node's own, until one finds no link between
+components: a search is independent of those before, so it sees what they have missed. The
+recall against all nodes is audited too, for a bounded sample that holds nodes with known links.
+If that is too low after WIDENINGS searches more, the nodes of different components are compared
+exactly, in blocks.
 
 The search works on half-precision unit vectors; links are decided in double precision.
 Links join nodes into components. Inside a component every vector's links are counted
@@ -20,7 +25,7 @@ with one another, are not compared among themselves.
 
 Defined cases: a vector that is null, empty, zero or holds a null, NaN or infinity, or has a
 null label, links with nothing; vectors of different lengths do not link; repeated rows link
-with one another; a null id takes part, and names a component only if no other id is there;
+with one another, and links of equal similarity are all kept; a null id takes part, and names a component only if no other id is there;
 an empty table gives an empty table; extra columns are not read.
 """
 
@@ -36,7 +41,10 @@ from corpusloom.sources.storage import discard, materialize
 
 THRESHOLD = 0.93
 LIST = 8
-CODES, CODE_BITS, RUN = 4, 12, 32
+RUN = 32
+#: Nodes that share a code, about: codes get longer with their group. Codes are so many that two nodes at the threshold share
+#: one in two searches with this chance.
+CODE_LOAD, MEET, MOST_BITS = 8, 0.99, 60
 ROUNDS, ROUNDS_ACROSS, FEW = 5, 2, 0.01
 #: The audited nodes, the recall asked for, and how often the search may be widened for it.
 AUDIT, ENOUGH, WIDENINGS = 256, 0.98, 3
@@ -44,9 +52,10 @@ BLOCK = 1024
 _SLACK = 4e-3  # of half precision
 
 
-def _nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+def _nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """All rows (vec_id, node; node null where the vector cannot link), and the nodes: node,
-    grp, first_id, size, exact (unit vector, doubles), vec (halves)."""
+    grp, first_id, size, exact (unit vector, doubles), vec (halves), and the length and number of
+    codes that their group's size asks for."""
     v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vec_col].cast("array<double>").alias("e"))
     sound = F.col("label").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     good = v.where(sound)
@@ -67,7 +76,13 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tup
     once = materialize(once.withColumn("node", F.monotonically_increasing_id()), "vectors-once")
     rows = v.withColumn("k", F.when(sound, F.struct("label", "e"))).join(once.select(F.struct("label", "e").alias("k"), "node"), "k", "left").select("vec_id", "node")
     grouped = once.select("node", F.concat_ws(":", F.size("e").cast("string"), "label").alias("grp"), "e", "first_id", "size")
-    return materialize(rows, "vectors-rows"), materialize(grouped.mapInArrow(unit, "node long, grp string, first_id long, size long, exact binary, vec binary"), "vectors-nodes")
+    nodes = materialize(grouped.mapInArrow(unit, "node long, grp string, first_id long, size long, exact binary, vec binary"), "vectors-nodes")
+    sizes = materialize(nodes.groupBy("grp").agg(F.count("*").alias("n")), "vectors-sizes")
+    bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") / CODE_LOAD)))).cast("int")
+    share = F.pow(F.lit(1 - np.arccos(threshold) / np.pi), bits)
+    codes = F.ceil(F.log(F.lit(1 - MEET)) / F.log(1 - share) / 2).cast("int")
+    plan = sizes.select("grp", bits.alias("bits"), F.when(F.col("n") <= RUN, 3).otherwise(codes).alias("codes"))
+    return materialize(rows, "vectors-rows"), materialize(nodes.join(plan, "grp"), "vectors-nodes")
 
 
 def _best(ids: list[int], vecs: list[bytes], floors: list[float], roots: list[int], out: list[list]) -> None:
@@ -99,18 +114,19 @@ def _first_lists(nodes: DataFrame, seed: int) -> DataFrame:
 
     def code(batches):
         for batch in batches:
-            vecs = batch.column("vec").to_pylist()
-            dims = [len(b) // 2 for b in vecs]
-            keys: list[list[str]] = [[""] * len(vecs) for _ in range(CODES)]
-            for d in set(dims):
-                own = [i for i, x in enumerate(dims) if x == d]
-                x = np.frombuffer(b"".join(vecs[i] for i in own), np.float16).reshape(len(own), d).astype(np.float32)
-                for r in range(CODES):
-                    plane = np.random.default_rng((seed, r, d)).standard_normal((d, CODE_BITS)).astype(np.float32)
-                    for i, bits in zip(own, (x @ plane > 0).tolist()):
-                        keys[r][i] = "".join("01"[b] for b in bits)
-            for r in range(CODES):
-                yield pa.RecordBatch.from_arrays([pa.array([r] * len(vecs), pa.int32()), pa.array(keys[r]), *(batch.column(c) for c in ("grp", "node", "root", "vec"))], ["r", "code", "grp", "node", "root", "vec"])
+            vecs, bits, codes = batch.column("vec").to_pylist(), batch.column("bits").to_pylist(), batch.column("codes").to_pylist()
+            shapes = [(len(v) // 2, b) for v, b in zip(vecs, bits)]
+            for r in range(max(codes, default=0)):
+                rows = [i for i, c in enumerate(codes) if c > r]
+                keys = {}
+                for d, b in {shapes[i] for i in rows}:
+                    own = [i for i in rows if shapes[i] == (d, b)]
+                    x = np.frombuffer(b"".join(vecs[i] for i in own), np.float16).reshape(len(own), d).astype(np.float32)
+                    plane = np.random.default_rng((seed, r, d)).standard_normal((MOST_BITS, d)).astype(np.float32)[:b].T
+                    packed = np.packbits(x @ plane > 0, axis=1)
+                    keys |= {i: k.tobytes() for i, k in zip(own, packed)}
+                taken = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([r] * len(rows), pa.int32()), pa.array([keys[i] for i in rows], pa.binary()), *(taken.column(c) for c in ("grp", "node", "root", "vec"))], ["r", "code", "grp", "node", "root", "vec"])
 
     def runs(batches):
         held: list[tuple] = []
@@ -130,7 +146,7 @@ def _first_lists(nodes: DataFrame, seed: int) -> DataFrame:
             _best([h[2] for h in held], [h[3] for h in held], [-1.0] * len(held), [h[4] for h in held], out)
         yield _batch(out)
 
-    coded = nodes.select("grp", "node", "root", "vec").mapInArrow(code, "r int, code string, grp string, node long, root long, vec binary")
+    coded = nodes.select("grp", "node", "root", "vec", "bits", "codes").mapInArrow(code, "r int, code binary, grp string, node long, root long, vec binary")
     order = ["r", "grp", "code", "node"]
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return coded.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(runs, _EDGES)
@@ -200,10 +216,14 @@ def _verified(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def audit(nodes: DataFrame, comp: DataFrame, threshold: float = THRESHOLD, size: int = AUDIT) -> float:
-    """The share of the true links of a fixed sample of nodes whose ends are in one component."""
-    labelled = nodes.join(comp, "node", "left").select("node", "grp", "exact", F.coalesce("root", "node").alias("root"))
-    sample = [tuple(r) for r in labelled.orderBy(F.xxhash64("node")).limit(size).collect()]
+def audit(nodes: DataFrame, comp: DataFrame, threshold: float = THRESHOLD, size: int = AUDIT) -> float | None:
+    """The share of the true links of a bounded sample of nodes whose ends are in one component;
+    half of the nodes are among those with a known link, if so many have one. None without a
+    link. What no search has found of lone pairs is seen by the next search, not here."""
+    labelled = nodes.join(comp, "node", "left").select("node", "grp", "exact", F.coalesce("root", "node").alias("root"), F.col("root").isNotNull().alias("linked"))
+    picked = lambda rows, n: rows.orderBy(F.xxhash64("node")).limit(n).select("node", "grp", "exact", "root").collect()
+    known = picked(labelled.where("linked"), size // 2)
+    sample = list({r.node: tuple(r) for r in known + picked(labelled, size - len(known))}.values())
 
     def run(batches):
         by: dict[str, list] = {}
@@ -218,7 +238,7 @@ def audit(nodes: DataFrame, comp: DataFrame, threshold: float = THRESHOLD, size:
         yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], ["true", "found"])
 
     total = labelled.mapInArrow(run, "true long, found long").agg(F.sum("true"), F.sum("found")).first()
-    return (total[1] or 0) / total[0] if total[0] else 1.0
+    return total[1] / total[0] if total[0] else None
 
 
 def _counts(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
@@ -311,7 +331,7 @@ def _across(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    rows, nodes = _nodes(vectors, id_col, vec_col, label_col)
+    rows, nodes = _nodes(vectors, id_col, vec_col, label_col, threshold)
     search, links = nodes.withColumn("root", F.col("node")), None
     for turn in range(WIDENINGS + 2):
         lists = neighbour_lists(search, turn + 1, threshold, ROUNDS_ACROSS if turn else ROUNDS)
@@ -319,11 +339,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         discard(lists)
         links = new if links is None else links.union(new)
         comp = materialize(connected_components(links), "vectors-components")
-        if turn and not new.limit(1).count() and audit(nodes, comp, threshold) >= ENOUGH:
+        if turn and not new.limit(1).count() and ((recall := audit(nodes, comp, threshold)) is None or recall >= ENOUGH):
             break
         search = materialize(nodes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")), "vectors-search")
     else:
-        if audit(nodes, comp, threshold) < ENOUGH:
+        if (audit(nodes, comp, threshold) or 0) < ENOUGH:
             comp = materialize(connected_components(links.union(_across(nodes, comp, threshold))), "vectors-components")
     counts = materialize(_counts(nodes, comp, threshold), "vectors-counts")
     rooted = materialize(nodes.select("node", "first_id", "size").join(comp, "node", "left").join(counts, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.col("size") - 1).alias("links")), "vectors-rooted")

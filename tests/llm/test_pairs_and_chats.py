@@ -34,6 +34,25 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def lone_pairs(n, pairs, seed, cosine=0.94, dims=64):
+    """Random unit vectors, the first of which have one near neighbour each and no other."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = x[pairs : 2 * pairs] - np.sum(x[pairs : 2 * pairs] * x[:pairs], axis=1, keepdims=True) * x[:pairs]
+    x[pairs : 2 * pairs] = cosine * x[:pairs] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    return x
+
+
+def test_lone_pairs_meet_in_large_groups(spark):
+    """A pair that no other neighbour leads to is found by its codes, whose length and number follow the group."""
+    x = lone_pairs(4000, 150, 3)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.component_id for r in vector_dedup.near_duplicates(df).where("n_links > 0").collect()}
+    met = sum(found.get(k + 150) == k for k in range(150))
+    assert met >= 147 and set(found) <= set(range(300))
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
