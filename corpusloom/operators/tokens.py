@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import chars
 from corpusloom.functions import text as T
-from corpusloom.functions.ordered import sums_before
+from corpusloom.functions.ordered import Carry, scan, sums_before
 from corpusloom.operators.corpus import numbered
 from corpusloom.sources.storage import copy_file, materialize
 
@@ -74,13 +74,18 @@ def char_decode(tokens: DataFrame, vocab: DataFrame, skip_special: bool = False)
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("text"))
 
 
-def loss_mask(tokens: DataFrame) -> DataFrame:
+def loss_mask(tokens: DataFrame, long_lines: bool = False) -> DataFrame:
     """tokens (doc_id, pos, piece) with weight 1 after an assistant marker up to and with the
-    next end marker, 0 elsewhere; each line starts anew. A line is one window."""
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    marker = F.when(F.col("piece").isin(T.USER, T.ASSISTANT, T.END), F.col("piece"))
-    inside = F.last(marker, ignorenulls=True).over(before) == T.ASSISTANT
-    return tokens.withColumn("weight", (F.coalesce(inside, F.lit(False)) & ~F.col("piece").isin(T.USER, T.ASSISTANT)).cast("int"))
+    next end marker, 0 elsewhere; each line starts anew. A line is one window; long_lines: lines of
+    any length are scanned by ranges of their places."""
+    marked = tokens.withColumn("_marker", F.when(F.col("piece").isin(T.USER, T.ASSISTANT, T.END), F.col("piece")))
+    if long_lines:
+        marked = scan(marked, ["pos"], {"_last": Carry("near", "_marker")}, ("doc_id",))
+    else:
+        before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        marked = marked.withColumn("_last", F.last("_marker", ignorenulls=True).over(before))
+    inside = F.coalesce(F.col("_last") == T.ASSISTANT, F.lit(False))
+    return marked.withColumn("weight", (inside & ~F.col("piece").isin(T.USER, T.ASSISTANT)).cast("int")).drop("_marker", "_last")
 
 
 def mask_ratio(masked: DataFrame) -> DataFrame:

@@ -65,6 +65,19 @@ def test_runs_by_ranges(spark, monkeypatch, ranges):
     assert {r.gap for r in none.collect()} == {None}
 
 
+def test_loss_mask_of_long_lines(spark):
+    rng = random.Random(1)
+    rows = [(d, n, rng.choice(["a", "b", T.USER, T.ASSISTANT, T.END])) for d in range(3) for n in range(150)]
+    df = spark.createDataFrame(rows, "doc_id int, pos int, piece string")
+    masks = [sorted(map(tuple, tokens.loss_mask(df, long_lines).collect())) for long_lines in (False, True)]
+    expect, inside = [], None
+    for d, n, piece in rows:
+        inside = None if n == 0 else inside
+        expect.append((d, n, piece, int(inside == T.ASSISTANT and piece not in (T.USER, T.ASSISTANT))))
+        inside = piece if piece in (T.USER, T.ASSISTANT, T.END) else inside
+    assert masks[0] == masks[1] == expect
+
+
 # --- the token stream ----------------------------------------------------------------
 
 

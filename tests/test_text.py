@@ -136,3 +136,10 @@ def test_strided_windows(spark):
     values = ["".join(rng.choice("ab\n") for _ in range(rng.randint(0, 60))) for _ in range(60)]
     for size, stride in ((5, 1), (5, 3), (5, 5), (4, 9)):
         assert column(spark, values, lambda t: T.strided_windows(t, size, stride)) == [[v[i : i + size] for i in range(0, len(v) - size + 1, stride)] for v in values]
+
+
+def test_rejected_over_all_white_space(spark):
+    """Error pages whose parts are apart by any white space, ideographic and narrow ones too."""
+    texts = ["404 Not Found", "403\u3000Forbidden", "404\u00a0\u2009\u001fNot Found", "404Not Found", "404 was Not Found", "404\u200bNot Found"]
+    got = [r.x for r in spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").orderBy("n").select(F.col("t").rlike(T.REJECTED).alias("x")).collect()]
+    assert got == [True, True, True, True, False, False]
