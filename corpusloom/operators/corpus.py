@@ -107,7 +107,9 @@ def numbered(rows: DataFrame, name: str = "n", order: tuple[str, ...] = ("seq",)
 
 
 def every(rows: DataFrame, k: int) -> DataFrame:
-    return numbered(rows).where(F.col("n") % k == 0)
+    """Every k-th row and its place n. Only seq is numbered; the rows are joined to what is chosen."""
+    chosen = materialize(numbered(rows.select("seq")).where(F.col("n") % k == 0).select(F.col("seq").alias("_s"), "n"), "every")
+    return rows.join(chosen, rows["seq"] == F.col("_s")).drop("_s")
 
 
 def bytes_per_char(rows: DataFrame) -> float:

@@ -88,6 +88,21 @@ def batches(stream: TokenStream, block: int, batch: int, seed: int, steps: int)
     return found.select("step", "i", "offset", F.slice("tokens", 1, block).alias("x"), F.slice("tokens", 2, block).alias("y"))
 
 
+def weighted(arrays: DataFrame, size: int = BLOCK, limit: int = ID_LIMIT) -> TokenStream:
+    """The stream of arrays (seq, tokens, weights of 0 and 1, of one length): each of its values is
+    2 id + weight, so that ids and weights are read by one join."""
+    odd = F.when(F.size("tokens") != F.size("weights"), F.raise_error(F.lit("tokens and weights differ in length"))).otherwise(fitting(F.col("tokens"), limit))
+    both = F.zip_with(odd, F.col("weights"), lambda t, w: 2 * t + F.when(w > 0, 1).otherwise(0))
+    return flatten(arrays.select("seq", both.cast("array<int>").alias("tokens")), size, 2 * limit)
+
+
+def weighted_batches(stream: TokenStream, block: int, batch: int, seed: int, steps: int) -> DataFrame:
+    """step, i, offset, x, y and w, the weights of y, of a weighted() stream."""
+    ids = lambda c: F.transform(c, lambda v: F.shiftright(v, 1))
+    found = batches(stream, block, batch, seed, steps)
+    return found.select("step", "i", "offset", ids(F.col("x")).alias("x"), ids(F.col("y")).alias("y"), F.transform("y", lambda v: v.bitwiseAND(F.lit(1))).alias("w"))
+
+
 def unigram_nats(stream: TokenStream, spans: DataFrame) -> DataFrame:
     """window, nats of windows (window, tokens): what a model of the stream's id counts takes for
     all ids but the first. The counts are of a vocabulary's length."""

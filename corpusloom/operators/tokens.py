@@ -88,6 +88,13 @@ def loss_mask(tokens: DataFrame, long_lines: bool = False) -> DataFrame:
     return marked.withColumn("weight", (inside & ~F.col("piece").isin(T.USER, T.ASSISTANT)).cast("int")).drop("_marker", "_last")
 
 
+def masked_arrays(masked: DataFrame, vocab: DataFrame) -> DataFrame:
+    """doc_id, tokens and weights, in order, of masked pieces (doc_id, pos, piece, weight)."""
+    coded = masked.join(vocab.select(F.col("token").alias("piece"), "id"), "piece", "left")
+    rows = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0)).cast("int").alias("id"), "weight")))
+    return coded.groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.col("r.id").alias("tokens"), F.col("r.weight").alias("weights"))
+
+
 def mask_ratio(masked: DataFrame) -> DataFrame:
     return masked.agg(F.count("*").alias("tokens"), F.coalesce(F.sum("weight"), F.lit(0)).alias("targets"), (F.sum("weight") / F.count("*")).alias("ratio"))
 

@@ -656,6 +656,17 @@ def stream_bits_per_char(spark, sf_dir):
     return scored.select(F.round("bits_per_char", 6).alias("bits_per_char"))
 
 
+@query(f"""WITH {_MASK}, {_VOCAB}, s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS p, id, weight FROM masked JOIN vocab ON piece = token),
+o AS (SELECT step, i, {_mix(77, 'step', 'i')} % ((SELECT count(*) FROM s) - 129) AS o FROM range(0, 10) a(step), range(0, 16) b(i)),
+x AS (SELECT step, i, o, k, id, weight FROM (SELECT *, unnest(range(0, 129)) AS k FROM o) JOIN s ON p = o + k)
+SELECT step, i, o AS "offset", md5(string_agg(id::VARCHAR, ' ' ORDER BY k) FILTER (k < 128)) AS x, md5(string_agg(id::VARCHAR, ' ' ORDER BY k) FILTER (k > 0)) AS y, md5(string_agg(weight::VARCHAR, ' ' ORDER BY k) FILTER (k > 0)) AS w FROM x GROUP BY ALL""")
+def sft_batches(spark, sf_dir):
+    """Batches of conversations with their targets and loss weights."""
+    arrays = tokens.masked_arrays(_masked(spark, sf_dir), tokens.vocabulary(_chat_docs(spark, sf_dir))).withColumnRenamed("doc_id", "seq")
+    found = stream.weighted_batches(stream.weighted(arrays), 128, 16, 77, 10)
+    return found.select("step", "i", "offset", *[_digest(c).alias(c) for c in ("x", "y", "w")])
+
+
 @query(f"WITH {_STREAM} SELECT p // 4096 AS block, count(*)::BIGINT AS n, md5(string_agg(id::VARCHAR, ' ' ORDER BY p)) AS digest FROM s GROUP BY 1")
 def token_file(spark, sf_dir):
     """The stream written to binary files of two bytes an id, and read back."""

@@ -122,6 +122,18 @@ def test_batches_are_spans_and_targets(spark):
         stream.batches(s, len(flat), 4, 5, 6)
 
 
+def test_weighted_batches(spark):
+    rng = random.Random(4)
+    rows = [(n, [rng.randrange(65536) for _ in range(k)], [rng.randrange(2) for _ in range(k)]) for n, k in enumerate(SIZES)]
+    s = stream.weighted(spark.createDataFrame(rows, "seq int, tokens array<int>, weights array<int>"), 32)
+    ids, weights = sum([r[1] for r in rows], []), sum([r[2] for r in rows], [])
+    for r in stream.weighted_batches(s, 10, 4, 5, 6).collect():
+        o = r.offset
+        assert (r.x, r.y, r.w) == (ids[o : o + 10], ids[o + 1 : o + 11], weights[o + 1 : o + 11])
+    with pytest.raises(Exception, match="differ in length"):
+        stream.weighted(spark.createDataFrame([(1, [1, 2], [1])], "seq int, tokens array<int>, weights array<int>"))
+
+
 def test_ids_that_do_not_fit(spark):
     for wrong in (65536, -1):
         with pytest.raises(Exception, match="token id"):
