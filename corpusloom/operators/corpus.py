@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.ordered import sums_before
-from corpusloom.sources.storage import materialize
+from corpusloom.sources.storage import materialize, spread
 
 REASONS = ("unsuitable", "short", "low_ratio", "repetitive", "duplicate")
 
@@ -22,7 +22,7 @@ def screen(docs: DataFrame, script: str = T.JAPANESE, least: int = 200, most: in
     docs other than seq and text stay."""
     raw = F.coalesce("text", F.lit(""))
     # generated, so that the cleaning is written into the plan once
-    cleaned = docs.withColumn("_raw", raw).withColumn("text", F.explode(F.array(T.clean_document(raw))))
+    cleaned = spread(docs).withColumn("_raw", raw).withColumn("text", F.explode(F.array(T.clean_document(raw))))
     reason = F.when(F.col("_raw").rlike(T.REJECTED), "unsuitable").when(F.length("text") < least, "short")
     cut = cleaned.withColumn("_early", reason).withColumn("text", F.substring("text", 1, most))
     late = F.when(T.script_ratio(F.col("text"), script) < ratio, "low_ratio").when(T.is_repetitive(F.col("text")), "repetitive")

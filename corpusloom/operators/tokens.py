@@ -10,7 +10,7 @@ from corpusloom.functions import chars
 from corpusloom.functions import text as T
 from corpusloom.functions.ordered import Carry, scan, sums_before
 from corpusloom.operators.corpus import numbered
-from corpusloom.sources.storage import copy_file, materialize
+from corpusloom.sources.storage import copy_file, materialize, spread
 
 # The special tokens in the order of their ids.
 SPECIAL = (T.UNK, T.USER, T.ASSISTANT, T.END)
@@ -63,7 +63,7 @@ def char_encode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
             values = pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(starts, values)], ["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<int>")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, tokens array<int>")
 
 
 def char_decode(tokens: DataFrame, vocab: DataFrame, skip_special: bool = False) -> DataFrame:

@@ -705,6 +705,16 @@ def subword_encode(spark, sf_dir):
     return rows.select("doc_id", F.size("tokens").alias("n_tokens"))
 
 
+@query("SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM documents")
+def subword_decode(spark, sf_dir):
+    """Subword ids decoded to the texts they are of."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = tokens.subword_encode(_docs(spark, sf_dir).select(F.col("seq").alias("doc_id"), "text"), model)
+    return tokens.subword_decode(ids, model).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 # --- run logs and evaluation -----------------------------------------------------------------
 
 

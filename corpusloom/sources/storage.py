@@ -41,6 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many partitions as the session has cores, where it is a plain scan of fewer
+    (a file of one row group is one task), for what costs far more than reading; else as it is.
+    Large tables have more partitions than cores, so nothing is exchanged there."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if plan.execute().getNumPartitions() < n else df
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that materialize() stored, once nothing reads it any more."""
     path = df._stored_at

@@ -90,6 +90,18 @@ def test_logs_are_appended_and_states_replaced(spark, tmp_path):
     assert spark.read.json(state).first().v == 1
 
 
+def test_spread_deals_small_scans_only(spark, tmp_path):
+    from corpusloom.sources.storage import spread
+
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(50).repartition(9).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / x)) for x in ("one", "many"))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 50
+    joined = one.groupBy("id").count()
+    assert spread(joined) is joined
+    assert spread(many) is many or many.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+
+
 def test_restarts_only_while_advancing():
     state = {"step": 0, "runs": 0}
 
