@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import add_binary, cached, id_text
+from corpusloom.llm.common import add_binary, bounded_batches, cached, id_text, portions
 
 GRAM_BITS = 16
 CHUNK = 4096  # gram counts in a row of the partial sums
@@ -66,6 +66,7 @@ def held_out(id_col):
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], bytes]:
     """The languages, sorted, and their gram counts as int64[languages, 2**GRAM_BITS]: what
     reaches the driver is bounded by the number of languages, whatever the corpus."""
+    bounded_batches(docs.sparkSession)
     chosen = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where(
         docs[id_col].isNotNull() & docs[lang_col].isNotNull() & docs[text_col].isNotNull() & ~held_out(docs[id_col])
     )
@@ -75,11 +76,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         sums: dict[str, object] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if lang not in sums:
-                    sums[lang] = np.zeros(1 << GRAM_BITS, np.int64)
-                grams, n = gram_counts(text)
-                sums[lang][grams] += n
+            for part in portions(batch, "text"):
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if lang not in sums:
+                        sums[lang] = np.zeros(1 << GRAM_BITS, np.int64)
+                    grams, n = gram_counts(text)
+                    sums[lang][grams] += n
         rows = [(lang, k, row.tobytes()) for lang, total in sums.items() for k, row in enumerate(total.reshape(-1, CHUNK))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "chunk", "counts"])
 
@@ -147,8 +149,9 @@ def classify(docs: DataFrame, model: tuple[list[str], bytes], id_col: str = "doc
     def run(batches):
         model = cached("lang", key, lambda: Mixture(*shipped.value))
         for batch in batches:
-            found = pa.array([[{"lang": x, "share": s} for x, s in model.shares(t)] for t in batch.column("text").to_pylist()], out)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "languages"])
+            for part in portions(batch, "text"):
+                found = pa.array([[{"lang": x, "share": s} for x, s in model.shares(t)] for t in part.column("text").to_pylist()], out)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found], [*kept, "languages"])
 
     rows = id_text(docs, id_col, text_col, keep_row)
     kept = ["doc_id", *["row"] * keep_row]

@@ -94,8 +94,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], "<u8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], ["doc_id", "fp"])
+            for part in portions(batch, "text"):
+                fps = np.array([fingerprint(t) for t in part.column(1).cast(pa.binary()).to_pylist()], "<u8")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view("<i8"))], ["doc_id", "fp"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
