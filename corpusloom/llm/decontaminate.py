@@ -108,7 +108,8 @@ def _edited(rng: random.Random, item: list[int], edits: int, fresh) -> list[int]
 
 @functools.lru_cache
 def n_tables(size: int, most_edits: float = MOST_EDITS, recall: float = RECALL) -> int:
-    """How many tables find simulated items of the class with the most edits often enough."""
+    """How many tables find simulated items of the class with the most edits often enough: MOST_TABLES
+    for the class of 4 to 7 words, whose simulated recall stays below RECALL at that number."""
     n = size if size < 4 else -(-size // 5) * 5
     edits = int(most_edits * n)
     if not edits:

@@ -7,7 +7,7 @@ are joined back by position. The table lives in the Python worker, with a bounde
 of entries: the ids of all positions never pass through a shuffle.
 
 Defined cases: a null or empty text gives no ids but the end id; repeated rows give
-repeated results; a null id stays null; an empty table gives an empty table; any length of
+repeated results, and there are no ties to break; a null id stays null; an empty table gives an empty table; any length of
 text is encoded whole; columns other than the two named are not read.
 """
 

@@ -13,7 +13,7 @@ once. A text that holds an added token's string, or whose tokenizer is of anothe
 given to the library whole.
 
 Defined cases: a null or empty text has 0 bytes and the count of the empty text; repeated
-rows give repeated results from one encoding; a null id stays null; texts of any length are
+rows give repeated results from one encoding, and there are no ties to break; a null id stays null; texts of any length are
 counted whole, a worker holding a few megabytes of them at a time; an empty table gives an
 empty table; extra columns are not read.
 """
