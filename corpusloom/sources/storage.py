@@ -45,6 +45,8 @@ def spread(df: DataFrame) -> DataFrame:
     """df dealt to as many partitions as the session has cores, where it is a plain scan of fewer
     (a file of one row group is one task), for what costs far more than reading; else as it is.
     Large tables have more partitions than cores, so nothing is exchanged there."""
+    if df.isStreaming:
+        return df
     plan = df._jdf.queryExecution().executedPlan()
     if "Exchange" in plan.toString():
         return df
