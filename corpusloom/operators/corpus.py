@@ -123,13 +123,27 @@ def estimate_chars(total_bytes: int, bytes_a_char: float) -> float:
     return total_bytes / bytes_a_char if bytes_a_char else 0.0
 
 
+def every_within(rows: DataFrame, k: int, target: int, sized) -> DataFrame:
+    """sized(every k-th of rows (seq, text)), which gives them n_chars, up to and with the row at
+    which n_chars reach the target. The rows are numbered from the first on, so a beginning that
+    is long enough gives the same ones: what is numbered and sized grows with the target."""
+    guess = max(1, target) * k
+    while True:
+        cut = budget_cut(rows.select("seq", F.length("text").cast("long").alias("n_chars")), guess)
+        part = materialize(sized(every(rows if cut is None else rows.where(F.col("seq") <= cut), k)), "every-within")
+        if cut is None or (part.agg(F.sum("n_chars")).first()[0] or 0) >= target:
+            return within_budget(part, target)
+        guess *= 2
+
+
 def line_stream(lines: DataFrame, every_n: int = 1, most_chars: int = 0) -> DataFrame:
     """Every n-th line (seq, text) in order, up to and with the one at which the characters reach
     most_chars (0: all)."""
+    sized = lambda rows: rows.withColumn("n_chars", F.length("text").cast("long"))
+    if every_n > 1 and most_chars:
+        return every_within(lines, every_n, most_chars, sized).drop("n", "n_chars")
     taken = every(lines, every_n).drop("n") if every_n > 1 else lines
-    if not most_chars:
-        return taken
-    return within_budget(taken.withColumn("n_chars", F.length("text").cast("long")), most_chars).drop("n_chars")
+    return within_budget(sized(taken), most_chars).drop("n_chars") if most_chars else taken
 
 
 def text_head(lines: DataFrame, size: int) -> DataFrame:
@@ -143,9 +157,12 @@ def text_head(lines: DataFrame, size: int) -> DataFrame:
 def subword_sample(docs: DataFrame, target_chars: int, every_n: int, least_bytes: int = 200, most_bytes: int = 6_000) -> DataFrame:
     """seq, n, line: the sentences of every n-th document, up to and with the document at which
     their characters reach the target; a line has no line end, and no space at its ends."""
-    parts = every(docs, every_n).select("seq", T.split_sentences(F.col("text"), least_bytes, most_bytes).alias("s"))
-    sized = parts.withColumn("n_chars", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
-    kept = within_budget(sized, target_chars).select("seq", F.posexplode("s").alias("n", "line"))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        parts = rows.select("seq", T.split_sentences(F.col("text"), least_bytes, most_bytes).alias("s"))
+        return parts.withColumn("n_chars", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
+
+    kept = every_within(docs, every_n, target_chars, sized).select("seq", F.posexplode("s").alias("n", "line"))
     return kept.select("seq", "n", T.strip(F.replace(F.col("line"), F.lit("\n"), F.lit(" "))).alias("line"))
 
 

@@ -248,6 +248,17 @@ def test_a_budget_reads_ranges(spark, tmp_path):
         corpus.within_budget(spark.createDataFrame([("a", 1)], "seq string, n_chars long"), 5)
 
 
+@pytest.mark.parametrize("every, most", [(3, 1), (3, 40), (7, 300), (2, 10**6), (5, 0), (1, 60), (1, 0)])
+def test_line_streams(spark, every, most):
+    """Sizes that make the first guess too short: the long lines are not among the chosen."""
+    sizes = [1 if n % every == 0 else 40 for n in range(150)] + [9] * 150
+    lines = spark.createDataFrame([(5 * n, "x" * k) for n, k in enumerate(sizes)], "seq long, text string")
+    chosen = [n for n in range(len(sizes)) if n % every == 0]
+    expect = [n for i, n in enumerate(chosen) if not most or sum(sizes[m] for m in chosen[:i]) < most]
+    got = corpus.line_stream(lines, every, most)
+    assert got.columns == ["seq", "text"] and [r.seq // 5 for r in got.orderBy("seq").collect()] == expect
+
+
 @pytest.mark.parametrize("few, bits", [(10_000, 16), (3, 16), (3, 2)])
 def test_selection_is_the_shuffle(spark, monkeypatch, few, bits):
     monkeypatch.setattr(corpus, "FEW", few)
