@@ -87,10 +87,11 @@ def joined_fragments(texts: DataFrame, holdout: DataFrame, size: int, *keys: str
     """The keys of the texts (keys, text) that share a window with a holdout text of any size, by
     two semi-joins: of a text's strided seeds with the holdout's distinct seeds, and of the
     windows around those that meet with its distinct windows. A seed that many texts hold
-    multiplies nothing, and its rows may be split."""
+    multiplies nothing, and its rows may be split. The planner takes exploded windows to be no
+    larger than the texts, so it is told to merge: they are never broadcast."""
     stride = size - SEED + 1
     held = holdout.where(F.length("text") >= size)
-    own = lambda n: held.select(F.explode(T.windows(F.col("text"), n)).alias("w")).distinct()
+    own = lambda n: held.select(F.explode(T.windows(F.col("text"), n)).alias("w")).distinct().hint("merge")
     places = F.sequence(F.lit(0), F.length("text") - SEED, F.lit(stride))
     at = texts.where(F.length("text") >= size).select(*keys, F.explode(F.transform(places, lambda p: F.struct(F.substring("text", p + 1, F.lit(SEED)).alias("w"), F.substring("text", F.greatest(p - (stride - 1), F.lit(0)) + 1, F.least(p, F.lit(stride - 1)) + size).alias("around")))).alias("s")).select(*keys, "s.*")
     near = at.join(own(SEED), "w", "left_semi").select(*keys, F.explode(T.windows(F.col("around"), size)).alias("w"))
@@ -110,7 +111,7 @@ def without_fragments(pairs: DataFrame, held: DataFrame, size: int = 40, most_se
     sides = lambda d, *more: d.select(*more, F.explode(F.array("q", "a")).alias("text"))
     test = fragment_test(sides(held), size, most_seeds)
     if test is None:
-        return pairs.join(joined_fragments(sides(pairs, "seq"), sides(held), size, "seq"), "seq", "left_anti")
+        return pairs.join(joined_fragments(sides(pairs, "seq"), sides(held), size, "seq").hint("merge"), "seq", "left_anti")
     return pairs.where(~(test(F.col("q")) | test(F.col("a"))))
 
 

@@ -75,7 +75,8 @@ def scanned_occurrences(corpus: DataFrame, patterns: list[str], stride: int) ->
 def joined_occurrences(corpus: DataFrame, wanted: DataFrame, stride: int) -> DataFrame:
     mine = corpus.where(F.length("text") >= stride + SEED - 1).select("doc_id", F.posexplode(T.strided_windows(F.col("text"), SEED, stride)).alias("n", "gram")).select("doc_id", (F.col("n") * stride).alias("p"), "gram")
     theirs = wanted.select("probe", F.posexplode(F.slice(T.windows(F.col("probe"), SEED), F.lit(1), F.lit(stride))).alias("at", "gram"))
-    met = mine.join(theirs, "gram").select("doc_id", "probe", (F.col("p") - F.col("at")).alias("start")).where("start >= 0").distinct()
+    # more than MOST_SEEDS rows, which the planner takes to be as few as the probes
+    met = mine.join(theirs.hint("merge"), "gram").select("doc_id", "probe", (F.col("p") - F.col("at")).alias("start")).where("start >= 0").distinct()
     whole = met.join(corpus.select("doc_id", "text"), "doc_id")
     return whole.where(F.substring(F.col("text"), F.col("start") + 1, F.length("probe")) == F.col("probe")).select("probe", "doc_id", "start")
 

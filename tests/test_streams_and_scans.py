@@ -375,3 +375,15 @@ def test_stopped_streams_equal_the_batch(spark, tmp_path):
         best = min((v, s) for s, v in mine if v is not None)
         assert (r.points, r.first_step, r.last_step, r.lines) == (len(mine), mine[0][0], mine[-1][0], sum(p[0] == r.run for p in points))
         assert (r.best_value, r.best_step) == best
+
+
+def test_joined_windows_are_not_broadcast(spark, tmp_path):
+    # of a file, whose size the planner knows
+    spark.createDataFrame([(k, f"{k:060d}", "a") for k in range(20)], "seq int, q string, a string").write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    held = texts.where("seq % 5 = 0").select("q", "a")
+    left = chat.without_fragments(texts, held, 40, 0)
+    met = leak.occurrences(texts.selectExpr("seq AS doc_id", "q AS text"), held.selectExpr("q AS probe"), 48, 0)
+    for rows, keys in ((left, ["w#", "w#", "seq#"]), (met, ["gram#"])):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert [plan.count(f"SortMergeJoin [{k}") for k in keys] == [keys.count(k) for k in keys]
