@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.batches import bounded_batches
 from corpusloom.functions.grams import codes_of, portions
 
 CODE_POINTS = 0x110000
@@ -30,6 +31,7 @@ def char_counts(texts: DataFrame, *columns: str) -> DataFrame:
         held = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(list(map(chr, held.tolist())), pa.string()), pa.array(seen[held])], ["char", "n"])
 
+    bounded_batches(texts.sparkSession)
     return texts.select(*columns).mapInArrow(run, "char string, n long").groupBy("char").agg(F.sum("n").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import chars
 from corpusloom.functions import text as T
+from corpusloom.functions.batches import bounded_batches, portions
 from corpusloom.functions.ordered import Carry, scan, sums_before
 from corpusloom.operators.corpus import numbered
 from corpusloom.sources.storage import copy_file, materialize, spread
@@ -51,19 +52,25 @@ def char_encode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     table[rows.column("c").to_numpy()] = rows.column("id").to_numpy()
     shipped = docs.sparkSession.sparkContext.broadcast(table)
 
-    def run(batches):
-        import re
+    bounded_batches(docs.sparkSession)
+    return spread(docs.select("doc_id", "text")).mapInArrow(lambda batches: _encoded(batches, shipped.value), "doc_id long, tokens array<int>")
 
-        ids, marker = shipped.value, re.compile("(" + "|".join(map(re.escape, SPECIAL[1:])) + ")")
-        at = {m: np.array([n], np.int32) for n, m in enumerate(SPECIAL)}
-        code = lambda t: at.get(t) if t in at else ids[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        for batch in batches:
-            parts = [np.concatenate([code(p) for p in marker.split(t)]) for t in ("" if t is None else t for t in batch.column(1).to_pylist())]
-            starts = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32())
-            values = pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(starts, values)], ["doc_id", "tokens"])
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, tokens array<int>")
+def _encoded(batches, ids):
+    """doc_id and tokens, a few megabytes of texts at a time; ids by code point."""
+    import re
+
+    import numpy as np
+
+    marker = re.compile("(" + "|".join(map(re.escape, SPECIAL[1:])) + ")")
+    at = {m: np.array([n], np.int32) for n, m in enumerate(SPECIAL)}
+    code = lambda t: at.get(t) if t in at else ids[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    for batch in batches:
+        for rows in portions(batch, "text"):
+            parts = [np.concatenate([code(p) for p in marker.split(t)]) for t in ("" if t is None else t for t in rows.column(1).to_pylist())]
+            starts = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.int32())
+            values = pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32, copy=False))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(starts, values)], ["doc_id", "tokens"])
 
 
 def char_decode(tokens: DataFrame, vocab: DataFrame, skip_special: bool = False) -> DataFrame:
@@ -229,11 +236,12 @@ def subword_encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, tokens array<int> by a SentencePiece model file, which goes to the workers once."""
     shipped = docs.sparkSession.sparkContext.broadcast(model_bytes(docs.sparkSession, model_path))
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         sp = _processor(shipped.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in portions(batch, "text"):
                 ids = sp.encode([t or "" for t in part.column(1).to_pylist()], num_threads=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "tokens"])
 
