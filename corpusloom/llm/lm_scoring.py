@@ -11,10 +11,10 @@ Learning covers every learning document:
 1. Their distinct 6-grams are counted, a table that grows with the corpus.
 2. The counters are sums over these counts. An order's table has room for the measured number
    of its distinct contexts, up to MOST_BITS; counts over 16 bits are scaled down in pairs.
-3. The weights are learned online, gram after gram in a fixed order, over at most MIX_GRAMS of
-   the grams, chosen by hash with a probability in proportion to their count and weighted by
-   its inverse (a bounded sample for the few weights; all else covers all grams). Each decision
-   is predicted without its own occurrence.
+3. The weights are learned online over all grams, each weighted by its count: the grams are dealt
+   by hash to parts of about PART_GRAMS, each part is learned gram after gram in a fixed order,
+   and the parts' weights are averaged by what each gate has seen in a part. Each decision is
+   predicted without its own occurrence.
 4. The map counts, over all grams, how often a logit came with a one, again without the own
    occurrence.
 
@@ -60,7 +60,7 @@ GATES = (len(COUNT_STEPS) + 1) ** 2
 #: The logits of the map: so many steps from -MAP_RANGE to MAP_RANGE.
 MAP_STEPS, MAP_RANGE = 385, 12.0
 PRIOR, MAP_PRIOR = 0.1, 8.0
-RATE, MINI_BATCH, MIX_GRAMS = 0.05, 1024, 1 << 18
+RATE, MINI_BATCH, PART_GRAMS = 0.05, 1024, 1 << 18
 #: Bytes of texts taken together, and words of a block of the base's tables.
 PIECE, BLOCK_WORDS = 2 << 20, 1 << 22
 _FIXED = 1024  # counter logits are stored in steps of 1 / _FIXED
@@ -144,6 +144,7 @@ class Learner:
 
     def __init__(self, tables: Tables, counts: np.ndarray, weights: np.ndarray | None = None):
         self.tables, self.counts, self.weights = tables, counts, weights
+        self.mass = np.zeros(GATES)  # the counts that each gate was trained with
         if weights is None:
             self.weights = np.zeros((GATES, ORDERS + 1))
             self.weights[:, :ORDERS] = 1 / ORDERS
@@ -166,12 +167,13 @@ class Learner:
         """Online steps over the keys in the order given."""
         squares = np.full_like(self.weights, 1e-3)
         for at in range(0, len(keys), MINI_BATCH):
-            own, weight = keys[at : at + MINI_BATCH], n[at : at + MINI_BATCH]
-            weight = weight / weight.mean()
+            own, times = keys[at : at + MINI_BATCH], n[at : at + MINI_BATCH]
+            weight = times / times.mean()
             contexts = self.tables.contexts(own)
             for j in range(DECISIONS):
                 prefix, bit = own >> np.uint64(DECISIONS - j), (own >> np.uint64(DECISIONS - 1 - j) & np.uint64(1)).astype(np.int64)
                 x, gates = self.inputs(contexts, prefix, j, bit)
+                self.mass += np.bincount(gates, times, GATES)
                 miss = weight * (bit - 1 / (1 + np.exp(-np.clip(self.mix(x, gates), -30, 30))))
                 seen = np.maximum(np.bincount(gates, weight, GATES), 1)[:, None]
                 step = np.stack([np.bincount(gates, miss * row, GATES) for row in x], axis=1) / seen
@@ -299,12 +301,20 @@ def _sorted_rows(batches):
             yield keys[order], n[order]
 
 
+def averaged(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The parts' weights, averaged for each gate by what it has seen there (weights, mass)."""
+    mass = np.stack([np.frombuffer(bytes(m)) for _, m in parts])
+    share = mass + (mass.sum(axis=0) == 0)  # a gate that no part has seen is alike in all
+    weights = np.stack([np.frombuffer(bytes(w)).reshape(GATES, ORDERS + 1) for w, _ in parts])
+    return (weights * share[:, :, None]).sum(axis=0) / share.sum(axis=0)[:, None]
+
+
 def learn(learning: DataFrame) -> Model:
     """A model of the texts of the one column of learning."""
     context = learning.sparkSession.sparkContext
     grams = materialize(count_keys(learning), "lm-grams")
     own = lambda k: F.shiftright("key", DECISIONS).bitwiseAND(F.lit((1 << 8 * k) - 1))
-    facts = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.approx_count_distinct(own(k), 0.02).alias(f"c{k}") for k in CONTEXTS]).first()
+    facts = grams.agg(F.count("*").alias("rows"), *[F.approx_count_distinct(own(k), 0.02).alias(f"c{k}") for k in CONTEXTS]).first()
     tables = Tables(tuple(min(MOST_BITS, max(LEAST_BITS, (NODES * facts[f"c{k}"]).bit_length())) for k in CONTEXTS))
 
     def counters(batches):
@@ -333,24 +343,18 @@ def learn(learning: DataFrame) -> Model:
     def table():
         return cached("lm", tag, lambda: np.frombuffer(zlib.decompress(shipped.value), np.uint16).reshape(2, -1))
 
-    share = min(1.0, MIX_GRAMS / max(1, facts.n))
-    chance = F.least(F.lit(1.0), F.col("n") * share)
-    mixed_key = F.xxhash64("key")
-    chosen = grams.withColumn("p", chance).where(F.pmod(mixed_key, F.lit(1 << 30)) < F.col("p") * (1 << 30)).select("key", (F.col("n") / F.col("p")).alias("n"), F.xxhash64(F.lit(1), "key").alias("place"))
+    parts = max(1, -(-facts.rows // PART_GRAMS))  # of the grams alone, not of the partitions
 
-    def train(batches):
-        keys, n = [], []
-        for batch in batches:
-            keys.append(batch.column("key").to_numpy().view(np.uint64))
-            n.append(batch.column("n").to_numpy())
+    def train(rows):
+        keys, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(np.float64)
+        order = np.lexsort((keys, mixed(keys)))
         learner = Learner(tables, table())
-        if keys:
-            learner.train(np.concatenate(keys), np.concatenate(n))
-        yield pa.RecordBatch.from_arrays([pa.array([learner.weights.tobytes()], pa.binary())], ["weights"])
+        learner.train(keys[order], n[order])
+        return pa.table({"part": rows.column("part")[:1], "weights": pa.array([learner.weights.tobytes()], pa.binary()), "mass": pa.array([learner.mass.tobytes()], pa.binary())})
 
-    # MIX_GRAMS rows or so, in one task, as each step needs the one before
-    rows = chosen.repartition(1).sortWithinPartitions("place", "key").select("key", "n").mapInArrow(train, "weights binary").collect()
-    weights = np.frombuffer(bytes(rows[0].weights)).reshape(GATES, ORDERS + 1) if rows else None
+    dealt = grams.select(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(parts)).cast("int").alias("part"), "key", "n")
+    rows = dealt.repartition(parts, "part").groupBy("part").applyInArrow(train, "part int, weights binary, mass binary").collect()  # some kilobytes a part
+    weights = averaged([(r.weights, r.mass) for r in sorted(rows, key=lambda r: r.part)]) if rows else None
 
     def refine(batches):
         learner, sums = Learner(tables, table(), weights), np.zeros((2, 256 * MAP_STEPS), np.int64)

@@ -585,3 +585,21 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1] == found[2]
+
+
+def test_lm_weights_are_learned_over_all_grams(spark, monkeypatch):
+    L, seen = lm_scoring, []
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    whole = L.averaged
+    monkeypatch.setattr(L, "PART_GRAMS", 300)
+    monkeypatch.setattr(L, "averaged", lambda parts: whole(seen.extend(parts) or parts))
+    L.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    keys = L.symbol_keys([t.encode() for t in texts])[0]
+    assert len(seen) == -(-len(np.unique(keys)) // 300) > 3
+    assert sum(np.frombuffer(bytes(m)).sum() for _, m in seen) == len(keys) * L.DECISIONS
+    one, two = (np.full(L.GATES, x) for x in (1.0, 3.0))
+    one[5] = two[5] = 0
+    parts = [(np.full((L.GATES, L.ORDERS + 1), w).tobytes(), m.tobytes()) for w, m in ((2.0, one), (4.0, two))]
+    got = whole(parts)
+    assert (got[5] == 3).all() and (np.delete(got, 5, axis=0) == 3.5).all()
