@@ -250,13 +250,15 @@ def subword_encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 def subword_decode(tokens: DataFrame, model_path: str) -> DataFrame:
     shipped = tokens.sparkSession.sparkContext.broadcast(model_bytes(tokens.sparkSession, model_path))
+    bounded_batches(tokens.sparkSession)
+    return tokens.select("doc_id", "tokens").mapInArrow(lambda batches: _decoded(batches, _processor(shipped.value)), "doc_id long, text string")
 
-    def run(batches):
-        sp = _processor(shipped.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sp.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "tokens").mapInArrow(run, "doc_id long, text string")
+def _decoded(batches, sp):
+    """doc_id and text, a few megabytes of ids at a time."""
+    for batch in batches:
+        for part in portions(batch, "tokens"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sp.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
 
 # --- saved tokenizers ----------------------------------------------------------------
