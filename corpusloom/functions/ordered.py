@@ -16,9 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.sources.storage import materialize
+from corpusloom.sources.storage import materialize, stored_bytes
 
-ROWS_A_RANGE = 4_000_000
+#: A range has not much over so many rows, or bytes (of a stored table: as stored).
+ROWS_A_RANGE, BYTES_A_RANGE = 4_000_000, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -52,8 +53,14 @@ def _joined(c: Carry, here: Column, carried: Column) -> Column:
     return {"min": F.least, "max": F.greatest, "near": F.coalesce}[c.how](here, carried)
 
 
-def n_ranges(rows: int, spark) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_RANGE))
+def n_ranges(rows: int, spark, size: int = 0) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_RANGE), -(-size // BYTES_A_RANGE))
+
+
+def parts_by_size(rows: DataFrame, *columns: str, least: int = 1) -> int:
+    """So many partitions that none has much over BYTES_A_RANGE bytes of the columns' texts."""
+    size = rows.agg(sum(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in columns)).first()[0]
+    return max(least, -(-size // BYTES_A_RANGE))
 
 
 def scan(df: DataFrame, order: list[str], carries: dict[str, Carry], by: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
@@ -65,7 +72,7 @@ def scan(df: DataFrame, order: list[str], carries: dict[str, Carry], by: tuple[s
     n = partitions
     if n is None:
         df = materialize(df, "unordered")
-        n = n_ranges(df.count(), spark)
+        n = n_ranges(df.count(), spark, stored_bytes(df))
     ranged = materialize(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()), "ordered")
     wholes = ranged.groupBy("_range", *by).agg(*[_whole(c, order).alias(f"_whole_{name}") for name, c in carries.items()])
     beyond = []

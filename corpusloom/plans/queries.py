@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.ordered import parts_by_size
 from corpusloom.operators import chat, corpus, leak, pii, runs, stream, tokens
 from corpusloom.sources import ranges, tables
 from corpusloom.sources.storage import scratch_path
@@ -300,8 +301,9 @@ def _files(spark: SparkSession, name: str) -> str:
 def jsonl_texts(spark, sf_dir):
     """Texts from gzipped JSON lines."""
     path = _files(spark, "jsonl")
-    _docs(spark, sf_dir).select("text").write.option("compression", "gzip").json(path)
-    return tables.read_jsonl(spark, path, 8).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+    texts = _docs(spark, sf_dir).select("text")
+    texts.write.option("compression", "gzip").json(path)
+    return tables.read_jsonl(spark, path, parts_by_size(texts, "text", least=8)).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT t::BIGINT AS turn, role, md5(text) AS digest, count(*)::BIGINT AS n FROM (SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS t, role, text FROM conversations) GROUP BY ALL")
@@ -318,7 +320,7 @@ def local_pairs(spark, sf_dir):
     """Pairs from a folder of TSV files, in the order of their names and lines."""
     path = _files(spark, "pairs")
     plain = _pairs(spark, sf_dir).where(~F.contains("q", F.lit('"')) & ~F.contains("a", F.lit('"')))  # the writer would quote them
-    plain.repartitionByRange(4, "seq").sortWithinPartitions("seq").select("q", "a").write.option("sep", "\t").option("extension", "tsv").option("escapeQuotes", False).csv(path)
+    plain.repartitionByRange(parts_by_size(plain, "q", "a", least=4), "seq").sortWithinPartitions("seq").select("q", "a").write.option("sep", "\t").option("extension", "tsv").option("escapeQuotes", False).csv(path)
     return tables.read_local_pairs(spark, path).select("seq", F.md5("q").alias("q"), F.md5("a").alias("a"))
 
 
@@ -327,7 +329,7 @@ def file_lines(spark, sf_dir):
     """One document a line, numbered over all files."""
     path = _files(spark, "lines")
     lines = _docs(spark, sf_dir).select("seq", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("text"))
-    tables.write_lines(lines.repartitionByRange(5, "seq").sortWithinPartitions("seq"), path)
+    tables.write_lines(lines.repartitionByRange(parts_by_size(lines, "text", least=5), "seq").sortWithinPartitions("seq"), path)
     return tables.read_lines(spark, path).select("seq", F.md5("text").alias("digest"))
 
 

@@ -61,6 +61,12 @@ def discard(df: DataFrame) -> None:
     _made[:] = [x for x in _made if x[1] != path]
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """The bytes that a table takes which materialize() stored."""
+    system, at = _hadoop(df.sparkSession, df._stored_at)
+    return system.getContentSummary(at).getLength()
+
+
 def replace(spark: SparkSession, new: str, path: str) -> None:
     """Put the folder new in the place of path by renaming, so that a reader sees the old state
     or the new one; what was there is removed after. A crash between the two renames leaves the

@@ -152,3 +152,18 @@ def test_library_works_without_the_optional_subpackage(monkeypatch):
     without = set(importlib.reload(__spark_entry__).queries())
     assert without and without <= with_it and not any(x.startswith("op") for x in without)
     assert set(__spark_entry__.oracle_sql()) <= without
+
+
+def test_written_lines_are_dealt_by_their_bytes(spark, tmp_path, monkeypatch):
+    from corpusloom.functions import ordered
+    from corpusloom.plans import queries
+
+    monkeypatch.setattr(ordered, "BYTES_A_RANGE", 1000, raising=False)
+    spark.createDataFrame([(k, f"{k:0200d}\n", "s") for k in range(100)], "doc_id long, text string, source string").repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    written = []
+    plain = queries.tables.write_lines
+    monkeypatch.setattr(queries.tables, "write_lines", lambda rows, path: (plain(rows, path), written.append(path)))
+    got = queries.QUERIES["file_lines"](spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(100))
+    assert len(spark.read.text(written[0]).inputFiles()) > 15  # 20,100 bytes
+    assert ordered.n_ranges(10, spark, 50_000) == 50
