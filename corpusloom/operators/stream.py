@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.batches import bounded_batches, portions
 from corpusloom.functions.ordered import sums_before
 from corpusloom.operators.tokens import batch_offsets
 from corpusloom.sources.binary import MARK, read_files, write_blocks
@@ -22,6 +23,8 @@ from corpusloom.sources.storage import materialize
 BLOCK = 4096
 #: Ids from here on do not fit the files' two bytes.
 ID_LIMIT = 1 << 16
+#: Ids of a file, which is read whole.
+IDS_A_FILE = 1 << 22
 
 
 @dataclass
@@ -125,15 +128,17 @@ def write_stream(stream: TokenStream, path: str, ranges: int | None = None) -> N
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(1)
-            flat, ends = ids.flatten().to_numpy().astype("<u2"), np.cumsum([0, *ids.value_lengths().to_pylist()])
-            data = [struct.pack(_HEADER, _MAGIC, b, size, z - a) + flat[a:z].tobytes() + b"\0" * (-2 * (z - a) % 4) for b, a, z in zip(batch.column(0).to_pylist(), ends.tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["block"])
+            for part in portions(batch, "tokens"):
+                ids = part.column(1)
+                flat, ends = ids.flatten().to_numpy().astype("<u2"), np.cumsum([0, *ids.value_lengths().to_pylist()])
+                data = [struct.pack(_HEADER, _MAGIC, b, size, z - a) + flat[a:z].tobytes() + b"\0" * (-2 * (z - a) % 4) for b, a, z in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["block"])
 
     size = stream.size
     n = ranges or int(stream.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stream.blocks.repartitionByRange(n, "block").sortWithinPartitions("block")
-    write_blocks(dealt.select("block", "tokens").mapInArrow(run, "block binary"), path)
+    bounded_batches(dealt.sparkSession)
+    write_blocks(dealt.select("block", "tokens").mapInArrow(run, "block binary"), path, most=max(1, IDS_A_FILE // size))
 
 
 def read_stream(spark: SparkSession, path: str) -> TokenStream:
@@ -144,7 +149,7 @@ def read_stream(spark: SparkSession, path: str) -> TokenStream:
         import pyarrow as pa
 
         for batch in batches:
-            for content in batch.column(0).to_pylist():
+            for content in (batch.column(0)[k].as_py() for k in range(batch.num_rows)):  # a file at a time
                 at, numbers, sizes, ids = 0, [], [], []
                 while at < len(content):
                     magic, block, size, n = struct.unpack_from(_HEADER, content, at)
@@ -159,6 +164,7 @@ def read_stream(spark: SparkSession, path: str) -> TokenStream:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(sizes, pa.int32()), lists], ["block", "size", "tokens"])
 
+    bounded_batches(spark)
     rows = materialize(read_files(spark, path).mapInArrow(run, "block long, size int, tokens array<int>"), "stream-read")
     found = rows.agg(F.max("size").alias("size"), F.sum(F.size("tokens")).alias("n"), F.max("block").alias("last"), F.count("*").alias("blocks")).first()
     if found.blocks and found.last + 1 != found.blocks:

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 MARK = b"EOB\n"
 
 
-def write_blocks(rows: DataFrame, path: str, block: str = "block", mode: str = "errorifexists") -> None:
-    """The blocks of the rows, a file for each partition that has rows."""
-    rows.select(F.col(block).cast("string").alias("value")).write.mode(mode).option("lineSep", MARK.decode()).option("compression", "none").text(path)
+def write_blocks(rows: DataFrame, path: str, block: str = "block", mode: str = "errorifexists", most: int = 0) -> None:
+    """The blocks of the rows, a file for each partition that has rows; most: a file for each so
+    many blocks of it."""
+    rows.select(F.col(block).cast("string").alias("value")).write.mode(mode).option("maxRecordsPerFile", most).option("lineSep", MARK.decode()).option("compression", "none").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

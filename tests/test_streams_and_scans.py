@@ -387,3 +387,39 @@ def test_joined_windows_are_not_broadcast(spark, tmp_path):
     for rows, keys in ((left, ["w#", "w#", "seq#"]), (met, ["gram#"])):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert [plan.count(f"SortMergeJoin [{k}") for k in keys] == [keys.count(k) for k in keys]
+
+
+# --- portions of batches -------------------------------------------------------------
+
+
+def test_tokens_are_made_and_read_in_portions(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    class Words:
+        def decode(self, ids):
+            return "x" * len(ids)
+
+    texts = ["ab" * 5000, None, ""] * 1000
+    rows = pa.record_batch({"doc_id": pa.array(range(3000)), "text": pa.array(texts)})
+    coded = list(tokens._encoded([rows], np.arange(0x110000, dtype=np.int32)))
+    assert max(b.nbytes for b in coded) < 10 << 20  # 4 bytes for each of the text's
+    assert [x for b in coded for x in b.column(1).value_lengths().to_pylist()] == [len(t or "") for t in texts]
+    ids = pa.record_batch({"doc_id": pa.array(range(1000)), "tokens": pa.array([[7] * 5000] * 1000, pa.list_(pa.int32()))})
+    back = list(tokens._decoded([ids], Words()))
+    assert max(b.num_rows for b in back) <= 30 and sum(b.num_rows for b in back) == 1000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:9])], "doc_id long, text string")
+    s = stream.flatten(tokens.char_encode(docs, tokens.vocabulary(docs)).withColumnRenamed("doc_id", "seq"), 512)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    stream.write_stream(s, f"{tmp_path}/x", 1)
+    assert stream.read_stream(spark, f"{tmp_path}/x").length == s.length == 30_000
+
+
+def test_a_stream_is_written_to_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "IDS_A_FILE", 64, raising=False)
+    flat, s = made(spark, [100, 0, 300], 16)
+    stream.write_stream(s, f"{tmp_path}/x", 1)
+    assert len(list((tmp_path / "x").glob("part-*"))) == 7  # 25 blocks, 4 a file
+    found = stream.read_stream(spark, f"{tmp_path}/x").blocks.orderBy("block").collect()
+    assert [i for r in found for i in r.tokens] == flat
