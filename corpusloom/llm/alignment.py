@@ -1,8 +1,9 @@
 """Alignment of two tokenizers' tokens by the bytes they cover.
 
 A text's B tokens are a static index of byte intervals, sorted by their ends. Each A token is
-a stabbing query: two bisections give the first and the last B token that it overlaps. Byte
-places that no interval of either side spans, where both sides end a token, close a group.
+a stabbing query: two bisections, made at one time for the tokens of many chunks, give the first
+and the last B token that it overlaps. Byte places that no interval of either side spans, where
+both sides end a token, close a group.
 
 The A tokenizer (byte-level, from the tokenizers library) reads a space and the text; the B
 tokenizer (SentencePiece) puts that space there itself. Neither lets a token reach across a
@@ -27,8 +28,7 @@ from __future__ import annotations
 import array
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,8 @@ from corpusloom.sources.storage import materialize
 #: Bytes of text whose documents share one list of pairs.
 BLOCK_BYTES = 16 << 20
 PORTION = 1 << 20
-#: Chunks of a worker's table; a full one starts anew, which changes no result.
+#: Chunks of a worker's table and the one before it; one that is half of that starts anew and takes
+#: from the one before what is met again, which changes no result.
 TABLE_ENTRIES = 600_000
 
 MARK = "▁"
@@ -83,43 +84,79 @@ class Aligner(dict):
         for t, i in vocab.items():
             self.a_bytes[i] = bytes(table[c] for c in t) if all(c in table for c in t) else t.encode()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
-        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
-        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        # an id's name before an id of its side, the other side's first id and the next group
+        self.names = [b"%d%c" % (i, c) for i in range(max(len(self.a_bytes), len(self.b_bytes))) for c in b",|;"]
+        self.name_sizes = np.array(list(map(len, self.names)), np.int64)
+        self.before: dict[str, tuple[bytes, bytes]] = {}  # the table before it last started anew
         self.odd: set[str] = set()  # chunks whose tokens do not give back their bytes
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [memoryview(x).cast("I").tolist() for x in map(self.spaced.of, chunks)], self.b.encode(chunks, num_threads=1)
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The A ids of all chunks, how many each has, and the same of B."""
+        a, b = list(map(self.spaced.of, chunks)), self.b.encode(chunks, num_threads=1)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(chunks)) for x in (a, b))
+        n_a //= array.array("I").itemsize
+        return np.frombuffer(b"".join(a), np.uintc).astype(np.int64), n_a, np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum())), n_b
 
-    def align(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
-        """The groups and links of a space and the text; None if a side does not give back its bytes.
+    def align(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The groups and links of a space and each chunk; None if a side does not give back its bytes.
         Each A token asks the index of B's ends for the first interval that ends after its start,
-        and the first that ends at its end or after: those and what is between overlap it."""
-        whole = b" " + text.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return None
-        b_ends, names = list(accumulate(map(self.b_sizes.__getitem__, b))), self.names
-        groups, pairs, start, first_a, first_b = [], [], 0, 0, 0
-        for i, end in enumerate(accumulate(map(self.a_sizes.__getitem__, a))):
-            lo, hi = bisect_right(b_ends, start), bisect_left(b_ends, end)
-            base = a[i] << 31
-            pairs.append(_FIRST | base | b[lo])
-            if hi > lo:
-                pairs.extend([base | x for x in b[lo + 1 : hi + 1]])
-            if b_ends[hi] == end:  # no interval spans this place
-                groups.append(",".join([names[x] for x in a[first_a : i + 1]]) + "|" + ",".join([names[x] for x in b[first_b : hi + 1]]))
-                first_a, first_b = i + 1, hi + 1
-            start = end
-        return ";".join(groups).encode(), array.array("q", pairs).tobytes()
+        and the first that ends at its end or after: those and what is between overlap it. The
+        chunks follow one another, and as both sides end a token where a chunk ends, none overlaps
+        another's."""
+        a, n_a, b, n_b = self.encode(chunks)
+        whole = [b" " + x.encode() for x in chunks]
+        good = self._gives_back(whole, self.a_bytes, a, n_a) & self._gives_back(whole, self.b_bytes, b, n_b)
+        if not good.all():
+            a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], n_a[good], n_b[good]
+        if not len(n_a):
+            return [None] * len(chunks)
+        a_sizes, b_ends = self.a_sizes[a], np.cumsum(self.b_sizes[b])
+        a_ends = np.cumsum(a_sizes)
+        lo, hi = np.searchsorted(b_ends, a_ends - a_sizes, "right"), np.searchsorted(b_ends, a_ends)
+        links = np.cumsum(hi - lo + 1)  # so far
+        first = np.concatenate(([0], links[:-1]))
+        pairs = np.repeat(a, hi - lo + 1) << 31 | b[np.arange(links[-1]) - np.repeat(first - lo, hi - lo + 1)]
+        pairs[first] |= _FIRST
+        a_closes, b_closes = b_ends[hi] == a_ends, np.zeros(len(b), bool)  # no interval spans these places
+        b_closes[hi[a_closes]] = True
+        # a group's A ids stand after the B ids of the groups before it, its B ids after its A ids
+        a_until, b_until = (np.concatenate(([0], np.flatnonzero(x) + 1)) for x in (a_closes, b_closes))
+        names = np.empty(len(a) + len(b), np.int64)
+        names[np.arange(len(a)) + b_until[np.cumsum(a_closes) - a_closes]] = a * 3 + a_closes
+        names[np.arange(len(b)) + a_until[np.cumsum(b_closes) - b_closes + 1]] = b * 3 + b_closes * 2
+        text, text_ends = b"".join(map(self.names.__getitem__, names.tolist())), np.cumsum(self.name_sizes[names])[np.cumsum(n_a + n_b) - 1].tolist()
+        packed, ends = pairs.tobytes(), (links[np.cumsum(n_a) - 1] * pairs.itemsize).tolist()
+        found = [(text[s : e - 1], packed[p:q]) for s, e, p, q in zip([0, *text_ends], text_ends, [0, *ends], ends)]
+        if len(found) == len(chunks):
+            return found
+        own = iter(found)
+        return [next(own) if x else None for x in good.tolist()]
+
+    @staticmethod
+    def _gives_back(whole: list[bytes], table: list[bytes], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether each text is what its n ids stand for."""
+        tokens = list(map(table.__getitem__, ids.tolist()))
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))))[np.cumsum(n)]
+        joined, sizes = b"".join(tokens), np.fromiter(map(len, whole), np.int64, len(whole))
+        if np.array_equal(ends, np.cumsum(sizes)) and joined == b"".join(whole):
+            return np.ones(len(whole), bool)
+        ends = ends.tolist()
+        return np.array([joined[s:e] == x for s, e, x in zip([0, *ends], ends, whole)], bool)
 
     def learn(self, chunks: set[str]) -> list[str]:
         """Align the chunks that the table lacks, and give them."""
-        if len(self) > TABLE_ENTRIES or len(self.odd) > TABLE_ENTRIES:
+        if len(self) > TABLE_ENTRIES // 2:
+            self.before = dict(self)
             self.clear()
-            self.odd.clear()
+            self.odd.intersection_update(self.before)
         self.spaced.bound(TABLE_ENTRIES)
-        new = list(chunks.difference(self))
-        for x, a, b in zip(new, *self.encode(new)) if new else []:
-            found = self.align(x, a, b)
+        new = chunks.difference(self)
+        old = new & self.before.keys()
+        for x in old:
+            self[x] = self.before[x]
+        new = list(new - old)
+        for x, found in zip(new, self.align(new)) if new else []:
             if found is None:
                 self.odd.add(x)
             self[x] = found or (b"", b"")
@@ -140,7 +177,7 @@ class Aligner(dict):
         out = []
         for t, p in zip(texts, parts):
             if self.odd and not self.odd.isdisjoint(p):
-                out.append(self.align(t, *(x[0] for x in self.encode([t]))) or (b"", b""))
+                out.append(self.align([t])[0] or (b"", b""))
                 continue
             found = list(map(self.__getitem__, p))
             out.append((b";".join([x[0] for x in found]), b"".join([x[1] for x in found])))

@@ -92,6 +92,24 @@ def test_wide_gaps_and_counts(spark):
     assert Counter(tuple(r) for r in alignment.align(frame(spark, rows), A, B).collect()) == aligned_slowly(rows)
 
 
+def test_chunks_are_aligned_together_and_common_ones_once(monkeypatch):
+    """With a table that starts anew again and again: results stay, and what is met in each portion is not aligned again."""
+    with open(A, "rb") as a, open(B, "rb") as b:
+        files = a.read(), b.read()
+    one, many = alignment.Aligner(*files), alignment.Aligner(*files)
+    own = ["", "\x00", "a ▁b", "▁", "é\n漢", "<0x41>", "don't.\nStop", "x" * 5000, "　", *(t for _, t in texts(300, 8))]
+    assert many.align(own) == [one.align([x])[0] for x in own]
+    assert None in many.align(own) and many.align(["", ""]) == [None, None]
+    seen, align = Counter(), many.align
+    monkeypatch.setattr(many, "align", lambda chunks: seen.update(chunks) or align(chunks))
+    monkeypatch.setattr(alignment, "TABLE_ENTRIES", 40)
+    for k in range(30):
+        portion = [f"the house of n{k}x{j} and " + x for j, x in enumerate(own[:9] + own[9 + 10 * k : 19 + 10 * k])]
+        assert many.texts(portion) == [one.align([x])[0] or (b"", b"") for x in portion]
+        assert len(many) + len(many.before) < 400 and len(many.odd) < 400
+    assert [seen[x] for x in ("house", "of", "and", "n0x0")] == [1, 1, 1, 1]
+
+
 # --- the manifest --------------------------------------------------------------------
 
 
