@@ -21,7 +21,8 @@ Learning covers every learning document:
 What is then shipped to the workers is bounded: the counters, the weights and the map. Sums
 are of integers and orders are fixed, so that partitioning, retries and the order of rows
 change no score. The frozen model lets each distinct 6-gram of a piece of texts be evaluated
-once, and each of its prefixes of decisions too.
+once, and each of its prefixes of decisions too; a worker keeps what it found in a table of
+bounded size, which changes no score.
 
 The unigram base needs a count for each word, a table that grows with the corpus, and is
 joined, not broadcast: a block of texts gives its distinct words, these meet the counts by
@@ -63,6 +64,8 @@ PRIOR, MAP_PRIOR = 0.1, 8.0
 RATE, MINI_BATCH, PART_GRAMS = 0.05, 1024, 1 << 18
 #: Bytes of texts taken together, and words of a block of the base's tables.
 PIECE, BLOCK_WORDS = 2 << 20, 1 << 22
+#: A worker keeps what it found for so many grams (bits), each in the one slot that its hash names.
+KEPT_BITS = 22
 _FIXED = 1024  # counter logits are stored in steps of 1 / _FIXED
 
 
@@ -77,10 +80,11 @@ def symbol_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     b = np.frombuffer(raw, np.uint8)
     ends = np.cumsum(lengths + LONGEST) - 1
-    keys = np.zeros(len(b), np.uint64)
-    for k in range(LONGEST, 0, -1):
-        keys[LONGEST:] |= b[LONGEST - k : len(b) - k].astype(np.uint64) << np.uint64(8 * (k - 1) + DECISIONS)
-    keys |= b
+    # each place's byte and the seven before it as a number, of which all but LONGEST + 1 bytes go
+    keys = np.ndarray(len(b), ">u8", b"\0" * 7 + raw, 0, (1,)).astype(np.uint64)
+    keys &= np.uint64((1 << 8 * (LONGEST + 1)) - 1)
+    keys <<= np.uint64(DECISIONS - 8)
+    keys -= b  # the shift has doubled the last byte
     keys[ends] += np.uint64(END)  # the byte there is zero
     valid = np.ones(len(b), bool)
     for k in range(LONGEST):
@@ -124,6 +128,14 @@ def groups(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return first, prefix[first]
 
 
+def added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sums of their n."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = groups(keys, 0)[0]
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def outcomes(keys: np.ndarray, n: np.ndarray, j: int):
     """The distinct j-th decisions with their outcomes: where each begins, its prefix, bit and count."""
     first, prefix = groups(keys, DECISIONS - 1 - j)
@@ -190,6 +202,10 @@ class Learner:
             np.add.at(sums, (bit, at), times)
 
 
+def kept_slots(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KEPT_BITS)).astype(np.int64)
+
+
 class Model:
     """The frozen model. logits: of the counters, in steps of 1 / _FIXED; seen: the buckets of the
     two longest orders' counters; cells: log10 probability [outcome, last byte and step]."""
@@ -228,14 +244,26 @@ class Model:
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        import pandas as pd
-
+        """log10 probability of each text. Of grams met before, what is kept is taken."""
         keys, starts = symbol_keys(texts)
-        codes, distinct = pd.factorize(keys)
-        order = np.argsort(distinct)
-        found = np.empty(len(distinct))
-        found[order] = self.log10(distinct[order])
-        return np.add.reduceat(np.take(found, codes), starts)
+        if not hasattr(self, "kept"):  # keys + 1, and what was found for them
+            self.kept = np.zeros(1 << KEPT_BITS, np.uint64), np.zeros(1 << KEPT_BITS)
+        kept, values = self.kept
+        found, missed = np.empty(len(keys)), []
+        for at in range(0, len(keys), 1 << 16):
+            own = keys[at : at + (1 << 16)]
+            slots = kept_slots(own)
+            np.take(values, slots, out=found[at : at + len(own)])
+            missed.append(np.flatnonzero(np.take(kept, slots) != own + np.uint64(1)) + at)
+        where = np.concatenate(missed)
+        if len(where):
+            own = keys[where]
+            distinct = np.unique(own)
+            fresh = self.log10(distinct)
+            found[where] = fresh[np.searchsorted(distinct, own)]
+            slots, last = np.unique(kept_slots(distinct), return_index=True)
+            kept[slots], values[slots] = distinct[last] + np.uint64(1), fresh[last]
+        return np.add.reduceat(found, starts)
 
 
 def freeze(learner: Learner, sums: np.ndarray) -> Model:
@@ -266,18 +294,16 @@ def count_keys(learning: DataFrame) -> DataFrame:
     Grams with the same three last bytes come together, so that tasks share few counters."""
 
     def run(batches):
-        import pandas as pd
-
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def together():
-            where, keys = pd.factorize(np.concatenate([h[0] for h in held]))
-            return keys, np.bincount(where, np.concatenate([h[1] for h in held]), len(keys)).astype(np.int64)
+            return added(*map(np.concatenate, zip(*held)))
 
         for batch in batches:
             for part in portions(batch, "text", PIECE):
-                codes, keys = pd.factorize(symbol_keys(part.column(0).cast(pa.binary()).to_pylist())[0])
-                held.append((keys, np.bincount(codes, minlength=len(keys))))
+                keys = np.sort(symbol_keys(part.column(0).cast(pa.binary()).to_pylist())[0])
+                first = groups(keys, 0)[0]
+                held.append((keys[first], np.diff(first, append=len(keys))))
                 if len(held) >= 16:
                     held = [together()]
                     if len(held[0][0]) > 2_000_000:
@@ -375,6 +401,14 @@ def learn(learning: DataFrame) -> Model:
 
 # --- scoring -------------------------------------------------------------------------
 
+
+class Numbers(dict):
+    """Numbers the keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        return self.setdefault(key, len(self))
+
+
 _BLOCKS = "block long, ids array<long>, held array<boolean>, learns array<boolean>, bytes array<long>, tokens array<long>, scores array<double>, starts array<long>, terms array<int>, times array<int>, local int, word binary, n long"
 
 
@@ -395,7 +429,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
         block = TaskContext.get().partitionId() << 32
         model = cached("lm", tag, lambda: Model.unpacked(shipped.value))
-        table: dict[bytes, int] = {}
+        table = Numbers()
         doc_rows: list[tuple] = []
         words = 0
 
@@ -426,10 +460,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     found = Counter(t.lower().split())
                     # a last term of no times, so that no text is without one
                     local, times = np.zeros(len(found) + 1, np.int32), np.zeros(len(found) + 1, np.int32)
-                    ids = list(map(table.get, found))
-                    if None in ids:
-                        ids = [table.setdefault(w, len(table)) for w in found]
-                    local[:-1], times[:-1] = ids, list(found.values())
+                    local[:-1] = list(map(table.__getitem__, found))
+                    times[:-1] = list(found.values())
                     size = sum(found.values())
                     doc_rows.append((i, held, learns, len(t), size + 1, s, local, times))
                     words += size

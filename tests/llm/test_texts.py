@@ -573,6 +573,33 @@ def test_lm_model_by_brute_force():
     assert abs((10 ** model.log10(after)).sum() - 1) < 1e-9
 
 
+def test_lm_grams_met_before_are_not_evaluated_again(monkeypatch):
+    """A second look at the same texts evaluates nothing; slots that many grams share change no score."""
+    L = lm_scoring
+    rng = random.Random(14)
+    texts = [b"", b"\0", b"\0" * 9, *("".join(rng.choice(["ab", "abc", "é", " ", "x", "\0"]) for _ in range(rng.randint(0, 40))).encode() for _ in range(80))]
+    keys, starts = L.symbol_keys(texts)
+    distinct, n = np.unique(keys, return_counts=True)
+    tables = L.Tables((12, 13, 14, 15, 16))
+    learner = L.Learner(tables, np.random.default_rng(3).integers(0, 50, (2, tables.slots)).astype(np.uint16))
+    model = L.Model.unpacked(L.freeze(learner, np.zeros((2, 256 * L.MAP_STEPS), np.int64)).packed())
+    fast, asked = model.log10(distinct), []
+    expect = np.add.reduceat(fast[np.searchsorted(distinct, keys)], starts)
+    evaluate = model.log10
+    monkeypatch.setattr(model, "log10", lambda keys: asked.append(len(keys)) or evaluate(keys))
+    assert all((model.score(texts) == expect).all() for _ in range(3))
+    assert asked[0] == len(distinct) and sum(asked[1:]) < len(distinct) / 50
+    monkeypatch.setattr(L, "KEPT_BITS", 3)
+    del model.kept
+    assert all((model.score(texts[k:] + texts[:k]) == np.roll(expect, -k)).all() for k in range(0, 80, 9))
+
+
+def test_lm_counts_added():
+    keys, n = np.array([5, 1, 5, 0, 1, 5], np.uint64), np.array([1, 2, 3, 4, 5, 6])
+    assert [x.tolist() for x in lm_scoring.added(keys, n)] == [[0, 1, 5], [4, 7, 10]]
+    assert [x.tolist() for x in lm_scoring.added(keys[:0], n[:0])] == [[], []]
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark):
     rng = random.Random(10)
     prose = lambda n: " ".join(rng.choice(["the", "and", "house", "River", "run", "stone"]) for _ in range(n))
