@@ -57,6 +57,20 @@ _STORED = "kind int, block long, doc_id long, n_a long, n_b long, n_groups long,
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def _joined(table: list[bytes], numbers: np.ndarray) -> bytes:
+    """The entries of the table one after the other; of many, some at a time, as a number in a list takes much."""
+    return b"".join([b"".join(map(table.__getitem__, numbers[at : at + (1 << 16)].tolist())) for at in range(0, len(numbers), 1 << 16)])
+
+
+def _gives_back(whole: list[bytes], table: list[bytes], sizes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each text is what its n ids stand for."""
+    joined, ends = _joined(table, ids), np.concatenate(([0], np.cumsum(sizes[ids])))[np.cumsum(n)]
+    if np.array_equal(ends, np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))) and joined == b"".join(whole):
+        return np.ones(len(whole), bool)
+    ends = ends.tolist()
+    return np.array([joined[s:e] == x for s, e, x in zip([0, *ends], ends, whole)], bool)
+
+
 class Aligner(dict):
     """chunk, without the space before it -> its groups as text, and its links as the bytes of
     int64 pairs."""
@@ -106,7 +120,7 @@ class Aligner(dict):
         another's."""
         a, n_a, b, n_b = self.encode(chunks)
         whole = [b" " + x.encode() for x in chunks]
-        good = self._gives_back(whole, self.a_bytes, a, n_a) & self._gives_back(whole, self.b_bytes, b, n_b)
+        good = _gives_back(whole, self.a_bytes, self.a_sizes, a, n_a) & _gives_back(whole, self.b_bytes, self.b_sizes, b, n_b)
         if not good.all():
             a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], n_a[good], n_b[good]
         if not len(n_a):
@@ -125,7 +139,7 @@ class Aligner(dict):
         names = np.empty(len(a) + len(b), np.int64)
         names[np.arange(len(a)) + b_until[np.cumsum(a_closes) - a_closes]] = a * 3 + a_closes
         names[np.arange(len(b)) + a_until[np.cumsum(b_closes) - b_closes + 1]] = b * 3 + b_closes * 2
-        text, text_ends = b"".join(map(self.names.__getitem__, names.tolist())), np.cumsum(self.name_sizes[names])[np.cumsum(n_a + n_b) - 1].tolist()
+        text, text_ends = _joined(self.names, names), np.cumsum(self.name_sizes[names])[np.cumsum(n_a + n_b) - 1].tolist()
         packed, ends = pairs.tobytes(), (links[np.cumsum(n_a) - 1] * pairs.itemsize).tolist()
         found = [(text[s : e - 1], packed[p:q]) for s, e, p, q in zip([0, *text_ends], text_ends, [0, *ends], ends)]
         if len(found) == len(chunks):
@@ -133,17 +147,6 @@ class Aligner(dict):
         own = iter(found)
         return [next(own) if x else None for x in good.tolist()]
 
-    @staticmethod
-    def _gives_back(whole: list[bytes], table: list[bytes], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Whether each text is what its n ids stand for."""
-        tokens = list(map(table.__getitem__, ids.tolist()))
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))))[np.cumsum(n)]
-        joined, sizes = b"".join(tokens), np.fromiter(map(len, whole), np.int64, len(whole))
-        if np.array_equal(ends, np.cumsum(sizes)) and joined == b"".join(whole):
-            return np.ones(len(whole), bool)
-        ends = ends.tolist()
-        return np.array([joined[s:e] == x for s, e, x in zip([0, *ends], ends, whole)], bool)
-
     def learn(self, chunks: set[str]) -> list[str]:
         """Align the chunks that the table lacks, and give them."""
         if len(self) > TABLE_ENTRIES // 2:
